@@ -68,7 +68,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", low=200, high=1500),
     Rule("symbols", "n_symbols", "n_words", high=10),
     Rule("stop_words", "n_stop_words", "n_words", low=2, from_words=30),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=60),
     Rule("list_lines", "n_list_lines", "n_lines", high=90),
     Rule("cut_lines", "n_cut_lines", "n_lines", high=50),
 )
@@ -94,7 +94,8 @@ def windows_of(words: Column, k: int) -> Column:
 def repeated_cover(words: Column, k: int) -> Column:
     """How many words lie in a k-word window that the text holds twice or more.
 
-    Most texts hold each window once, which one hash set shows; only the others are sorted.
+    Most texts hold each window once, which distinct hashes prove; only the others are sorted,
+    by the words themselves.
     """
 
     def covered(windows: Column) -> Column:
@@ -113,14 +114,9 @@ def repeated_cover(words: Column, k: int) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
         return F.aggregate(let(ordered, places), start, add, lambda acc: acc["n"])
 
-    return let(windows_of(words, k), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
-
-
-def without(text: Column, chars: str) -> Column:
-    """Text without some characters; plain byte search, as each is rare or one byte long."""
-    for c in chars:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
+    once = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    return F.when(F.size(words) <= k, F.lit(0)).when(once, F.lit(0)).otherwise(let(windows_of(words, k), covered))
 
 
 def metrics(text: Column) -> Column:
@@ -132,8 +128,8 @@ def metrics(text: Column) -> Column:
         full = F.filter(lines, has_word)
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+            F.length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
             let(full, lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("n_dup_lines"),
             repeated_cover(words, WINDOW).cast("long").alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
