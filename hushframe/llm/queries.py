@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import containment, lines, near_dup, quality
+from . import containment, lines, near_dup, pieces, quality
 
-MODULES = (quality, near_dup, lines, containment)
+MODULES = (quality, pieces, near_dup, lines, containment)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
