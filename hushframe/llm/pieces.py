@@ -24,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,7 +121,7 @@ def _encoder(path: str):
         chunks = ChunkTable(path) if chunked(path) else None
         for batch in batches:
             texts = batch.column(0).fill_null("")
-            sizes = np.cumsum(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False))
+            sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
             lo = 0
             while lo < batch.num_rows:
                 before = sizes[lo - 1] if lo else 0
