@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import containment, lines, near_dup, pieces, quality, substring
+from . import containment, lines, near_dup, pieces, quality, shards, substring
 
-MODULES = (quality, substring, pieces, near_dup, lines, containment)
+MODULES = (quality, substring, pieces, shards, near_dup, lines, containment)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
