@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import containment, lines, quality
+from hushframe.llm import containment, lines, near_dup, pieces, quality
 from hushframe.llm.shared import stash, table
 
 
@@ -26,12 +26,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest doc_id."""
+    return near_dup.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return containment.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("decontamination", decontamination)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents but the text, with token count and digests of ids and decoded text."""
+    return pieces.digests(pieces.encode(docs, pieces.default_model(), keep=[c for c in docs.columns if c not in ("text", "ids", "decoded")]))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
 
 #: SentencePiece segmentation has no SQL form; the tests hold every stage against brute force.
 ORACLE_SQL = None
