@@ -13,11 +13,12 @@ Candidates, without all pairs of a bucket:
   1. every member of a bucket against the bucket's leader;
   2. in buckets that still hold several components, every member outside the leader's component
      against a leader that each band draws anew;
-  3. in buckets that are still mixed, the members outside the largest component against all others, the
-     registers being compared in blocks of ``BLOCK`` rows; pairs of one component need no more proof.
+  3. in buckets that are still mixed, the members outside the largest component against all members of other
+     components, in blocks of ``BLOCK`` rows that are compared where they lie; a pair is not a row, only a
+     link is.  Pairs of one component need no more proof.
 A candidate is dropped if its collision-corrected Jaccard estimate is ``MARGIN`` (five standard deviations)
-below the threshold; all others are verified on the texts.  So nothing is capped: a hot bucket costs its
-size times the number of leaders plus the registers of its unsettled members.
+below the threshold; all others are verified on the full sets of their texts.  So nothing is capped: a hot
+bucket costs its size times the number of leaders, and its unsettled members times its size in array work.
 
 Scale: the sketch (400 bytes) and 40 band keys per class are shuffled; the texts only of classes that
 share a band with another.  All intermediates lie in the shared folder.
@@ -44,7 +45,7 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 MARGIN = 0.16
-BLOCK = 2000
+BLOCK = 500
 _U = np.uint64
 _draw = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _draw.integers(0, 2**63, REGISTERS, dtype=_U) * _U(2) + _draw.integers(0, 2, REGISTERS, dtype=_U)
@@ -110,18 +111,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = []
         for lo in range(0, len(likely), 256):
             rows = likely[lo : lo + 256]
-            take = pa.array(rows)
-            sets = []
-            for i in (3, 7):
-                column = batch.column(i).take(take)
-                own: list[np.ndarray] = []
-                for _, _, data, at in tokens.chunks(column):
-                    text, h = tokens.shingles(tokens.words(data, at, lower=True), SHINGLE)
-                    own += np.split(h, np.searchsorted(text, np.arange(1, len(at) - 1)))
-                sets.append(own)
-            for row, x, y in zip(rows.tolist(), *sets, strict=True):
-                both = np.intersect1d(x, y, assume_unique=True).size
-                if both * 100 >= PERCENT * (x.size + y.size - both):
+            (x, xs), (y, ys) = (_sets(batch.column(i).take(pa.array(rows))) for i in (3, 7))
+            for r, row in enumerate(rows.tolist()):
+                one, two = x[xs[r] : xs[r + 1]], y[ys[r] : ys[r + 1]]
+                both = np.intersect1d(one, two, assume_unique=True).size
+                if both * 100 >= PERCENT * (one.size + two.size - both):
                     linked.append(row)
         out = pa.array(linked, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(out), batch.column(4).take(out)], ["u", "v"])
@@ -136,27 +130,58 @@ def _links(pairs: DataFrame, cand: DataFrame, name: str) -> DataFrame:
     return stash(rows.select(*columns).mapInArrow(_verify, "u string, v string"), name)
 
 
-def _sweep(batches: Iterator[pa.Table] | pa.Table) -> pa.Table:
-    """One cell: its rows (k, c, n, sig, side); pairs of different components, at least one from side 1."""
-    cell = batches
-    k, c, n, side = (cell.column(x).to_numpy() for x in ("k", "c", "n", "side"))
-    regs = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    everyone = np.arange(len(k))
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of all rows in one array, and where each row's begin (with the end)."""
+    hashes, sizes = [np.zeros(0, _U)], [np.zeros(1, np.int64)]
+    for _, _, data, at in tokens.chunks(column):
+        text, h = tokens.shingles(tokens.words(data, at, lower=True), SHINGLE)
+        hashes.append(h)
+        sizes.append(np.bincount(text, minlength=len(at) - 1))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(sizes))
+
+
+def _sweep(cell: pa.Table) -> pa.Table:
+    """One cell: its rows (b, c, n, sig, cls, text, side); the links between different components with at least one
+    end of side 1, each found in the first band that both ends share."""
+    cell = cell.combine_chunks()
+    c, n, side = (cell.column(x).to_numpy() for x in ("c", "n", "side"))
+    band = cell.column("b")[0].as_py()
+    regs = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint16).reshape(len(c), BANDS, ROWS)
+    everyone = np.arange(len(c))
+    near: list[tuple[int, np.ndarray]] = []
     for i in np.flatnonzero(side == 1):
-        fits = (c != c[i]) & (np.minimum(n, n[i]) * 100 >= PERCENT * np.maximum(n, n[i])) & ((side == 0) | (everyone > i) | (side == 2))
+        fits = (c != c[i]) & (np.minimum(n, n[i]) * 100 >= PERCENT * np.maximum(n, n[i])) & ((side != 1) | (everyone > i))
         others = np.flatnonzero(fits)
         if len(others):
-            near = others[estimate(regs[others], regs[i], n[others], n[i]) >= PERCENT / 100 - MARGIN]
-            left.append(np.full(len(near), k[i]))
-            right.append(k[near])
-    return pa.table({"ka": np.concatenate(left), "kb": np.concatenate(right)})
+            same = regs[others] == regs[i]
+            likely = estimate(same.reshape(len(others), -1), True, n[others], n[i]) >= PERCENT / 100 - MARGIN
+            others = others[likely & ~same[:, :band].all(axis=2).any(axis=1)]
+        if len(others):
+            near.append((i, others))
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if near:
+        rows = np.unique(np.concatenate([np.append(others, i) for i, others in near]))
+        flat, at = _sets(cell.column("text").combine_chunks().take(pa.array(rows)))
+        _, flat = np.unique(flat, return_inverse=True)
+        mine = np.zeros(int(flat.max()) + 1, np.int64)
+        for i, others in near:
+            x = np.searchsorted(rows, i)
+            mine[flat[at[x] : at[x + 1]]] = 1
+            sums = np.concatenate([[0], np.cumsum(mine[flat])])
+            y = np.searchsorted(rows, others)
+            both = sums[at[y + 1]] - sums[at[y]]
+            mine[flat[at[x] : at[x + 1]]] = 0
+            linked = others[both * 100 >= PERCENT * (n[others] + n[i] - both)]
+            u.append(np.full(len(linked), i))
+            v.append(linked)
+    cls = cell.column("cls").combine_chunks()
+    return pa.table({"u": cls.take(pa.array(np.concatenate(u))), "v": cls.take(pa.array(np.concatenate(v)))})
 
 
 def _settled(members: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Members of buckets of three or more that hold several components, with their component; and all components."""
     comp = components(links, name).select(F.xxhash64("vertex").alias("vk"), F.xxhash64("component").alias("vc"))
-    placed = members.join(comp, F.col("k") == F.col("vk"), "left").select("band", "k", F.coalesce("vc", "k").alias("c"))
+    placed = members.join(comp, F.col("k") == F.col("vk"), "left").select("b", "band", "k", F.coalesce("vc", "k").alias("c"))
     placed = stash(placed, name + "-placed")
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi AND size > 2")
     mixed = mixed.select(F.col("band").bitwiseXOR(F.lit(0)).alias("mband"), "size")
@@ -168,10 +193,10 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
     rows = sketched.filter("n > 0").withColumn("k", F.xxhash64("cls"))
     classes = rows.groupBy("cls", "k").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)))
-    bands = classes.select("k", F.explode(keys).alias("band"))
+    bands = classes.select("k", F.posexplode(keys).alias("b", "band"))
     shared = bands.groupBy("band").agg(F.min("k").alias("lead"), F.max("k").alias("last")).filter("lead <> last")
     shared = shared.select(F.col("band").bitwiseXOR(F.lit(0)).alias("sband"), "lead")
-    members = stash(bands.join(shared, F.col("band") == F.col("sband")).select("band", "k", "lead"), "members")
+    members = stash(bands.join(shared, F.col("band") == F.col("sband")).select("b", "band", "k", "lead"), "members")
 
     wanted = members.select(F.col("k").alias("wk")).distinct()
     reps = classes.join(wanted, F.col("k") == F.col("wk")).select("k", "cls", "n", "sig", F.col("rep._id").alias("rid"), F.col("rep._h").alias("rh"))
@@ -182,7 +207,7 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
     tried = members.filter("k <> lead").select(F.col("k").alias("ka"), F.col("lead").alias("kb")).distinct()
     found = _links(tried, cand, "links-1")
 
-    members = members.select("band", "k")
+    members = members.select("b", "band", "k")
     mixed, _ = _settled(members, found, "round-1")
     # a leader drawn anew in each band; hashing the band and the member makes the draw repeatable
     drawn = mixed.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "k", F.lit(2)).alias("o"), "k", "c")).alias("d"))
@@ -200,10 +225,11 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
         F.greatest(blocks(F.col("top.m")), F.lit(1)).alias("mains"),
         F.greatest(blocks(F.col("all") - F.col("top.m")), F.lit(1)).alias("rests"),
     )
-    rows = mixed.join(largest, F.col("band") == F.col("tband")).join(cand.select(F.col("k").alias("ck"), "n", "sig"), F.col("k") == F.col("ck"))
-    rows = rows.select("band", "k", "c", "n", "sig", F.explode(_cells()).alias("cell")).select("band", "k", "c", "n", "sig", "cell.*")
-    pairs = rows.groupBy("band", "i", "j").applyInArrow(_sweep, "ka long, kb long").distinct()
-    return found.unionByName(_links(pairs, cand, "links-3"))
+    own = cand.select(F.col("k").alias("ck"), "cls", "n", "sig", "text")
+    rows = mixed.join(largest, F.col("band") == F.col("tband")).withColumn("cell", F.explode(_cells())).select("b", "band", "k", "c", "cell.*")
+    rows = rows.join(own, F.col("k") == F.col("ck")).select("b", "band", "i", "j", "side", "c", "cls", "n", "sig", "text")
+    last = rows.groupBy("band", "i", "j").applyInArrow(_sweep, "u string, v string")
+    return found.unionByName(stash(last, "links-3"))
 
 
 def _cells() -> Column:
