@@ -5,10 +5,11 @@ with a smaller doc_id is a repeat there, and the words it covers are removed; ev
 the input.  Handling each edge as a row would shuffle the corpus many times over, so edges travel as
 nonbranching path pieces:
 
+  copies    Of documents equal in their whole text only the first takes part; the others are repeats throughout.
   pieces    A window's anchor is the smallest-hashing ``M``-word run in it.  Consecutive windows with one
             anchor form a piece.  Equal windows have equal anchors, so only pieces whose anchor another
             document has as well can hold a repeat; all others leave after one count by anchor.
-  compact   Pieces equal in all their words (two 64-bit digests of the words at the source coordinates) are one
+  compact   Pieces equal in all their words (96 bits of digests of the words at the source coordinates) are one
             path; a grouped minimum gives its first document, and a join takes that back to every
             occurrence.  In all later documents the whole path is a repeat.
   branches  An anchor with several different paths is where the graph branches: paths may share some of
@@ -16,8 +17,8 @@ nonbranching path pieces:
             by one, read again from the source coordinates, and compared by their own digests.
 
 Scale: every step is a shuffle of narrow rows by a hash key with map-side partial aggregation; hot
-anchors and paths are split by adaptive execution.  The texts are dealt by document in one exchange which
-all three steps that need them reuse; no step collects rows of a key.
+anchors and paths are split by adaptive execution.  The texts are dealt by document, compressed, in one exchange
+which all steps that need them reuse; no step collects rows of a key but those of one document.
 
 Edge cases: null and empty texts have no words; texts of fewer than ``K`` words lose none.  Rows without a
 doc_id come before and after nothing: they lose no words and remove none.  Rows of equal doc_id do
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .shared import rekey, table
+from .shared import table
 
 K, M = 13, 4
 _U = np.uint64
@@ -79,26 +80,60 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_id, _h, text) to (_id, _h, z): texts travel compressed, which the block codec does less well."""
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        z = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["_id", "_h", "z"])
+
+
+def _texts(batch: pa.RecordBatch, limit: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Stretches of the texts packed in column z, as ``tokens.chunks`` gives them; rows without one are empty."""
+    codec, lo, held, size, limit = pa.Codec("zstd"), 0, [], 0, limit or tokens.CHUNK_BYTES
+    packed = batch.column(2)
+    for row in range(batch.num_rows + 1):
+        if held and (row == batch.num_rows or size > limit):
+            at = np.concatenate([[0], np.cumsum([len(t) for t in held])])
+            yield lo, row, np.frombuffer(b"".join(held), np.uint8), at
+            lo, held, size = row, [], 0
+        if row < batch.num_rows:
+            z = packed[row].as_buffer() if packed[row].is_valid else None
+            held.append(codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True) if z is not None else b"")
+            size += len(held[-1])
+
+
+def _places(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The pieces of the rows (_id, _h, z, copy) that have an id and are no copy: (those rows, number of the first
+    one, then arrays: row from there, anchor, first word)."""
+    batch = batch.filter(pc.and_(batch.column(0).is_valid(), pc.is_null(batch.column(3))))
+    for lo, _, data, at in _texts(batch):
+        w = tokens.words(data, at)
+        p = pieces(w)
+        doc = np.searchsorted(w.first, p.start, side="right") - 1
+        yield batch, lo, doc, p.anchor >> _U(16), (p.start - w.first[doc]).astype(np.int32)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to the distinct anchors of each text."""
+    """The distinct anchors (48 bits) of each text."""
     for batch in batches:
-        for _, _, data, at in tokens.chunks(batch.column(0)):
-            w = tokens.words(data, at)
-            p = pieces(w)
-            _, a = tokens.distinct_by_text(np.searchsorted(w.first, p.start, side="right") - 1, p.anchor)
-            yield pa.RecordBatch.from_arrays([_signed(a)], ["a"])
+        for _, _, doc, anchor, _ in _places(batch):
+            yield pa.RecordBatch.from_arrays([_signed(tokens.distinct_by_text(doc, anchor)[1])], ["a"])
 
 
 def _anchor_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, text) to (a, _id, _h, p): every piece's anchor and first word."""
+    """(a, _id, _h, p): every piece's anchor and first word."""
     for batch in batches:
-        for lo, _, data, at in tokens.chunks(batch.column(2)):
-            w = tokens.words(data, at)
-            p = pieces(w)
-            doc = np.searchsorted(w.first, p.start, side="right") - 1
+        for own, lo, doc, anchor, place in _places(batch):
             rows = pa.array(lo + doc)
-            place = pa.array((p.start - w.first[doc]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([_signed(p.anchor), batch.column(0).take(rows), batch.column(1).take(rows), place], ["a", "_id", "_h", "p"])
+            yield pa.RecordBatch.from_arrays([_signed(anchor), own.column(0).take(rows), own.column(1).take(rows), pa.array(place)], ["a", "_id", "_h", "p"])
+
+
+def _digests(w: tokens.Words, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """96 bits over the words from start to end, wherever they lie."""
+    one = tokens.ranges(tokens.prefix(w.hash, tokens.WORD_BASE), start, end, tokens.WORD_BASE)
+    two = tokens.ranges(tokens.prefix(tokens.mix(w.hash, 2), tokens.SPAN_BASE), start, end, tokens.SPAN_BASE)
+    return _signed(tokens.mix(one, 1)), pa.array((tokens.mix(two, 3) >> _U(32)).astype(np.uint32).view(np.int32))
 
 
 def _lists(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, pa.Array]:
@@ -109,9 +144,9 @@ def _lists(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, pa.Array]:
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, text, starts) to (a, d1, d2, r, _id, _h, p): the pieces that begin at the listed words, with digests."""
+    """(_id, _h, z, starts) to (d1, d2, a, _id, _h, p, r): the pieces that begin at the listed words, with digests."""
     for batch in batches:
-        for lo, hi, data, at in tokens.chunks(batch.column(2)):
+        for lo, hi, data, at in _texts(batch):
             doc, listed = _lists(batch.column(3), lo, hi)
             if not len(doc):
                 continue
@@ -119,114 +154,125 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = pieces(w)
             i = np.unique(np.searchsorted(p.start, w.first[doc] + listed.to_numpy()))
             start, count = p.start[i], p.count[i]
-            end = start + count + K - 1
-            one = tokens.mix(tokens.ranges(tokens.prefix(w.hash, tokens.WORD_BASE), start, end, tokens.WORD_BASE), 1)
-            two = tokens.mix(tokens.ranges(tokens.prefix(tokens.mix(w.hash, 2), tokens.SPAN_BASE), start, end, tokens.SPAN_BASE), 3)
             doc = np.searchsorted(w.first, start, side="right") - 1
             rows, place = pa.array(lo + doc), pa.array((start - w.first[doc]).astype(np.int32))
-            columns = [_signed(p.anchor[i]), _signed(one), _signed(two), pa.array(count.astype(np.int32))]
-            columns += [batch.column(0).take(rows), batch.column(1).take(rows), place]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "d1", "d2", "r", "_id", "_h", "p"])
+            columns = [*_digests(w, start, start + count + K - 1), _signed(p.anchor[i] >> _U(16))]
+            columns += [batch.column(0).take(rows), batch.column(1).take(rows), place, pa.array(count.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "a", "_id", "_h", "p", "r"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, text, open) to (w1, w2, _id, _h, p): each window of the listed pieces (p, r), with digests."""
+    """(_id, _h, z, marks) to (w1, w2, _id, _h, p): each window of the open pieces, with digests."""
     for batch in batches:
-        for lo, hi, data, at in tokens.chunks(batch.column(2)):
+        for lo, hi, data, at in _texts(batch):
             doc, listed = _lists(batch.column(3), lo, hi)
-            if not len(doc):
+            is_open = ~listed.field("whole").to_numpy(zero_copy_only=False) if len(doc) else np.zeros(0, bool)
+            if not is_open.any():
                 continue
             w = tokens.words(data, at)
-            first, count = listed.field("p").to_numpy().astype(np.int64), listed.field("r").to_numpy().astype(np.int64)
+            doc, first, count = doc[is_open], *(listed.field(x).to_numpy().astype(np.int64)[is_open] for x in "pr")
             place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             doc = np.repeat(doc, count)
             start = w.first[doc] + place
-            one = tokens.mix(tokens.ranges(tokens.prefix(w.hash, tokens.WORD_BASE), start, start + K, tokens.WORD_BASE), 1)
-            two = tokens.mix(tokens.ranges(tokens.prefix(tokens.mix(w.hash, 2), tokens.SPAN_BASE), start, start + K, tokens.SPAN_BASE), 3)
             rows = pa.array(lo + doc)
-            columns = [_signed(one), _signed(two), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32))]
+            columns = [*_digests(w, start, start + K), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "_id", "_h", "p"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, spans, ...) to (..., n_words, n_removed, kept)."""
+    """(_id, _h, z, marks, places, copy, ...) to (..., n_words, n_removed, kept)."""
     for batch in batches:
-        for lo, hi, data, at in tokens.chunks(batch.column(0), 1 << 20):
-            doc, listed = _lists(batch.column(1), lo, hi)
+        for lo, hi, data, at in _texts(batch, 1 << 20):
             w = tokens.words(data, at)
+            n = w.counts
             step = np.zeros(len(w.hash) + 1, np.int64)
+            doc, marks = _lists(batch.column(3), lo, hi)
             if len(doc):
-                np.add.at(step, w.first[doc] + listed.field("s").to_numpy(), 1)
-                np.add.at(step, w.first[doc] + listed.field("e").to_numpy(), -1)
-            keep = np.cumsum(step[:-1]) == 0
-            n = w.counts
+                whole = marks.field("whole").to_numpy(zero_copy_only=False)
+                start = (w.first[doc] + marks.field("p").to_numpy())[whole]
+                np.add.at(step, start, 1)
+                np.add.at(step, start + marks.field("r").to_numpy()[whole] + (K - 1), -1)
+            doc, places = _lists(batch.column(4), lo, hi)
+            if len(doc):
+                start = w.first[doc] + places.to_numpy()
+                np.add.at(step, start, 1)
+                np.add.at(step, start + K, -1)
+            copy = batch.column(5).slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False) & (n >= K)
+            keep = (np.cumsum(step[:-1]) == 0) & ~np.repeat(copy, n)
             sums = np.concatenate([[0], np.cumsum(~keep)])
             gone = sums[w.first[1:]] - sums[w.first[:-1]]
-            raw, texts = data[at[0] : at[-1]].tobytes(), []
-            for i, b, e in zip(range(hi - lo), (at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True):
+            raw, texts = data.tobytes(), []
+            for i, b, e in zip(range(hi - lo), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = raw[b:e].split()
                 texts.append(b" ".join(compress(own, keep[w.first[i] : w.first[i + 1]].tolist()) if gone[i] else own))
-            rest = batch.slice(lo, hi - lo).columns[2:]
+            rest = batch.slice(lo, hi - lo).columns[6:]
             kept = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(gone), kept], [*batch.schema.names[2:], "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(gone), kept], [*batch.schema.names[6:], "n_words", "n_removed", "kept"])
 
 
-def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _h, spans): for documents (id and text hash) that lose words, word ranges [s, e), which may overlap."""
-    source = _source(docs, doc_id, text)
-    told = source.filter("_id IS NOT NULL")
-    shared = told.select("text").mapInArrow(_anchors, "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = shared.select(F.col("a").bitwiseXOR(F.lit(0)).alias("sa"))
-    hits = told.mapInArrow(_anchor_places, "a long, _id long, _h long, p int").join(shared, F.col("a") == F.col("sa"), "left_semi")
-    hits = hits.groupBy("_id", "_h").agg(F.collect_list("p").alias("starts"))
-    path = ["a", "d1", "d2", "r"]
-    found = _beside(source, hits, "starts").mapInArrow(_paths, "a long, d1 long, d2 long, r int, _id long, _h long, p int")
+def _beside(packed: DataFrame, lists: DataFrame, *names: str) -> DataFrame:
+    """Every packed text with what ``lists`` (_id, _h, names) has for it, if anything.  Always a left join on
+    the same columns, so that the exchange of the texts is planned once and reused."""
+    lists = lists.select(F.col("_id").alias("_lid"), F.col("_h").alias("_lh"), *names)
+    return packed.join(lists, (F.col("_id") == F.col("_lid")) & (F.col("_h") == F.col("_lh")), "left").drop("_lid", "_lh")
 
-    paths = found.groupBy(*path).agg(F.min("_id").alias("least"))
-    several = paths.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("a").bitwiseXOR(F.lit(0)).alias("ba"))
-    branched = paths.join(several, F.col("a") == F.col("ba"), "left").select(*(F.col(c).alias("p" + c) for c in path), "least", F.col("ba").isNotNull().alias("branch"))
-    branched = branched.withColumn("pk", rekey(*("p" + c for c in path)))
-    same = F.col("k") == F.col("pk")
-    for c in path:
-        same = same & (F.col(c) == F.col("p" + c))
-    placed = found.withColumn("k", rekey(*path)).join(branched, same)
 
-    whole = placed.filter("_id > least").select("_id", "_h", F.col("p").alias("s"), (F.col("p") + F.col("r") + (K - 1)).alias("e"))
-    open_ = placed.filter("_id = least AND branch").groupBy("_id", "_h").agg(F.collect_list(F.struct("p", "r")).alias("open"))
-    edges = _beside(source, open_, "open").mapInArrow(_edges, "w1 long, w2 long, _id long, _h long, p int")
-    firsts = edges.groupBy("w1", "w2").agg(F.min("_id").alias("least"), F.max("_id").alias("last")).filter("least < last")
-    firsts = firsts.select(rekey("w1", "w2").alias("fk"), F.col("w1").alias("f1"), F.col("w2").alias("f2"), "least")
-    single = edges.withColumn("k", rekey("w1", "w2")).join(firsts, (F.col("k") == F.col("fk")) & (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2")))
-    single = single.filter("_id > least").select("_id", "_h", F.col("p").alias("s"), (F.col("p") + K).alias("e"))
-    return whole.unionByName(single).groupBy("_id", "_h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+def _again(*columns: str) -> list:
+    """Columns under new names, as expressions: a join on them deals this side in an exchange of its own, which
+    adaptive execution may split where a key is hot."""
+    return [F.col(c).bitwiseXOR(F.lit(0)).alias("_" + c) for c in columns]
 
 
-def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_h"), F.col(text).alias("text"))
+def removals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The packed texts (_id, _h, z), and beside them (marks, places, copy), which say what each loses."""
+    source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.hash(F.col(text)).alias("_h"), F.col(text).alias("text"))
+    packed = source.mapInArrow(_pack, "_id long, _h int, z binary")
+    equal = source.filter("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_h", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2"))
+    firsts = equal.groupBy("x1", "x2").agg(F.min("_id").alias("least"), F.max("_id").alias("last")).filter("least < last")
+    copies = equal.join(firsts.select(*_again("x1", "x2"), "least"), (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")))
+    copies = copies.filter("_id > least").groupBy("_id", "_h").agg(F.lit(True).alias("copy"))
 
+    originals = _beside(packed, copies, "copy")
+    shared = originals.mapInArrow(_anchors, "a long not null").groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("a"))
+    hits = originals.mapInArrow(_anchor_places, "a long not null, _id long, _h int, p int").join(shared, F.col("a") == F.col("_a"), "left_semi")
+    hits = hits.groupBy("_id", "_h").agg(F.collect_list("p").alias("starts"))
+    found = _beside(packed, hits, "starts").mapInArrow(_paths, "d1 long not null, d2 int not null, a long not null, _id long, _h int, p int, r int")
+
+    paths = found.groupBy("d1", "d2", "a").agg(F.min("_id").alias("least"))
+    # the check of ``most`` keeps the columns of both uses of ``paths`` alike, so that its exchange is reused
+    several = paths.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("most")).filter("n > 1 AND most IS NOT NULL").select(*_again("a"))
+    paths = paths.join(several, F.col("a") == F.col("_a"), "left").select(*_again("d1", "d2"), "least", F.col("_a").isNotNull().alias("branch"))
+    placed = found.join(paths, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).filter("_id > least OR branch")
+    mark = F.struct("p", "r", (F.col("_id") > F.col("least")).alias("whole"))
+    marks = placed.groupBy("_id", "_h").agg(F.collect_list(mark).alias("marks"))
 
-def _beside(source: DataFrame, lists: DataFrame, name: str) -> DataFrame:
-    """Every row of ``source`` with its list, if any.  Always the same left join, so that the exchange of the
-    texts is planned once and reused."""
-    lists = lists.select(F.col("_id").alias("_lid"), F.col("_h").alias("_lh"), name)
-    return source.join(lists, (F.col("_id") == F.col("_lid")) & (F.col("_h") == F.col("_lh")), "left").select("_id", "_h", "text", name)
+    edges = _beside(packed, marks, "marks").mapInArrow(_edges, "w1 long not null, w2 int not null, _id long, _h int, p int")
+    least = edges.groupBy("w1", "w2").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("w1", "w2"), "least")
+    places = edges.join(least, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))).filter("_id > least")
+    places = places.groupBy("_id", "_h").agg(F.collect_list("p").alias("places"))
+    told = marks.join(places.withColumnsRenamed({"_id": "_pi", "_h": "_ph"}), (F.col("_id") == F.col("_pi")) & (F.col("_h") == F.col("_ph")), "left").drop("_pi", "_ph")
+    return _beside(_beside(packed, told, "marks", "places"), copies, "copy")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows with ``n_words``, ``n_removed`` and ``kept`` (the kept words joined by one space), which
-    replace columns of those names."""
-    keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    spans = removed_spans(docs, doc_id, text)
-    spans = spans.select(F.col("_id").alias("_lid"), F.col("_h").alias("_lh"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumns({"_h": F.xxhash64(F.col(text)), "_id": F.col(doc_id).cast("long"), "_text": F.col(text)})
-    rows = keyed.join(spans, (F.col("_id") == F.col("_lid")) & (F.col("_h") == F.col("_lh")), "left").select("_text", "_spans", *keep)
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return rows.mapInArrow(_cut, T.StructType([*(rows.schema[c] for c in keep), *added]))
+    replace columns of those names.  Columns besides id and text are joined back by id and text hash."""
+    rows = removals(docs, doc_id, text)
+    added = "n_words long, n_removed long, kept string"
+    others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    if others == [doc_id]:
+        return rows.withColumn(doc_id, F.col("_id").cast(docs.schema[doc_id].dataType)).mapInArrow(_cut, T.StructType([docs.schema[doc_id], *_ADDED]))
+    rows = rows.withColumns({"_cid": F.col("_id"), "_ch": F.col("_h")})
+    cut = rows.mapInArrow(_cut, f"_cid long, _ch int, {added}").dropDuplicates(["_cid", "_ch"])
+    keyed = docs.select(*others, F.hash(F.col(text)).alias("_h"))
+    return keyed.join(cut, F.col(doc_id).eqNullSafe(F.col("_cid")) & (F.col("_h") == F.col("_ch"))).select(*others, "n_words", "n_removed", "kept")
+
+
+_ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = _beside(_source(docs, "doc_id", "text"), removed_spans(docs), "spans").select("text", "spans", F.col("_id").alias("doc_id"))
+    rows = removals(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("doc_id", F.col("_id"))
     out = rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
