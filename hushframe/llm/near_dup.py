@@ -178,14 +178,27 @@ def _sweep(cell: pa.Table) -> pa.Table:
     return pa.table({"u": cls.take(pa.array(np.concatenate(u))), "v": cls.take(pa.array(np.concatenate(v)))})
 
 
-def _settled(members: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets of three or more that hold several components, with their component; and all components."""
-    comp = components(links, name).select(F.xxhash64("vertex").alias("vk"), F.xxhash64("component").alias("vc"))
-    placed = members.join(comp, F.col("k") == F.col("vk"), "left").select("b", "band", "k", F.coalesce("vc", "k").alias("c"))
+def _labels(found: DataFrame, name: str) -> DataFrame:
+    """(vk, vc): a label for every linked class, that most classes of a component share.
+
+    The smallest neighbour, followed a few steps; what this leaves apart is only compared once more."""
+    both = found.select(F.xxhash64("u").alias("k"), F.xxhash64("v").alias("o"))
+    both = both.unionByName(both.select(F.col("o").alias("k"), F.col("k").alias("o")))
+    least = stash(both.groupBy("k").agg(F.min("o").alias("o")).select(F.col("k").alias("vk"), F.least("k", "o").alias("vc")), name)
+    out, step = least, least.select(F.col("vk").alias("from"), F.col("vc").alias("to"))
+    for _ in range(3):
+        out = out.join(step, F.col("vc") == F.col("from")).select("vk", F.col("to").alias("vc"))
+    return out
+
+
+def _mixed(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Members of buckets of three or more that hold several labels, with their label c."""
+    labels = _labels(found, name)
+    placed = members.join(labels, F.col("k") == F.col("vk"), "left").select("b", "band", "k", F.coalesce("vc", "k").alias("c"))
     placed = stash(placed, name + "-placed")
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi AND size > 2")
-    mixed = mixed.select(F.col("band").bitwiseXOR(F.lit(0)).alias("mband"), "size")
-    return placed.join(mixed, F.col("band") == F.col("mband")).drop("mband"), comp
+    mixed = mixed.select(F.col("band").bitwiseXOR(F.lit(0)).alias("mband"))
+    return placed.join(mixed, F.col("band") == F.col("mband")).drop("mband")
 
 
 def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,14 +221,14 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
     found = _links(tried, cand, "links-1")
 
     members = members.select("b", "band", "k")
-    mixed, _ = _settled(members, found, "round-1")
+    mixed = _mixed(members, found, "round-1")
     # a leader drawn anew in each band; hashing the band and the member makes the draw repeatable
     drawn = mixed.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "k", F.lit(2)).alias("o"), "k", "c")).alias("d"))
     drawn = drawn.select(F.col("band").bitwiseXOR(F.lit(0)).alias("dband"), F.col("d.k").alias("kb"), F.col("d.c").alias("cb"))
     again = mixed.join(drawn, F.col("band") == F.col("dband")).filter("c <> cb").select(F.col("k").alias("ka"), "kb").distinct()
     found = found.unionByName(_links(again, cand, "links-2"))
 
-    mixed, _ = _settled(members, found, "round-2")
+    mixed = _mixed(members, found, "round-2")
     sizes = mixed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"))
     blocks = lambda x: F.ceil(x / F.lit(BLOCK)).cast("int")
