@@ -12,9 +12,9 @@ nonbranching path pieces:
   compact   Pieces equal in all their words (96 bits of digests of the words at the source coordinates) are one
             path; a grouped minimum gives its first document, and a join takes that back to every
             occurrence.  In all later documents the whole path is a repeat.
-  branches  An anchor with several different paths is where the graph branches: paths may share some of
-            their edges.  Only there, and only in each path's first document, the edges are listed one
-            by one, read again from the source coordinates, and compared by their own digests.
+  branches  Where the graph branches, different paths share some of their edges; they then share the anchor with
+            ``SIDE`` words on one side of it.  Only paths that do, and only in each path's first document, have
+            their edges listed one by one, read again from the source coordinates, and compared by digest.
 
 Scale: every step is a shuffle of narrow rows by a hash key with map-side partial aggregation; hot
 anchors and paths are split by adaptive execution.  The texts are dealt by document, compressed, in one exchange
@@ -34,7 +34,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,17 +42,23 @@ from . import tokens
 from .shared import table
 
 K, M = 13, 4
+#: A piece's first word and its number of windows (at most K) travel as one number; negative in marks: an open path.
+_COUNTS = 16
+#: Two paths that share a window have the anchor and this many words before it, or after it, in common.
+SIDE = (K - M + 1) // 2
 _U = np.uint64
 _PLACE = _U((1 << 26) - 1)
 
 
 @dataclass
 class Pieces:
-    """Runs of ``count`` windows from word ``start`` on that share the anchor; numbered over a chunk of texts."""
+    """Runs of ``count`` windows from word ``start`` on that share the anchor, which begins at word ``place``; words
+    are numbered over a chunk of texts."""
 
     start: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
+    place: np.ndarray
 
 
 def pieces(w: tokens.Words) -> Pieces:
@@ -60,7 +66,7 @@ def pieces(w: tokens.Words) -> Pieces:
     left = w.first[1:][w.text_of()] - np.arange(n)
     windows = np.flatnonzero(left >= K)
     if not len(windows):
-        return Pieces(windows, windows, np.zeros(0, _U))
+        return Pieces(windows, windows, np.zeros(0, _U), windows)
     grams = w.runs(M)
     # the smallest hash wins, then the leftmost place; the place is kept in the low bits
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=_U)
@@ -73,7 +79,7 @@ def pieces(w: tokens.Words) -> Pieces:
     new = np.ones(len(windows), bool)
     new[1:] = (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)
     at = np.flatnonzero(new)
-    return Pieces(windows[at], np.diff(np.append(at, len(windows))), grams[place[at]])
+    return Pieces(windows[at], np.diff(np.append(at, len(windows))), grams[place[at]], place[at])
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -103,30 +109,20 @@ def _texts(batch: pa.RecordBatch, limit: int = 0) -> Iterator[tuple[int, int, np
             size += len(held[-1])
 
 
-def _places(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """The pieces of the rows (_id, _h, z, copy) that have an id and are no copy: (those rows, number of the first
-    one, then arrays: row from there, anchor, first word)."""
-    batch = batch.filter(pc.and_(batch.column(0).is_valid(), pc.is_null(batch.column(3))))
-    for lo, _, data, at in _texts(batch):
-        w = tokens.words(data, at)
-        p = pieces(w)
-        doc = np.searchsorted(w.first, p.start, side="right") - 1
-        yield batch, lo, doc, p.anchor >> _U(16), (p.start - w.first[doc]).astype(np.int32)
-
-
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors (48 bits) of each text."""
+    """(_id, _h, z, copy) to (a, _id, _h): the distinct anchors (48 bits) of every row that has an id and is no copy."""
     for batch in batches:
-        for _, _, doc, anchor, _ in _places(batch):
-            yield pa.RecordBatch.from_arrays([_signed(tokens.distinct_by_text(doc, anchor)[1])], ["a"])
+        batch = batch.filter(pc.and_(batch.column(0).is_valid(), pc.is_null(batch.column(3))))
+        for lo, _, data, at in _texts(batch):
+            w = tokens.words(data, at)
+            p = pieces(w)
+            doc, anchor = tokens.distinct_by_text(w.text_of()[p.start], p.anchor >> _U(16))
+            rows = pa.array(lo + doc)
+            yield pa.RecordBatch.from_arrays([_signed(anchor), batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "_id", "_h"])
 
 
-def _anchor_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, _id, _h, p): every piece's anchor and first word."""
-    for batch in batches:
-        for own, lo, doc, anchor, place in _places(batch):
-            rows = pa.array(lo + doc)
-            yield pa.RecordBatch.from_arrays([_signed(anchor), own.column(0).take(rows), own.column(1).take(rows), pa.array(place)], ["a", "_id", "_h", "p"])
+def _keys(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return tokens.mix(anchor.astype(_U) ^ tokens.mix(doc.astype(_U), 6))
 
 
 def _digests(w: tokens.Words, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -143,8 +139,22 @@ def _lists(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(hi - lo), sizes), part.flatten()
 
 
+def _sides(w: tokens.Words, p: Pieces, i: np.ndarray) -> list[pa.Array]:
+    """48 bits over each piece's anchor with ``SIDE`` words before it, and with as many after it; null where the
+    piece does not reach so far."""
+    out = []
+    sums = tokens.prefix(w.hash, tokens.WORD_BASE)
+    for seed, before, after in ((4, SIDE, M), (5, 0, M + SIDE)):
+        start, end = p.place[i] - before, p.place[i] + after
+        inside = (start >= p.start[i]) & (end <= p.start[i] + p.count[i] + K - 1)
+        h = tokens.mix(tokens.ranges(sums, np.where(inside, start, 0), np.where(inside, end, 0), tokens.WORD_BASE), seed) >> _U(16)
+        out.append(pa.array(h.view(np.int64), mask=~inside))
+    return out
+
+
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, z, starts) to (d1, d2, a, _id, _h, p, r): the pieces that begin at the listed words, with digests."""
+    """(_id, _h, z, anchors) to (d1, d2, left, right, _id, _h, at): the pieces with the listed anchors, with the
+    digests of their words and of their sides; at: first word and number of windows."""
     for batch in batches:
         for lo, hi, data, at in _texts(batch):
             doc, listed = _lists(batch.column(3), lo, hi)
@@ -152,13 +162,13 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             w = tokens.words(data, at)
             p = pieces(w)
-            i = np.unique(np.searchsorted(p.start, w.first[doc] + listed.to_numpy()))
-            start, count = p.start[i], p.count[i]
-            doc = np.searchsorted(w.first, start, side="right") - 1
-            rows, place = pa.array(lo + doc), pa.array((start - w.first[doc]).astype(np.int32))
-            columns = [*_digests(w, start, start + count + K - 1), _signed(p.anchor[i] >> _U(16))]
-            columns += [batch.column(0).take(rows), batch.column(1).take(rows), place, pa.array(count.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "a", "_id", "_h", "p", "r"])
+            own = w.text_of()[p.start]
+            i = np.flatnonzero(np.isin(_keys(own, p.anchor >> _U(16)), _keys(doc, listed.to_numpy())))
+            start, count, doc = p.start[i], p.count[i], own[i]
+            rows, place = pa.array(lo + doc), start - w.first[doc]
+            columns = [*_digests(w, start, start + count + K - 1), *_sides(w, p, i)]
+            columns += [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place * _COUNTS + count).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "left", "right", "_id", "_h", "at"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +176,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, at in _texts(batch):
             doc, listed = _lists(batch.column(3), lo, hi)
-            is_open = ~listed.field("whole").to_numpy(zero_copy_only=False) if len(doc) else np.zeros(0, bool)
-            if not is_open.any():
+            listed = listed.to_numpy().astype(np.int64) if len(doc) else np.zeros(0, np.int64)
+            if not (listed < 0).any():
                 continue
             w = tokens.words(data, at)
-            doc, first, count = doc[is_open], *(listed.field(x).to_numpy().astype(np.int64)[is_open] for x in "pr")
+            doc, (first, count) = doc[listed < 0], divmod(-listed[listed < 0], _COUNTS)
             place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             doc = np.repeat(doc, count)
             start = w.first[doc] + place
@@ -179,6 +189,13 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "_id", "_h", "p"])
 
 
+def _cover(step: np.ndarray, w: tokens.Words, doc: np.ndarray, place: np.ndarray, length: np.ndarray | int) -> None:
+    """Mark where runs of covered words begin and end, within their text."""
+    end = w.first[doc + 1]
+    np.add.at(step, np.minimum(w.first[doc] + place, end), 1)
+    np.add.at(step, np.minimum(w.first[doc] + place + length, end), -1)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_id, _h, z, marks, places, copy, ...) to (..., n_words, n_removed, kept)."""
     for batch in batches:
@@ -188,15 +205,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = np.zeros(len(w.hash) + 1, np.int64)
             doc, marks = _lists(batch.column(3), lo, hi)
             if len(doc):
-                whole = marks.field("whole").to_numpy(zero_copy_only=False)
-                start = (w.first[doc] + marks.field("p").to_numpy())[whole]
-                np.add.at(step, start, 1)
-                np.add.at(step, start + marks.field("r").to_numpy()[whole] + (K - 1), -1)
+                marks = marks.to_numpy().astype(np.int64)
+                first, count = divmod(marks[marks > 0], _COUNTS)
+                _cover(step, w, doc[marks > 0], first, count + (K - 1))
             doc, places = _lists(batch.column(4), lo, hi)
             if len(doc):
-                start = w.first[doc] + places.to_numpy()
-                np.add.at(step, start, 1)
-                np.add.at(step, start + K, -1)
+                _cover(step, w, doc, places.to_numpy(), K)
             copy = batch.column(5).slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False) & (n >= K)
             keep = (np.cumsum(step[:-1]) == 0) & ~np.repeat(copy, n)
             sums = np.concatenate([[0], np.cumsum(~keep)])
@@ -223,30 +237,38 @@ def _again(*columns: str) -> list:
     return [F.col(c).bitwiseXOR(F.lit(0)).alias("_" + c) for c in columns]
 
 
+def _text_bits(text: str) -> Column:
+    """16 bits of a text's hash: they tell texts of one doc_id apart, which no other row needs."""
+    return F.hash(F.col(text)).bitwiseAND(F.lit(0x7FFF)).cast("short")
+
+
 def removals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The packed texts (_id, _h, z), and beside them (marks, places, copy), which say what each loses."""
-    source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.hash(F.col(text)).alias("_h"), F.col(text).alias("text"))
-    packed = source.mapInArrow(_pack, "_id long, _h int, z binary")
+    source = docs.select(F.col(doc_id).cast("long").alias("_id"), _text_bits(text).alias("_h"), F.col(text).alias("text"))
+    packed = source.mapInArrow(_pack, "_id long, _h short, z binary")
     equal = source.filter("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_h", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2"))
     firsts = equal.groupBy("x1", "x2").agg(F.min("_id").alias("least"), F.max("_id").alias("last")).filter("least < last")
     copies = equal.join(firsts.select(*_again("x1", "x2"), "least"), (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")))
     copies = copies.filter("_id > least").groupBy("_id", "_h").agg(F.lit(True).alias("copy"))
 
     originals = _beside(packed, copies, "copy")
-    shared = originals.mapInArrow(_anchors, "a long not null").groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("a"))
-    hits = originals.mapInArrow(_anchor_places, "a long not null, _id long, _h int, p int").join(shared, F.col("a") == F.col("_a"), "left_semi")
-    hits = hits.groupBy("_id", "_h").agg(F.collect_list("p").alias("starts"))
-    found = _beside(packed, hits, "starts").mapInArrow(_paths, "d1 long not null, d2 int not null, a long not null, _id long, _h int, p int, r int")
-
-    paths = found.groupBy("d1", "d2", "a").agg(F.min("_id").alias("least"))
-    # the check of ``most`` keeps the columns of both uses of ``paths`` alike, so that its exchange is reused
-    several = paths.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("most")).filter("n > 1 AND most IS NOT NULL").select(*_again("a"))
-    paths = paths.join(several, F.col("a") == F.col("_a"), "left").select(*_again("d1", "d2"), "least", F.col("_a").isNotNull().alias("branch"))
+    anchors = originals.mapInArrow(_anchors, "a long not null, _id long, _h short")
+    shared = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("a"))
+    hits = anchors.join(shared, F.col("a") == F.col("_a"), "left_semi").groupBy("_id", "_h").agg(F.collect_list("a").alias("anchors"))
+    found = _beside(packed, hits, "anchors").mapInArrow(
+        _paths, "d1 long not null, d2 int not null, left long, right long, _id long, _h short, at int"
+    )
+    # both uses of ``paths`` take all its columns, so that its exchange is reused
+    paths = found.groupBy("d1", "d2").agg(F.min("_id").alias("least"), F.min("left").alias("left"), F.min("right").alias("right"))
+    sides = paths.select("d1", F.explode(F.array("left", "right")).alias("side"), "least").filter("side IS NOT NULL AND least IS NOT NULL")
+    several = sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("side"))
+    branches = sides.join(several, F.col("side") == F.col("_side"), "left_semi").select(F.col("d1").alias("b1")).distinct()
+    paths = paths.filter("coalesce(left, right, 0) >= 0").join(branches, F.col("d1") == F.col("b1"), "left")
+    paths = paths.select(*_again("d1", "d2"), "least", F.col("b1").isNotNull().alias("branch"))
     placed = found.join(paths, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).filter("_id > least OR branch")
-    mark = F.struct("p", "r", (F.col("_id") > F.col("least")).alias("whole"))
-    marks = placed.groupBy("_id", "_h").agg(F.collect_list(mark).alias("marks"))
+    marks = placed.groupBy("_id", "_h").agg(F.collect_list(F.when(F.col("_id") > F.col("least"), F.col("at")).otherwise(-F.col("at"))).alias("marks"))
 
-    edges = _beside(packed, marks, "marks").mapInArrow(_edges, "w1 long not null, w2 int not null, _id long, _h int, p int")
+    edges = _beside(packed, marks, "marks").mapInArrow(_edges, "w1 long not null, w2 int not null, _id long, _h short, p int")
     least = edges.groupBy("w1", "w2").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("w1", "w2"), "least")
     places = edges.join(least, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))).filter("_id > least")
     places = places.groupBy("_id", "_h").agg(F.collect_list("p").alias("places"))
@@ -264,7 +286,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return rows.withColumn(doc_id, F.col("_id").cast(docs.schema[doc_id].dataType)).mapInArrow(_cut, T.StructType([docs.schema[doc_id], *_ADDED]))
     rows = rows.withColumns({"_cid": F.col("_id"), "_ch": F.col("_h")})
     cut = rows.mapInArrow(_cut, f"_cid long, _ch int, {added}").dropDuplicates(["_cid", "_ch"])
-    keyed = docs.select(*others, F.hash(F.col(text)).alias("_h"))
+    keyed = docs.select(*others, _text_bits(text).alias("_h"))
     return keyed.join(cut, F.col(doc_id).eqNullSafe(F.col("_cid")) & (F.col("_h") == F.col("_ch"))).select(*others, "n_words", "n_removed", "kept")
 
 
