@@ -18,7 +18,7 @@ U = np.uint64
 #: Odd multipliers of the rolling polynomials over bytes and over words.
 BYTE_BASE, WORD_BASE, SPAN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Texts are worked on in pieces of about this many bytes; one longer text is a piece of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -31,7 +31,7 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, or the powers of its inverse."""
     have = _powers.get((base, inverse))
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1, 0 if have is None else 2 * len(have))
+        size = max(n, 1 << 16, 0 if have is None else min(2 * len(have), n + (1 << 20)))
         step = np.full(size, pow(base, -1, 2**64) if inverse else base, U)
         step[0] = 1
         have = _powers[base, inverse] = np.cumprod(step, dtype=U)
