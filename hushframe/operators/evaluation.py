@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .grouped import Rows, per_group
 
 
 def folds(documents: DataFrame, column: str, count: int = 5, seed: str = "public-document-pilot-v1") -> DataFrame:
@@ -56,9 +56,11 @@ def compatible(gold: DataFrame, candidates: DataFrame, threshold: float = 0.5, n
     return scored.select(F.col("g_doc_id").alias("doc_id"), F.col("g_id").cast("string").alias("gold_id"), F.col("c_id").cast("string").alias("cand_id"), "score")
 
 
-def _largest_matching(edges: pd.DataFrame) -> pd.DataFrame:
+def _largest_matching(key: dict, edges: Rows) -> Rows:
     """Golds in order of id each take their best free candidate, moving earlier ones along a chain of alternatives."""
-    options = {g: list(rows.sort_values(["score", "cand_id"], ascending=[False, True])["cand_id"]) for g, rows in edges.groupby("gold_id", sort=True)}
+    options: dict[str, list[str]] = {}
+    for e in sorted(edges, key=lambda e: (-e["score"], e["cand_id"])):
+        options.setdefault(e["gold_id"], []).append(e["cand_id"])
     holder: dict[str, str] = {}
     for start in sorted(options):
         # depth first over alternating paths, kept on an explicit stack
@@ -80,7 +82,7 @@ def _largest_matching(edges: pd.DataFrame) -> pd.DataFrame:
                     holder[c] = g
                 break
             stack.append((holder[cand], iter(options[holder[cand]])))
-    return pd.DataFrame({"doc_id": edges["doc_id"].iloc[0], "gold_id": list(holder.values()), "cand_id": list(holder)})
+    return [{**key, "gold_id": g, "cand_id": c} for c, g in holder.items()]
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
@@ -88,7 +90,8 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
 
     A document's pairs are one group; pages keep them few."""
     kind = pairs.schema["doc_id"].dataType.simpleString()
-    return pairs.groupBy("doc_id").applyInPandas(_largest_matching, f"doc_id {kind}, gold_id string, cand_id string")
+    columns = pairs.select("doc_id", "gold_id", "cand_id", "score")
+    return per_group(columns, ["doc_id"], _largest_matching, f"doc_id {kind}, gold_id string, cand_id string")
 
 
 def occurrence_counts(gold: DataFrame, candidates: DataFrame, matched: DataFrame) -> DataFrame:

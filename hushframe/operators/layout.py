@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
+from .grouped import Rows, per_group
 
 HEADER, FOOTER = 0.35, 0.65
 
@@ -70,10 +71,10 @@ def apart_from(candidates: DataFrame, fixed: DataFrame, keys: list[str]) -> Data
     return candidates.join(f, on, "left_anti")
 
 
-def _cluster(page: pd.DataFrame) -> pd.DataFrame:
+def _cluster(key: dict, rows: Rows) -> Rows:
     """Numbers sets of rects that overlap, directly or through others, by their smallest id (union by sweep over x)."""
-    page = page.sort_values("id", ignore_index=True)
-    root = list(range(len(page)))
+    rows = sorted(rows, key=lambda r: r["id"])
+    root = list(range(len(rows)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -82,23 +83,23 @@ def _cluster(page: pd.DataFrame) -> pd.DataFrame:
         return i
 
     live: list[int] = []
-    for i in page.sort_values(["x0", "id"]).index:
-        live = [j for j in live if page.x1[j] > page.x0[i]]
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i]["rect"]["x0"], i)):
+        r = rows[i]["rect"]
+        live = [j for j in live if rows[j]["rect"]["x1"] > r["x0"]]
         for j in live:
-            if page.y0[j] < page.y1[i] and page.y0[i] < page.y1[j] and page.x0[i] < page.x1[i]:
+            o = rows[j]["rect"]
+            if o["y0"] < r["y1"] and r["y0"] < o["y1"] and r["x0"] < r["x1"]:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
         live.append(i)
-    return pd.DataFrame({"key": page["key"], "id": page["id"], "cluster": [page["id"][find(i)] for i in range(len(page))]})
+    return [{**key, "id": r["id"], "cluster": rows[find(i)]["id"]} for i, r in enumerate(rows)]
 
 
-def clusters(rects: DataFrame, keys: list[str], id_: str = "id") -> DataFrame:
-    """(keys, id, cluster): rects of one page that overlap transitively; a page is one group."""
-    kind = rects.schema[id_].dataType.simpleString()
-    flat = rects.select(F.to_json(F.struct(*keys)).alias("key"), F.col(id_).alias("id"), *(F.col("rect")[c].alias(c) for c in ("x0", "y0", "x1", "y1")))
-    grouped = flat.groupBy("key").applyInPandas(_cluster, f"key string, id {kind}, cluster {kind}")
-    parsed = F.from_json("key", ", ".join(f"{k} {rects.schema[k].dataType.simpleString()}" for k in keys))
-    return grouped.withColumn("_k", parsed).select("_k.*", "id", "cluster")
+def clusters(rects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, cluster): rects (keys, id, rect) of one page that overlap transitively; a page is one group."""
+    kept = rects.select(*keys, "id", "rect")
+    fields = [kept.schema[k] for k in keys] + [T.StructField(c, kept.schema["id"].dataType) for c in ("id", "cluster")]
+    return per_group(kept, keys, _cluster, T.StructType(fields))
 
 
 def boxes(clustered: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:

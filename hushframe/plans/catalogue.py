@@ -1,18 +1,527 @@
-"""The engine's queries over the driver's tables, and their SQL."""
+"""The engine's queries over the driver's tables, and SQL with the same results.
+
+The tables hold no page geometry, so queries on geometry read it off ``lineitem`` by a fixed rule: an order is a
+page, a line item a word or rect on it (``WORDS``).  Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import policy, scoring
+from ..operators import chunks, evaluation, fold, layout, native, review, routing, spans
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL if it has any."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+# --- detection ---------------------------------------------------------------------------------------------------
+
+#: Hits of two recognisers, by SQL without lookaround: candidate starts are tried one by one.
+_GAP = r"(?:[ \t\n\r\f\v]*[-‐‑‒–—―−－.][ \t\n\r\f\v]*|[ \t\n\r\f\v]+)?"
+_SQL_CARD = rf"""
+card_start AS (
+  SELECT doc_id, text, i FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE regexp_matches(text, '[0-9]{{4}}'))
+  WHERE substr(text, i, 1) BETWEEN '0' AND '9' AND (i = 1 OR NOT substr(text, i - 1, 1) BETWEEN '0' AND '9')
+), card_try AS (
+  SELECT doc_id, i, regexp_extract(substr(text, i, 80), '^((?:[0-9]{{4}}{_GAP}){{3}}[0-9]{{4}})(?:[^0-9]|$)', 1) AS value FROM card_start
+), card AS (
+  SELECT doc_id, i - 1 AS s, i - 1 + length(value) AS e, 'CARD' AS tag, value FROM card_try WHERE value <> ''
+)"""
+_SQL_EMAIL = r"""
+mail AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+(?:\s+[A-Za-z0-9._%+-]+)?\s*@\s*[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)+')) AS value, text FROM documents
+)"""
+
+
+def masked_documents(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("doc_id", "lang", "source", "text"), options: fold.Options = fold.Options()) -> DataFrame:
+    return fold.mask(docs(spark, sf_dir).select(*keep), options)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Counts by tag and language after the whole cascade."""
+    return fold.counts_by_tag(masked_documents(spark, sf_dir), "lang")
 
 
 FLAGSHIP = flagship
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+
+
+@query(f"WITH {_SQL_CARD}, {_SQL_EMAIL} SELECT tag, count(*) AS n FROM (SELECT 'CARD' AS tag FROM card UNION ALL SELECT 'EMAIL' FROM mail) GROUP BY tag")
+def pii_counts_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of card numbers and mail addresses, by the cascade."""
+    return fold.counts_by_tag(masked_documents(spark, sf_dir)).filter(F.col("tag").isin("CARD", "EMAIL"))
+
+
+@query(f"WITH {_SQL_CARD} SELECT doc_id, s AS \"start\", e AS \"end\", tag, value FROM card")
+def pii_card_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card numbers with their offsets, natively."""
+    found = native.detect(docs(spark, sf_dir).select("doc_id", "text"), tags=("CARD",))
+    return found.select("doc_id", F.inline("hits")).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "tag", "value")
+
+
+@query(f"""WITH {_SQL_EMAIL}, v AS (SELECT doc_id, trim(regexp_replace(value, '\\s+', ' ', 'g'), ' ,;:/') AS value FROM mail)
+SELECT doc_id, value, left(value, 1) || '***@' || substr(value, position('@' IN value) + 1) AS partial, count(*) AS n FROM v GROUP BY doc_id, value""")
+def pii_email_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail addresses of each document, with their partial form."""
+    hits = fold.matches(masked_documents(spark, sf_dir, ("doc_id", "text")), "doc_id").filter("tag = 'EMAIL'")
+    shown = hits.select("doc_id", "value", policy.partial(F.col("tag"), F.col("value")).alias("partial"))
+    return shown.groupBy("doc_id", "value", "partial").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    r"""SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+(?:\s+[A-Za-z0-9._%+-]+)?\s*@\s*[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)+', '[EMAIL]', 'g') AS masked
+    FROM documents WHERE regexp_matches(text, '@')"""
+)
+def masked_email_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with mail addresses replaced by their token, natively."""
+    found = native.detect(docs(spark, sf_dir).filter(F.col("text").contains("@")).select("doc_id", "text"), tags=("EMAIL",))
+    return found.select("doc_id", native.rendered(F.col("text"), F.col("hits"), lambda h: F.concat(F.lit("["), h["tag"], F.lit("]"))).alias("masked"))
+
+
+@query()
+def masked_text_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each text after the whole cascade, and how much it found."""
+    out = masked_documents(spark, sf_dir)
+    return out.select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.size("hits").alias("n_hits"))
+
+
+@query()
+def masked_text_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit with its stateless pseudonym."""
+    hits = fold.matches(masked_documents(spark, sf_dir, ("doc_id", "text")), "doc_id")
+    return hits.select("doc_id", "tag", "start", policy.stateless_pseudonym(F.col("tag"), F.col("value")).alias("pseudonym"))
+
+
+_TERMS = ("there", "and", "pour")
+_REPLACED = "text"
+for _t in sorted(_TERMS, key=len, reverse=True):
+    _REPLACED = f"replace({_REPLACED}, '{_t}', '[KEYWORD]')"
+
+
+@query(f"SELECT doc_id, sha256({_REPLACED}) AS masked_sha256 FROM documents WHERE NOT regexp_matches(text, '[0-9@]')")
+def keyword_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User keywords masked, longest first, in texts where no other rule can match."""
+    plain = docs(spark, sf_dir).filter(~F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    return fold.mask(plain, fold.Options(keywords=",".join(_TERMS))).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"))
+
+
+@query(
+    f"""WITH {_SQL_CARD}, h AS (SELECT d.source, d.lang, c.value FROM card c JOIN documents d USING (doc_id))
+    SELECT source, lang, count(*) AS n, count(DISTINCT value) AS distinct_values FROM h GROUP BY source, lang"""
+)
+def safe_report_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count-only report of card numbers by source and language."""
+    found = native.detect(docs(spark, sf_dir), tags=("CARD",)).select("source", "lang", F.inline("hits")).withColumn("action", F.lit("mask"))
+    return review.safe_report(found, ["source", "lang"]).select("source", "lang", "n", "distinct_values")
+
+
+@query()
+def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of each document that a second opinion is asked on."""
+    hits = fold.matches(masked_documents(spark, sf_dir, ("doc_id", "text")), "doc_id")
+    return review.candidates_for_model(hits)
+
+
+@query()
+def masking_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole lines of up to 4000 characters."""
+    cut = chunks.chunk(docs(spark, sf_dir).select("doc_id", "text"), 4000)
+    return cut.select("doc_id", "chunk_index", "start", F.length("text").alias("n_chars"))
+
+
+# --- identity, folds, set operations --------------------------------------------------------------------------------
+
+@query("""SELECT doc_id, CAST((row_number() OVER (ORDER BY sha256('public-document-pilot-v1:' || sha256(doc_id::VARCHAR)), sha256(doc_id::VARCHAR)) - 1) % 5 AS INTEGER) AS fold
+FROM documents""")
+def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five deterministic folds over document identities."""
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return evaluation.folds(ids, "h").select("doc_id", "fold")
+
+
+@query("""SELECT tag, CAST(('0x' || left(sha256(tag || chr(0) || value), 16))::UBIGINT % 9000 AS INTEGER) AS idx, value
+FROM (SELECT DISTINCT 'SRC' AS tag, source || '-' || lang AS value FROM documents)""")
+def stable_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stable index of some values, which pseudonyms are drawn by."""
+    values = docs(spark, sf_dir).select(F.lit("SRC").alias("tag"), F.concat_ws("-", "source", "lang").alias("value")).distinct()
+    return values.select("tag", policy.stable_index(F.col("tag"), F.col("value"), 9000).alias("idx"), "value")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n_files, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
+def repeated_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that more than one document has: a manifest row must name exactly one."""
+    n = docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n_files"), F.min("doc_id").alias("first_doc"))
+    return n.filter("n_files > 1")
+
+
+@query("""SELECT l.quality, count(*) AS n, count_if(f.flag)::BIGINT AS flagged, CASE WHEN count(*) > 0 THEN count_if(f.flag) / count(*)::DOUBLE END AS rate, 'ok' AS status
+FROM labels l JOIN (SELECT doc_id, regexp_matches(text, '[#$%&|*]') AS flag FROM documents) f USING (doc_id) GROUP BY l.quality""")
+def flag_rates_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each label a simple flag finds; ratios are null where there is nothing to divide by."""
+    flags = docs(spark, sf_dir).select("doc_id", F.col("text").rlike("[#$%&|*]").alias("flag"))
+    n = table(spark, sf_dir, "labels").join(flags, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("flagged"))
+    return n.withColumns({"rate": evaluation.ratio(F.col("flagged"), F.col("n")), "status": evaluation.status(F.col("n"))})
+
+
+# --- geometry -----------------------------------------------------------------------------------------------------------
+
+_WORDS = """words AS (
+  SELECT l_orderkey AS doc_id, l_linenumber AS word_index, (l_partkey % 400)::DOUBLE AS x0, (l_suppkey % 60)::DOUBLE AS y0,
+         (l_partkey % 400)::DOUBLE + l_quantity + 1 AS x1, (l_suppkey % 60)::DOUBLE + 8 AS y1, l_returnflag AS flag, l_linestatus AS status
+  FROM lineitem
+)"""
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 60
+    return t.select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.col("l_linenumber").alias("word_index"),
+        G.rect(x, y, x + F.col("l_quantity") + 1, y + 8).alias("rect"),
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("status"),
+    )
+
+
+_LINED = f"""{_WORDS}, step AS (
+  SELECT *, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY y0, x0, word_index)
+), lined AS (
+  SELECT *, sum(CASE WHEN py0 IS NULL THEN 0 WHEN abs((py0 + py1 - y0 - y1) / 2) <= greatest(3, (py1 - py0) / 2, (y1 - y0) / 2) THEN 0 ELSE 1 END)
+    OVER (PARTITION BY doc_id ORDER BY y0, x0, word_index)::INTEGER AS line FROM step
+)"""
+
+
+@query(f"WITH {_LINED} SELECT doc_id, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words FROM lined GROUP BY doc_id, line")
+def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words grouped into lines, with the box around each."""
+    boxes = layout.line_boxes(layout.lines(words(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    return boxes.select("doc_id", "line", "rect.*", "n_words")
+
+
+@query(f"""WITH {_WORDS} SELECT a.doc_id, a.word_index AS a, b.word_index AS b,
+  greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area
+FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.word_index < b.word_index
+ AND greatest(a.x0, b.x0) < least(a.x1, b.x1) AND greatest(a.y0, b.y0) < least(a.y1, b.y1)""")
+def overlapping_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of words of one page that overlap, with the shared area."""
+    a = words(spark, sf_dir).select("doc_id", F.col("word_index").alias("a"), F.col("rect").alias("ra"))
+    b = words(spark, sf_dir).select(F.col("doc_id").alias("_d"), F.col("word_index").alias("b"), F.col("rect").alias("rb"))
+    pairs = a.join(b, (F.col("doc_id") == F.col("_d")) & (F.col("a") < F.col("b")) & G.overlaps(F.col("ra"), F.col("rb")))
+    return pairs.select("doc_id", "a", "b", G.intersection(F.col("ra"), F.col("rb")).alias("area"))
+
+
+@query(f"""WITH {_WORDS} SELECT c.doc_id, c.word_index FROM words c WHERE c.flag <> 'R' AND NOT EXISTS (
+  SELECT 1 FROM words f WHERE f.flag = 'R' AND f.doc_id = c.doc_id
+   AND greatest(c.x0, f.x0) < least(c.x1, f.x1) AND greatest(c.y0, f.y0) < least(c.y1, f.y1))""")
+def candidates_apart_from_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate rects that overlap no fixed one of their page."""
+    w = words(spark, sf_dir)
+    return layout.apart_from(w.filter("flag <> 'R'"), w.filter("flag = 'R'"), ["doc_id"]).select("doc_id", "word_index")
+
+
+@query(f"""WITH {_WORDS}, r AS (SELECT doc_id, word_index AS region_id, x0 - 40 AS x0, y0 - 12 AS y0, x1 + 40 AS x1, y1 + 12 AS y1, status FROM words WHERE flag = 'R'),
+m AS (SELECT w.doc_id, w.word_index AS id, r.region_id, r.status FROM words w JOIN r ON w.doc_id = r.doc_id
+  AND r.x0 <= w.x0 + 1e-6 AND r.y0 <= w.y0 + 1e-6 AND r.x1 >= w.x1 - 1e-6 AND r.y1 >= w.y1 - 1e-6 WHERE w.flag <> 'R')
+SELECT doc_id, id, arg_min(region_id, (CASE WHEN status = 'F' THEN 0 ELSE 1 END) * 1000 + region_id) AS region_id, count(*) AS n_regions FROM m GROUP BY doc_id, id""")
+def region_of_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value rect with the region around it, a confirmed one first."""
+    w = words(spark, sf_dir)
+    r = F.col("rect")
+    box = G.rect(r["x0"] - 40, r["y0"] - 12, r["x1"] + 40, r["y1"] + 12)
+    state = F.when(F.col("status") == "F", "confirmed").otherwise("review_required")
+    regions = w.filter("flag = 'R'").select("doc_id", F.col("word_index").alias("region_id"), box.alias("rect"), state.alias("state"))
+    return layout.containing(w.filter("flag <> 'R'").select("doc_id", F.col("word_index").alias("id"), "rect"), regions, ["doc_id"])
+
+
+@query(f"""WITH RECURSIVE {_WORDS}, u AS (SELECT doc_id, word_index AS id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM words GROUP BY doc_id, word_index), e AS (
+  SELECT a.doc_id, a.id AS a, b.id AS b FROM u a JOIN u b ON a.doc_id = b.doc_id
+   AND greatest(a.x0, b.x0) < least(a.x1, b.x1) AND greatest(a.y0, b.y0) < least(a.y1, b.y1)
+), reach AS (SELECT doc_id, id, id AS r FROM u UNION SELECT reach.doc_id, id, e.b FROM reach JOIN e ON e.doc_id = reach.doc_id AND e.a = reach.r)
+SELECT doc_id, id, min(r) AS cluster FROM reach GROUP BY doc_id, id""")
+def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rects of a page (the box of each word number) that overlap transitively."""
+    box = G.rect(F.min("rect.x0"), F.min("rect.y0"), F.max("rect.x1"), F.max("rect.y1"))
+    return layout.clusters(words(spark, sf_dir).groupBy("doc_id", F.col("word_index").alias("id")).agg(box.alias("rect")), ["doc_id"])
+
+
+@query(f"""WITH {_LINED}, l AS (SELECT doc_id, line, min(y0) AS y0, max(y1) AS y1 FROM lined GROUP BY doc_id, line)
+SELECT band, count(*) AS n FROM (SELECT CASE WHEN (y0 + y1) / 2 / 60.0 >= 0.65 THEN 'footer' WHEN (y0 + y1) / 2 / 60.0 <= 0.35 THEN 'header' ELSE 'body' END AS band FROM l) GROUP BY band""")
+def page_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the header, the body and the footer."""
+    boxes = layout.line_boxes(layout.lines(words(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    return boxes.select(layout.band(F.col("rect"), F.lit(60.0)).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_WORDS}, p AS (SELECT a.doc_id, a.word_index AS id, a.x0, a.y0, a.x1, a.y1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1
+  FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.word_index = a.word_index + 1)
+SELECT doc_id, id, greatest(0, least(x1, bx1) - greatest(x0, bx0)) * greatest(0, least(y1, by1) - greatest(y0, by0))
+  / ((x1 - x0) * (y1 - y0) + (bx1 - bx0) * (by1 - by0) - greatest(0, least(x1, bx1) - greatest(x0, bx0)) * greatest(0, least(y1, by1) - greatest(y0, by0))) AS iou,
+  least(1.0, greatest(0, least(x1, bx1 + 0.5) - greatest(x0, bx0 - 0.5)) * greatest(0, least(y1, by1 + 0.5) - greatest(y0, by0 - 0.5)) / ((x1 - x0) * (y1 - y0))) AS cover FROM p""")
+def iou_and_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IoU of consecutive words and how much of one a mask on the other covers."""
+    a = words(spark, sf_dir).select("doc_id", F.col("word_index").alias("id"), F.col("rect").alias("ra"))
+    b = words(spark, sf_dir).select(F.col("doc_id").alias("_d"), (F.col("word_index") - 1).alias("_i"), F.col("rect").alias("rb"))
+    pairs = a.join(b, (F.col("doc_id") == F.col("_d")) & (F.col("id") == F.col("_i")))
+    return pairs.select("doc_id", "id", G.iou(F.col("ra"), F.col("rb")).alias("iou"), G.coverage(F.col("ra"), F.array("rb")).alias("cover"))
+
+
+# --- spans ------------------------------------------------------------------------------------------------------------------
+
+_SPANS = """spans AS (SELECT l_orderkey AS doc_id, l_returnflag AS label, (l_partkey % 50)::INTEGER AS s, (l_partkey % 50 + l_quantity)::INTEGER AS e, l_linenumber AS id FROM lineitem)"""
+
+
+def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    return t.select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.col("l_returnflag").alias("label"),
+        (F.col("l_partkey") % 50).cast("int").alias("start"),
+        (F.col("l_partkey") % 50 + F.col("l_quantity")).cast("int").alias("end"),
+        F.col("l_linenumber").alias("id"),
+    )
+
+
+@query(f"""WITH {_SPANS}, a AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS nw FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY s, e, label)),
+b AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY s, e, label ROWS UNBOUNDED PRECEDING) AS run FROM a),
+c AS (SELECT *, CASE WHEN s >= max(e) OVER (PARTITION BY doc_id, run ORDER BY s, e, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS brk FROM b),
+d AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, run ORDER BY s, e, label ROWS UNBOUNDED PRECEDING) AS isl FROM c)
+SELECT doc_id, label, min(s) AS "start", max(e) AS "end", count(*) AS n FROM d GROUP BY doc_id, run, isl, label""")
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping spans of one label merged."""
+    return spans.merge(span_rows(spark, sf_dir), ["doc_id"])
+
+
+@query(f"""WITH {_SPANS} SELECT doc_id, id FROM spans a WHERE label <> 'R' AND NOT EXISTS (
+  SELECT 1 FROM spans r WHERE r.label = 'R' AND r.doc_id = a.doc_id AND a.s < r.e AND r.s < a.e)""")
+def spans_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that overlap no span of the other detector."""
+    s = span_rows(spark, sf_dir)
+    return spans.without_overlap(s.filter("label <> 'R'"), s.filter("label = 'R'"), ["doc_id"]).select("doc_id", "id")
+
+
+@query("""WITH w AS (SELECT event_id, user_id, ts, value, event_type FROM events)
+SELECT p.event_id, coalesce((SELECT m.event_id FROM w m WHERE m.event_type = 'purchase' AND m.user_id = p.user_id AND m.ts <= p.ts ORDER BY m.ts DESC, m.event_id DESC LIMIT 1), -1) AS marker
+FROM w p WHERE p.event_type = 'view'""")
+def marker_at_or_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each view with the user's last purchase at or before it, as pages are found for offsets."""
+    e = table(spark, sf_dir, "events")
+    views = e.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    marks = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("marker"))
+    return spans.at_or_before(views, marks, "user_id", "ts", "marker").select("event_id", F.coalesce("marker", F.lit(-1)).alias("marker"))
+
+
+# --- scoring and evaluation -------------------------------------------------------------------------------------------------
+
+@query("""WITH f AS (SELECT l_orderkey AS doc_id, l_linenumber AS id, l_returnflag = 'A' AS label, l_linestatus = 'F' AS role, l_quantity > 25 AS boundary,
+  l_linenumber * 4 AS distance, l_discount > 0.05 AS pos, CASE l_returnflag WHEN 'R' THEN 'user_confirmed' WHEN 'A' THEN 'confirmed' ELSE 'unconfirmed' END AS region FROM lineitem),
+s AS (SELECT doc_id, id, least(1000, 500 * label::INT + 600 * role::INT + 100 * boundary::INT + 100 * (distance BETWEEN 0 AND 12)::INT + 50 * pos::INT
+  + 100 * (region <> 'unconfirmed')::INT + 50 * (region = 'user_confirmed')::INT) AS p FROM f)
+SELECT doc_id, id, p / 1000.0 AS score, CASE WHEN p >= 850 THEN 'auto_mask' WHEN p >= 500 THEN 'review' ELSE 'preserve' END AS action FROM s""")
+def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence scores and actions for names."""
+    t = table(spark, sf_dir, "lineitem")
+    region = F.when(F.col("l_returnflag") == "R", "user_confirmed").when(F.col("l_returnflag") == "A", "confirmed").otherwise("unconfirmed")
+    s = scoring.body_name(F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", F.col("l_quantity") > 25, F.col("l_linenumber") * 4, F.col("l_discount") > 0.05, region)
+    return t.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("id"), s.alias("s")).select("doc_id", "id", "s.score", "s.action")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS doc_id, l_linenumber AS id, l_returnflag <> 'N' AS box, l_linestatus = 'F' AS label, l_quantity > 10 AS structure, l_quantity * 3 AS distance, l_discount < 0.08 AS pos,
+  CASE WHEN l_tax > 0.02 THEN 1 - l_tax * 4 END AS conf FROM lineitem),
+s AS (SELECT *, 3 * box::INT + 3 * label::INT + 2 * (distance <= 96)::INT + 2 * pos::INT AS score,
+  (conf IS NULL)::INT + coalesce((conf < 0.8)::INT, 0) + (NOT box)::INT + (NOT label)::INT + (NOT structure)::INT + (distance > 96)::INT + (NOT pos)::INT AS missing FROM f)
+SELECT state, count(*) AS n FROM (SELECT CASE WHEN score = 10 AND missing = 0 THEN 'confirmed' WHEN score < 5 THEN 'unconfirmed' ELSE 'review_required' END AS state FROM s) GROUP BY state""")
+def region_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of layout regions from their evidence."""
+    t = table(spark, sf_dir, "lineitem")
+    c = F.col
+    s = scoring.region_evidence(
+        c("l_returnflag") != "N", c("l_linestatus") == "F", c("l_quantity") > 10, c("l_quantity") * 3, c("l_discount") < 0.08, F.when(c("l_tax") > 0.02, 1 - c("l_tax") * 4)
+    )
+    return t.select(s.alias("s")).groupBy(F.col("s.state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    w = words(spark, sf_dir)
+    rows = w.select(
+        F.col("doc_id"),
+        F.col("word_index").cast("string").alias("id"),
+        F.lit(0).alias("page_index"),
+        F.lit("person_name").alias("category"),
+        F.lit(None).cast("string").alias("text_hash"),
+        F.array("rect").alias("rects"),
+        F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("end"),
+        "flag",
+    )
+    return rows.filter("flag = 'N'").drop("flag"), rows.filter("flag <> 'N'").drop("flag")
+
+
+@query()
+def matched_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, misses and false finds per document by one-to-one matching on IoU or coverage."""
+    gold, found = _gold(spark, sf_dir)
+    matched = evaluation.one_to_one(evaluation.compatible(gold, found, threshold=0.1))
+    return evaluation.occurrence_counts(gold, found, matched)
+
+
+@query(f"""WITH {_WORDS} SELECT count(*) AS n FROM words g WHERE flag = 'N' AND EXISTS (SELECT 1 FROM words c WHERE c.flag <> 'N' AND c.doc_id = g.doc_id
+   AND greatest(0, least(g.x1, c.x1) - greatest(g.x0, c.x0)) * greatest(0, least(g.y1, c.y1) - greatest(g.y0, c.y0)) > 0)""")
+def negatives_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives that a candidate covers."""
+    gold, found = _gold(spark, sf_dir)
+    return evaluation.hit_negatives(gold, found).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT l_linenumber::INTEGER AS k, avg(l_discount) * 10 AS d, avg(l_tax) AS f FROM lineitem GROUP BY l_linenumber),
+r AS (SELECT 0.8 + k / 100.0 AS auto, 0.5 AS review, round(0.95 + k / 125.0, 6) AS detection, round(k / 100.0, 6) AS false_rate FROM t)
+SELECT auto, review, detection, false_rate, detection >= 0.99 AND false_rate <= 0.05 AS passed, greatest(0.0, 0.99 - detection) AS shortfall
+FROM r ORDER BY (CASE WHEN detection >= 0.99 AND false_rate <= 0.05 THEN 0 ELSE 1 END), -detection, false_rate, auto, review LIMIT 1""")
+def chosen_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold pair to take from a table of trials."""
+    k = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    k = k.select((F.col("l_linenumber") / F.lit(100.0)).alias("h"), (F.col("l_linenumber") / F.lit(125.0)).alias("d"))
+    rows = k.select((F.lit(0.8) + F.col("h")).alias("auto"), F.lit(0.5).alias("review"), F.round(F.lit(0.95) + F.col("d"), 6).alias("detection"), F.round("h", 6).alias("false_rate"))
+    return evaluation.best_threshold(rows)
+
+
+# --- routing and reviews -------------------------------------------------------------------------------------------------------
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as pages: some begin a document, some go on, some have titles."""
+    t = table(spark, sf_dir, "lineitem")
+    c = F.col
+    starts = F.when(c("l_returnflag") == "A", F.array(F.lit("approval"))).when((c("l_returnflag") == "R") & (c("l_quantity") > 25), F.array(F.lit("recipient"))).otherwise(F.array().cast("array<string>"))
+    goes_on = F.when(c("l_quantity") <= 15, F.array(F.lit("no_start_signal"), F.lit("page_number_sequence"))).otherwise(F.array().cast("array<string>"))
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    return t.select(
+        c("l_orderkey").alias("doc_id"),
+        order.alias("page_index"),
+        starts.alias("start_signals"),
+        F.when(F.size(starts) == 0, goes_on).otherwise(F.array().cast("array<string>")).alias("continuity_signals"),
+        F.array().cast("array<string>").alias("routing_titles"),
+        F.lit(None).cast("string").alias("routing_title_kind"),
+        F.lit(0.9).alias("ocr_confidence"),
+        F.lit(0.9).alias("boundary_confidence"),
+    )
+
+
+@query()
+def routed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages routed to logical documents."""
+    found = routing.route(_pages(spark, sf_dir))
+    return found.select("doc_id", "segment_id", "kind", "state", "page_start", "page_end", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, count(*) OVER (PARTITION BY l_orderkey) + 7 AS n_pages FROM lineitem)
+SELECT doc_id, page AS page_start, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page), n_pages) - 1 AS page_end FROM s""")
+def segment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page ranges from boundary pages."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"))
+    n = t.groupBy("doc_id").agg((F.count(F.lit(1)) + 7).alias("n_pages"))
+    return routing.starts_to_ranges(t.join(n, "doc_id"))
+
+
+@query("""WITH k AS (SELECT l_orderkey AS doc_id, l_returnflag AS kind, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag),
+m AS (SELECT doc_id, max(n) AS top FROM k GROUP BY doc_id)
+SELECT doc_id, CASE WHEN count(*) = 1 THEN min(kind) END AS kind FROM k JOIN m USING (doc_id) WHERE n = top GROUP BY doc_id""")
+def dominant_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind that most pages of a file have; null on a tie."""
+    t = table(spark, sf_dir, "lineitem")
+    rows = t.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("page_start"), F.col("l_linenumber").alias("page_end"))
+    return routing.dominant_kind(rows)
+
+
+@query("""WITH v AS (SELECT l_orderkey AS doc_id, l_returnflag AS kind, l_linestatus = 'O' AS unsure FROM lineitem), g AS (SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS gold FROM orders)
+SELECT verdict, count(*) AS n FROM (SELECT doc_id, CASE WHEN count_if(NOT unsure) = 0 OR count_if(NOT unsure AND kind = gold) < count_if(NOT unsure) THEN 'WRONG'
+  WHEN count_if(unsure) = 0 THEN 'CONFIRMED' ELSE 'CONSERVATIVE' END AS verdict FROM v JOIN g USING (doc_id) GROUP BY doc_id) GROUP BY verdict""")
+def routing_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of routed files against their gold kind."""
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("kind"), (F.col("l_linestatus") == "O").alias("unsure"))
+    status = F.col("o_orderstatus")
+    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(status == "F", "A").when(status == "O", "N").otherwise("R").alias("gold"))
+    per = v.join(g, "doc_id").groupBy("doc_id").agg(routing.verdict(F.col("gold"), F.col("kind"), F.col("unsure")).alias("verdict"))
+    return per.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc_id, l_returnflag AS kind, CASE l_linestatus WHEN 'F' THEN 'present' ELSE CASE WHEN l_quantity > 25 THEN 'indeterminate' ELSE 'absent' END END AS state FROM lineitem)
+SELECT doc_id, kind, CASE max(CASE state WHEN 'present' THEN 2 WHEN 'indeterminate' THEN 1 ELSE 0 END) WHEN 2 THEN 'present' WHEN 1 THEN 'indeterminate' ELSE 'absent' END AS state FROM r GROUP BY doc_id, kind""")
+def coverage_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of required regions: present over indeterminate over absent."""
+    t = table(spark, sf_dir, "lineitem")
+    state = F.when(F.col("l_linestatus") == "F", "present").when(F.col("l_quantity") > 25, "indeterminate").otherwise("absent")
+    rows = t.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("kind"), state.alias("state"))
+    return rows.groupBy("doc_id", "kind").agg(review.coverage_state(F.col("state")).alias("state"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS doc_id, l_linenumber AS idx, (l_partkey % 3)::DOUBLE AS x0, CASE l_linestatus WHEN 'F' THEN 'mask' ELSE 'restore' END AS action FROM lineitem),
+u AS (SELECT doc_id, x0, idx, max(action) AS action FROM a GROUP BY doc_id, x0, idx), b AS (SELECT *, lag(action) OVER (PARTITION BY doc_id, x0 ORDER BY idx) IS NOT DISTINCT FROM action AS same FROM u)
+SELECT doc_id, x0, arg_max(action, idx) AS action, count_if(NOT same)::BIGINT AS changes, count_if(same)::BIGINT AS repeats FROM b GROUP BY doc_id, x0""")
+def manual_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action in force on each manual box; repeats are skipped, the inverse action is taken."""
+    t = table(spark, sf_dir, "lineitem")
+    x = (F.col("l_partkey") % 3).cast("double")
+    rows = t.select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.lit(0).alias("page"),
+        F.col("l_linenumber").alias("idx"),
+        G.rect(x, F.lit(0), x + 1, F.lit(1)).alias("rect"),
+        F.when(F.col("l_linestatus") == "F", "mask").otherwise("restore").alias("action"),
+    )
+    rows = rows.groupBy("doc_id", "page", "idx", "rect").agg(F.max("action").alias("action"))
+    return review.effective_boxes(rows).select("doc_id", F.col("rect.x0").alias("x0"), "action", "changes", "repeats")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, role) AS rank FROM conversations)
+SELECT conv_id, turn, role, length(text) AS n_chars, rank FROM c WHERE rank <= 2""")
+def longest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two longest turns of each conversation: top-k per key."""
+    t = table(spark, sf_dir, "conversations")
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn", "role"))
+    out = t.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), rank.cast("long").alias("rank"))
+    return out.filter("rank <= 2")
+
+
+@query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per hour and type; the same function serves streams."""
+    from ..streaming.batches import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query()
+def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users taken as run sessions: which are accepted, and the state after each."""
+    from ..streaming.batches import session_states
+
+    names = F.element_at(F.array(*(F.lit(x) for x in ("create", "revise", "finalize", "retry", "complete", "fail_cleanup", "cleanup"))), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), names.alias("event"), F.lit(None).cast("long").alias("revision"))
+    return session_states(rows)
+
+
