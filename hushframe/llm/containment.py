@@ -84,16 +84,16 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_items``: the sorted ids of the items that each document holds (null: none)."""
-    found = leaks(docs, items, doc_id, text).groupBy("_id", "_h").agg(F.array_sort(F.collect_list("item_id")).alias("_items"), F.count(F.lit(1)).alias("_n_items"))
-    found = found.withColumnsRenamed({"_id": "_fid", "_h": "_fh"})
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text)))
-    return keyed.join(found, keyed[doc_id].eqNullSafe(found["_fid"]) & (keyed["_key"] == found["_fh"]), "left").drop("_fid", "_fh", "_key")
+    """``docs`` with ``__hf_items``: the sorted ids of the items that each document holds (null: none)."""
+    found = leaks(docs, items, doc_id, text).groupBy("_id", "_h").agg(F.array_sort(F.collect_list("item_id")).alias("__hf_items"), F.count(F.lit(1)).alias("__hf_n_items"))
+    found = found.withColumnsRenamed({"_id": "__hf_fid", "_h": "__hf_fh"})
+    keyed = docs.withColumn("__hf_key", F.xxhash64(F.col(text)))
+    return keyed.join(found, keyed[doc_id].eqNullSafe(found["__hf_fid"]) & (keyed["__hf_key"] == found["__hf_fh"]), "left").drop("__hf_fid", "__hf_fh", "__hf_key")
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no item."""
-    return mark(docs, items, doc_id, text).filter(F.col("_n_items").isNull()).select(*docs.columns)
+    return mark(docs, items, doc_id, text).filter(F.col("__hf_n_items").isNull()).select(*docs.columns)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +101,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     marked = mark(docs, table(spark, sf_dir, "benchmark"))
     return marked.select(
         "doc_id",
-        F.coalesce("_n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.array_join(F.col("_items").cast("array<string>"), ",").alias("item_ids"),
-        F.col("_n_items").isNull().alias("kept"),
+        F.coalesce("__hf_n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.array_join(F.col("__hf_items").cast("array<string>"), ",").alias("item_ids"),
+        F.col("__hf_n_items").isNull().alias("kept"),
     )
 
 

@@ -273,7 +273,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """The input's other columns with ``text``, which replaces a column of that name."""
     keep = [c for c in pages.columns if c not in (column, "text")]
-    rows = pages.select(F.col(column).alias("_html"), *keep)
+    rows = pages.select(F.col(column).alias("__hf_html"), *keep)
     return rows.mapInArrow(_extract, T.StructType([*(rows.schema[c] for c in keep), T.StructField("text", T.StringType())]))
 
 

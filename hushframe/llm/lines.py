@@ -69,10 +69,10 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_removed``: the indexes of the lines that go, null for none."""
-    gone = removed_lines(docs, doc_id, text).select(F.col("_id").alias("_gid"), F.col("_h").alias("_gh"), F.col("removed").alias("_removed"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text)))
-    return keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gh")), "left").drop("_gid", "_gh", "_key")
+    """``docs`` with ``__hf_removed``: the indexes of the lines that go, null for none."""
+    gone = removed_lines(docs, doc_id, text).select(F.col("_id").alias("__hf_gid"), F.col("_h").alias("__hf_gh"), F.col("removed").alias("__hf_removed"))
+    keyed = docs.withColumn("__hf_key", F.xxhash64(F.col(text)))
+    return keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__hf_gid")) & (F.col("__hf_key") == F.col("__hf_gh")), "left").drop("__hf_gid", "__hf_gh", "__hf_key")
 
 
 def kept_text(text: Column, removed: Column) -> Column:
@@ -86,7 +86,7 @@ def kept_text(text: Column, removed: Column) -> Column:
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the later copies of repeated passages taken out of the text column."""
     names = docs.columns
-    return mark(docs, doc_id, text).withColumn(text, kept_text(F.col(text), F.col("_removed"))).select(*names)
+    return mark(docs, doc_id, text).withColumn(text, kept_text(F.col(text), F.col("__hf_removed"))).select(*names)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +94,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id",
         F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), has_word)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce(kept_text(F.col("text"), F.col("_removed")), F.lit("")), 256).alias("kept_sha256"),
+        F.coalesce(F.size("__hf_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(kept_text(F.col("text"), F.col("__hf_removed")), F.lit("")), 256).alias("kept_sha256"),
     )
 
 

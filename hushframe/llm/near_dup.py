@@ -262,17 +262,17 @@ def _cells() -> Column:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _h, n, component_id, kept) for each row of ``docs``."""
+    """(_id, _h, n, component, component_id, kept) for each row of ``docs``; component: a label, null for empty sets."""
     sketched = stash(sketches(docs, doc_id, text), "sketches")
     found = components(links(docs, sketched, doc_id, text), "final")
     rows = sketched.select("_id", "_h", "n", "cls")
     lone = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("_id").alias("least"))
     placed = lone.join(found, F.col("cls") == F.col("vertex"), "left").select("cls", F.coalesce("component", "cls").alias("component"), "least")
     named = placed.groupBy("component").agg(F.min("least").alias("cid")).select(F.concat("component", F.lit("")).alias("pc"), "cid")
-    names = stash(placed.join(named, F.col("component") == F.col("pc")).select(F.col("cls").alias("ncls"), "cid"), "names")
+    names = stash(placed.join(named, F.col("component") == F.col("pc")).select(F.col("cls").alias("ncls"), "component", "cid"), "names")
     out = rows.join(names, F.col("cls") == F.col("ncls"), "left")
     cid = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col("cid"))
-    return out.select("_id", "_h", "n", cid.alias("component_id"), F.col("_id").eqNullSafe(cid).alias("kept"))
+    return out.select("_id", "_h", "n", "component", cid.alias("component_id"), F.col("_id").eqNullSafe(cid).alias("kept"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,10 +280,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     that id, those of the smallest text hash)."""
     marked = near_duplicates(docs, doc_id, text).filter("kept")
     empty = marked.filter("n = 0").select("_id", "_h")
-    full = marked.filter("n > 0").groupBy("_id", "component_id").agg(F.min("_h").alias("_h")).select("_id", "_h")
-    keep = stash(empty.unionByName(full).distinct(), "kept").withColumnsRenamed({"_id": "_kid", "_h": "_kh"})
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text)))
-    return keyed.join(keep, keyed[doc_id].eqNullSafe(F.col("_kid")) & (F.col("_key") == F.col("_kh")), "left_semi").select(*docs.columns)
+    full = marked.filter("n > 0").groupBy("_id", "component").agg(F.min("_h").alias("_h")).select("_id", "_h")
+    keep = stash(empty.unionByName(full).distinct(), "kept").withColumnsRenamed({"_id": "__hf_kid", "_h": "__hf_kh"})
+    keyed = docs.withColumn("__hf_key", F.xxhash64(F.col(text)))
+    return keyed.join(keep, keyed[doc_id].eqNullSafe(F.col("__hf_kid")) & (F.col("__hf_key") == F.col("__hf_kh")), "left_semi").select(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def _encoder(path: str):
 def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all but ``ids`` and ``decoded`` by default) with ``ids`` (array of int) and ``decoded`` (string)."""
     keep = [c for c in docs.columns if c not in ("ids", "decoded")] if keep is None else keep
-    rows = docs.select(F.col(text).alias("_text"), *keep)
+    rows = docs.select(F.col(text).alias("__hf_text"), *keep)
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return rows.mapInArrow(_encoder(model), schema)
 

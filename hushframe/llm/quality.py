@@ -150,16 +150,16 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] =
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every metric, ``broken`` (names of broken rules), ``base_failed`` and ``kept``."""
-    base = [r.broken(lambda c: F.col("_m")[c]) for r in BASE_RULES]
+    base = [r.broken(lambda c: F.col("__hf_m")[c]) for r in BASE_RULES]
     failed = base[0]
     for b in base[1:]:
         failed = failed | b
     names = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_list_lines", "n_cut_lines")]
-    out = docs.withColumn("_m", metrics(F.col(text)))
-    out = out.withColumn("_broken", verdict(F.col("_m"), rules))
+    out = docs.withColumn("__hf_m", metrics(F.col(text)))
+    out = out.withColumn("__hf_broken", verdict(F.col("__hf_m"), rules))
     return (
-        out.withColumns({n: F.col("_m")[n] for n in names} | {"base_failed": failed, "broken": F.col("_broken"), "kept": F.col("_broken") == ""})
-        .drop("_m", "_broken")
+        out.withColumns({n: F.col("__hf_m")[n] for n in names} | {"base_failed": failed, "broken": F.col("__hf_broken"), "kept": F.col("__hf_broken") == ""})
+        .drop("__hf_m", "__hf_broken")
     )
 
 

@@ -27,6 +27,7 @@ not remove from each other; repeated rows are treated alike.  ``dedup`` keeps th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -36,10 +37,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import tokens
-from .shared import table
+from .shared import stash, table
 
 K, M = 13, 4
 #: A piece's first word and its number of windows (at most K) travel as one number; negative in marks: an open path.
@@ -197,7 +197,7 @@ def _cover(step: np.ndarray, w: tokens.Words, doc: np.ndarray, place: np.ndarray
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, z, marks, places, copy, ...) to (..., n_words, n_removed, kept)."""
+    """(_id, _h, z, marks, places, copy, ...) to (..., n_words, n_removed, kept, text_crc32)."""
     for batch in batches:
         for lo, hi, data, at in _texts(batch, 1 << 20):
             w = tokens.words(data, at)
@@ -221,7 +221,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(b" ".join(compress(own, keep[w.first[i] : w.first[i + 1]].tolist()) if gone[i] else own))
             rest = batch.slice(lo, hi - lo).columns[6:]
             kept = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(gone), kept], [*batch.schema.names[6:], "n_words", "n_removed", "kept"])
+            crc = pa.array([zlib.crc32(raw[b:e]) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(gone), kept, crc], [*batch.schema.names[6:], "n_words", "n_removed", "kept", "text_crc32"])
 
 
 def _beside(packed: DataFrame, lists: DataFrame, *names: str) -> DataFrame:
@@ -278,24 +279,21 @@ def removals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows with ``n_words``, ``n_removed`` and ``kept`` (the kept words joined by one space), which
-    replace columns of those names.  Columns besides id and text are joined back by id and text hash."""
+    replace columns of those names.  Columns besides id and text are joined back by id and checksum."""
     rows = removals(docs, doc_id, text)
     added = "n_words long, n_removed long, kept string"
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    if others == [doc_id]:
-        return rows.withColumn(doc_id, F.col("_id").cast(docs.schema[doc_id].dataType)).mapInArrow(_cut, T.StructType([docs.schema[doc_id], *_ADDED]))
-    rows = rows.withColumns({"_cid": F.col("_id"), "_ch": F.col("_h")})
-    cut = rows.mapInArrow(_cut, f"_cid long, _ch int, {added}").dropDuplicates(["_cid", "_ch"])
-    keyed = docs.select(*others, _text_bits(text).alias("_h"))
-    return keyed.join(cut, F.col(doc_id).eqNullSafe(F.col("_cid")) & (F.col("_h") == F.col("_ch"))).select(*others, "n_words", "n_removed", "kept")
-
-
-_ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    rows = rows.withColumn("__hf_cid", F.col("_id"))
+    cut = rows.mapInArrow(_cut, f"__hf_cid long, {added}, text_crc32 long").withColumnRenamed("text_crc32", "__hf_crc").dropDuplicates(["__hf_cid", "__hf_crc"])
+    cut = stash(cut, "cut")
+    keyed = docs.select(*others, F.coalesce(F.crc32(F.col(text)), F.lit(0)).alias("__hf_c"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__hf_cid")) & (F.col("__hf_c") == F.col("__hf_crc"))
+    return keyed.join(cut, same).select(*others, "n_words", "n_removed", "kept")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = removals(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("doc_id", F.col("_id"))
-    out = rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    out = rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, text_crc32 long")
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

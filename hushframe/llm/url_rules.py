@@ -121,12 +121,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
 
 
 def match(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """(_url, mined_rule): each distinct URL that a mined rule matches, with its most confident one."""
-    seen = urls.select(F.col(url).alias("_url")).filter("_url IS NOT NULL").distinct().withColumn("_t", tokens(F.col("_url")))
+    """(__hf_url, mined_rule): each distinct URL that a mined rule matches, with its most confident one."""
+    seen = urls.select(F.col(url).alias("__hf_url")).filter("__hf_url IS NOT NULL").distinct().withColumn("_t", tokens(F.col("__hf_url")))
     index = rules.select("anchor", F.col("tokens").alias("_rt"), "confidence")
     hits = seen.withColumn("_a", F.explode("_t")).join(index, F.col("_a") == F.col("anchor")).filter(F.size(F.array_except("_rt", "_t")) == 0)
-    best = hits.groupBy("_url").agg(F.max(F.struct("confidence", F.array_join("_rt", "&").alias("r"))).alias("b"))
-    return best.select("_url", F.col("b.r").alias("mined_rule"))
+    best = hits.groupBy("__hf_url").agg(F.max(F.struct("confidence", F.array_join("_rt", "&").alias("r"))).alias("b"))
+    return best.select("__hf_url", F.col("b.r").alias("mined_rule"))
 
 
 def judge(pages: DataFrame, mined: DataFrame, rules: Sequence[Rule] = FIXED, url: str = "url") -> DataFrame:
@@ -134,14 +134,14 @@ def judge(pages: DataFrame, mined: DataFrame, rules: Sequence[Rule] = FIXED, url
     names = ("host", "path", "rule", "mined_rule", "verdict")
     keep = [c for c in pages.columns if c not in names]
     rows = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rows = rows.withColumn("_f", fixed_rule(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("__hf_f", fixed_rule(F.col("host"), F.col("path"), rules))
     if mined.isEmpty():
         rows = rows.withColumn("mined_rule", F.lit(None).cast("string"))
     else:
         found = stash(match(pages, mined, url), "matched")
-        rows = rows.join(found, F.col(url) == F.col("_url"), "left")
+        rows = rows.join(found, F.col(url) == F.col("__hf_url"), "left")
     method = F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select(*keep, "host", "path", F.col("_f.rule").alias("rule"), "mined_rule", F.coalesce(F.col("_f.verdict"), method).alias("verdict"))
+    return rows.select(*keep, "host", "path", F.col("__hf_f.rule").alias("rule"), "mined_rule", F.coalesce(F.col("__hf_f.verdict"), method).alias("verdict"))
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
