@@ -191,14 +191,11 @@ def _labels(found: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _mixed(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """Members of buckets of three or more that hold several labels, with their label c."""
+def _placed(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Members of all shared buckets with their label c."""
     labels = _labels(found, name)
     placed = members.join(labels, F.col("k") == F.col("vk"), "left").select("b", "band", "k", F.coalesce("vc", "k").alias("c"))
-    placed = stash(placed, name + "-placed")
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi AND size > 2")
-    mixed = mixed.select(F.col("band").bitwiseXOR(F.lit(0)).alias("mband"))
-    return placed.join(mixed, F.col("band") == F.col("mband")).drop("mband")
+    return stash(placed, name + "-placed")
 
 
 def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,16 +218,19 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
     found = _links(tried, cand, "links-1")
 
     members = members.select("b", "band", "k")
-    mixed = _mixed(members, found, "round-1")
+    placed = _placed(members, found, "round-1")
     # a leader drawn anew in each band; hashing the band and the member makes the draw repeatable
-    drawn = mixed.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "k", F.lit(2)).alias("o"), "k", "c")).alias("d"))
+    order = F.struct(F.xxhash64("band", "k", F.lit(2)).alias("o"), "k", "c")
+    drawn = placed.groupBy("band").agg(F.min(order).alias("d"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"))
+    drawn = drawn.filter("lo <> hi AND size > 2")
     drawn = drawn.select(F.col("band").bitwiseXOR(F.lit(0)).alias("dband"), F.col("d.k").alias("kb"), F.col("d.c").alias("cb"))
-    again = mixed.join(drawn, F.col("band") == F.col("dband")).filter("c <> cb").select(F.col("k").alias("ka"), "kb").distinct()
+    again = placed.join(drawn, (F.col("band") == F.col("dband")) & (F.col("c") != F.col("cb"))).select(F.col("k").alias("ka"), "kb").distinct()
     found = found.unionByName(_links(again, cand, "links-2"))
 
-    mixed = _mixed(members, found, "round-2")
-    sizes = mixed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"))
+    placed = _placed(members, found, "round-2")
+    sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("labels"))
+    largest = largest.filter("labels > 1 AND all > 2")
     blocks = lambda x: F.ceil(x / F.lit(BLOCK)).cast("int")
     largest = largest.select(
         F.col("band").bitwiseXOR(F.lit(0)).alias("tband"),
@@ -239,7 +239,7 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
         F.greatest(blocks(F.col("all") - F.col("top.m")), F.lit(1)).alias("rests"),
     )
     own = cand.select(F.col("k").alias("ck"), "cls", "n", "sig", "text")
-    rows = mixed.join(largest, F.col("band") == F.col("tband")).withColumn("cell", F.explode(_cells())).select("b", "band", "k", "c", "cell.*")
+    rows = placed.join(largest, F.col("band") == F.col("tband")).withColumn("cell", F.explode(_cells())).select("b", "band", "k", "c", "cell.*")
     rows = rows.join(own, F.col("k") == F.col("ck")).select("b", "band", "i", "j", "side", "c", "cls", "n", "sig", "text")
     last = rows.groupBy("band", "i", "j").applyInArrow(_sweep, "u string, v string")
     return found.unionByName(stash(last, "links-3"))
