@@ -165,7 +165,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def accept(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that break no rule, with their own columns."""
-    return docs.filter(verdict(metrics(F.col(text)), rules) == "")
+    return docs.filter(let(metrics(F.col(text)), lambda m: verdict(m, rules)) == "")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
