@@ -46,13 +46,14 @@ def dictionary(rows: DataFrame, keep_disused: bool = False) -> DataFrame:
     tail = F.trim(F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.substr(F.col("name"), F.length("owner") + 1)))
     parts = named.join(owner, F.col("name") == F.col("_n"), "left").withColumn("tail", tail).withColumn("last", F.substring_index("tail", " ", -1))
     has = F.col("tail") != ""
-    at = lambda k: F.col("level") == k
+    at = lambda k: (F.col("level") == k) & has
+    term = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.col(value).alias("term"))
     terms = F.array(
-        F.when(at("sigungu") & has, F.struct(F.lit("sigungu").alias("kind"), F.col("tail").alias("term"))),
-        F.when(at("sigungu") & has, F.struct(F.lit("sigungu"), F.col("last"))),
-        F.when(at("eupmyeondong") & has, F.struct(F.lit("eupmyeondong"), F.col("last"))),
-        F.when(at("eupmyeondong") & has & ~F.col("tail").contains(" ") & F.col("owner").isNotNull(), F.struct(F.lit("single_tier_sido"), F.col("owner"))),
-        F.when(at("ri") & has, F.struct(F.lit("ri"), F.col("last"))),
+        F.when(at("sigungu"), term("sigungu", "tail")),
+        F.when(at("sigungu"), term("sigungu", "last")),
+        F.when(at("eupmyeondong"), term("eupmyeondong", "last")),
+        F.when(at("eupmyeondong") & ~F.col("tail").contains(" ") & F.col("owner").isNotNull(), term("single_tier_sido", "owner")),
+        F.when(at("ri"), term("ri", "last")),
     )
     found = parts.select(F.explode(F.array_compact(terms)).alias("t")).select("t.kind", "t.term")
     counted = parts.filter(has & F.col("level").isin("eupmyeondong", "ri")).groupBy(F.col("last").alias("term")).agg(F.count(F.lit(1)).alias("n"))

@@ -32,7 +32,7 @@ def with_retries(items: DataFrame, work: Callable[[DataFrame], DataFrame], tries
     ``work`` gives (path, ok); items that are not ok are tried again, in the next round only."""
     left, done = items.select("path").dropDuplicates(["path"]), None
     for attempt in range(1, tries + 2):
-        result = work(left).select("path", F.when("ok", "done").otherwise("failed").alias("status"), F.lit(attempt).alias("attempts"))
+        result = work(left).select("path", F.when(F.col("ok"), "done").otherwise("failed").alias("status"), F.lit(attempt).alias("attempts"))
         done = result if done is None else done.filter("status = 'done'").unionByName(result)
         left = result.filter("status = 'failed'").select("path")
     return done
