@@ -154,3 +154,13 @@ KOREAN = {
     "KEYWORD": "키워드",
     "MANUAL": "마스킹",
 }
+
+# --- Fixed values: labels on public documents --------------------------------------------------------------------------------
+REGION_LABELS = frozenset("소재지 관할지역 관할구역 관할 해당지역 위치 지역 행정구역".split())
+PROFILE_LABELS = frozenset("수신 수신자 참조 시행 발신 담당".split())
+ADDRESS_LABELS = frozenset("주소 소재지 거소 사업장주소 송달장소 주민등록상주소 본점소재지".split())
+INSTITUTION_ADDRESS_LABELS = frozenset("기관주소 기관소재지 사업장주소 본점소재지 청사주소".split())
+INSTITUTION_LABELS = frozenset("기관명 법인명 회사명 상호 업체명 소속기관 발신기관 수신기관 담당부서 부서명".split())
+CONTACT_LABELS = frozenset("우편번호 우 전화 전화번호 대표전화 전송 팩스 fax 이메일 email 전자우편".split())
+REGION_ENDINGS = tuple("시 군 구 읍 면 동 도".split())
+QUOTES = ('""', "''", "“”", "「」", "『』")
