@@ -63,6 +63,10 @@ DROPPED_NAMES = frozenset(
     "sidebar sidebars side social sponsor sponsored subscribe newsletter skip toolbar widget widgets reply replies".split()
 )
 
+#: In a name, words that make the rest a description of what an element is not, and of a title's own header.
+UNTRUE = frozenset("has with without no not".split())
+TITLE_OF = frozenset("entry post article content story title".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -90,11 +94,18 @@ def _is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.strip() in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not DROPPED_NAMES.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_is_dropped_name, value.split())):
             return True
     return False
 
 
+def _is_dropped_name(name: str) -> bool:
+    words = _NAME.findall(name)
+    if not UNTRUE.isdisjoint(words) or (words[-1:] == ["header"] and not TITLE_OF.isdisjoint(words)):
+        return False
+    return not DROPPED_NAMES.isdisjoint(words)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; its root stands for the body."""
     root = now = Node("body", None, False)

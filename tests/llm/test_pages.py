@@ -75,6 +75,7 @@ def test_empty_archive(spark):
         (f"<main>{PARAGRAPH}<div id=comments><p>Reader words</p></div><form>Name <input></form><aside>More</aside><div class=cookie-notice>We use</div></main>", TEXT),
         ("<script>var a = '</p><p>no</p>';</script><style>p{}</style><!-- <p>no</p> --><p>yes &lt;b&gt;</p>", "yes <b>"),
         ("<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table>", "one\n\ntwo\n\na\n\nb\n\nc"),
+        (f"<div class='page has-sidebar'><div class=entry-header><h1>T</h1></div>{PARAGRAPH}<div class='site-header x'>no</div></div>", f"T\n\n{TEXT}"),
         ("<p>cut off <b>here</b> <a href=", "cut off here"),
         ("a < b and <3", "a < b and <3"),
     ],
