@@ -99,3 +99,68 @@ def precondition(manifest: DataFrame, reviews: DataFrame) -> DataFrame:
     met = F.col("blocking_item").isNull() | F.coalesce("seen", F.lit(False))
     sound = (F.col("state") == "ready") & (F.col("revision") == F.col("expected_revision")) & (F.col("hash") == F.col("expected_hash"))
     return items.groupBy("doc_id").agg(F.every(met & sound).alias("ready"))
+
+
+def page_masks(occurrences: DataFrame, manual: DataFrame) -> DataFrame:
+    """(doc_id, page, automatic, manual): masks of each page that has any."""
+    a = occurrences.filter("action = 'mask'").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("automatic"))
+    m = manual.filter("action = 'mask'").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("manual"))
+    return a.join(m, ["doc_id", "page"], "full_outer").na.fill(0, ["automatic", "manual"])
+
+
+def first_mask(occurrences: DataFrame, manual: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, page): the first page with a mask, a manual action or a candidate."""
+    pages = [t.select("doc_id", "page") for t in (occurrences.filter("action = 'mask'"), manual, candidates)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).groupBy("doc_id").agg(F.min("page").alias("page"))
+
+
+def review_totals(reviews: DataFrame) -> DataFrame:
+    """(doc_id, pending, resolved, total)."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return reviews.groupBy("doc_id").agg(n("pending").alias("pending"), n("resolved").alias("resolved"), F.count(F.lit(1)).alias("total"))
+
+
+def coverage_range(regions: DataFrame, segments: DataFrame) -> DataFrame:
+    """(doc_id, kind, page_start, page_end): the pages of a kind's regions, or else of the kind's segments."""
+    r = regions.groupBy("doc_id", "kind").agg(F.min("page").alias("ra"), F.max("page").alias("rb"))
+    s = segments.groupBy("doc_id", "kind").agg(F.min("page_start").alias("sa"), F.max("page_end").alias("sb"))
+    both = r.join(s, ["doc_id", "kind"], "full_outer")
+    return both.select("doc_id", "kind", F.coalesce("ra", "sa").alias("page_start"), F.coalesce("rb", "sb").alias("page_end"))
+
+
+def expected_masks(occurrences: DataFrame, manual: DataFrame, applied: DataFrame) -> DataFrame:
+    """(doc_id, expected, applied, complete): masks that a final document must have, against those it has."""
+    want = mask_counts(occurrences, manual).select("doc_id", F.col("effective").alias("expected"))
+    has = applied.groupBy("doc_id").agg(F.count(F.lit(1)).alias("applied"))
+    out = want.join(has, "doc_id", "full_outer").na.fill(0, ["expected", "applied"])
+    return out.withColumn("complete", F.col("expected") == F.col("applied"))
+
+
+def restores_on_masks(manual: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Restore actions (doc_id, page, action, rect) that overlap a confirmed mask of their page."""
+    o = occurrences.filter("action = 'mask'").select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.explode("rects").alias("_r"))
+    on = (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & G.overlaps(F.col("rect"), F.col("_r"))
+    return manual.filter("action = 'restore'").join(o, on, "left_semi")
+
+
+def save_warnings(reviews: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(doc_id, kind, why): pending reviews, and kinds of unclear coverage that no pending review names."""
+    pending = reviews.filter("status = 'pending'").select("doc_id", "kind", F.lit("review_pending").alias("why")).distinct()
+    unclear = coverage.filter("state = 'indeterminate'").select("doc_id", "kind")
+    return pending.unionByName(unclear.join(pending, ["doc_id", "kind"], "left_anti").withColumn("why", F.lit("coverage_indeterminate")))
+
+
+def kept_exclusions(exclusions: DataFrame, masks: DataFrame) -> DataFrame:
+    """Carried exclusions (doc_id, page, rect, reasons) with a conflict named where a keyword or manual mask overlaps: the
+    row stays, the mask wins."""
+    m = masks.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("rect").alias("_r"))
+    on = (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & G.overlaps(F.col("rect"), F.col("_r"))
+    keys = [F.col(c) for c in exclusions.columns]
+    out = exclusions.join(m, on, "left").groupBy(*keys).agg(F.count("_d").alias("_n")).withColumn("_hit", F.col("_n") > 0).drop("_n")
+    reasons = F.when(F.col("_hit"), F.array_union("reasons", F.array(F.lit("mask_overlaps_exclusion")))).otherwise(F.col("reasons"))
+    return out.withColumns({"reasons": reasons, "effective": ~F.col("_hit")}).drop("_hit")
+
+
+def anonymised(rows: DataFrame, columns: list[str], salt: str) -> DataFrame:
+    """Identifiers replaced by salted hashes, equal ones alike."""
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.concat(F.lit("id_"), F.left(F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256), F.lit(16)))) for c in columns})

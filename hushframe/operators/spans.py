@@ -107,3 +107,27 @@ def carried(prior: DataFrame, after: DataFrame, keys: list[str], share: float =
     pairs = a.join(b, on).select("prior_id", "after_id")
     pairs = pairs.withColumns({"_p": F.count(F.lit(1)).over(Window.partitionBy("prior_id")), "_q": F.count(F.lit(1)).over(Window.partitionBy("after_id"))})
     return pairs.filter("_p = 1 AND _q = 1").drop("_p", "_q")
+
+
+def token_values(masked: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """Each token of the masked texts (key, masked) with the value it stands for: (key, tag, nth, at, value).
+
+    The n-th token of a tag takes the n-th masked value (key, tag, start, value) of that tag; left over tokens have none."""
+    pattern = r"\[[A-Z_]+\]"
+    found = F.regexp_extract_all("masked", F.lit(pattern), F.lit(0))
+    tokens = masked.select(key, F.posexplode(found).alias("at", "token")).withColumn("tag", F.expr("substr(token, 2, length(token) - 2)"))
+    nth = F.row_number().over(Window.partitionBy(key, "tag").orderBy("at"))
+    values = hits.withColumn("_n", F.row_number().over(Window.partitionBy(key, "tag").orderBy("start", "value")))
+    values = values.select(F.col(key).alias("_k"), F.col("tag").alias("_t"), "_n", "value")
+    joined = tokens.withColumn("nth", nth).join(values, (F.col(key) == F.col("_k")) & (F.col("tag") == F.col("_t")) & (F.col("nth") == F.col("_n")), "left")
+    return joined.select(key, "tag", "nth", "at", "value")
+
+
+def page_continuity(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_index, page_number, signatures) with ``signals``: the number follows the page before, or a header
+    or footer line is shared with it."""
+    w = Window.partitionBy("doc_id").orderBy("page_index")
+    follows = F.col("page_number") == F.lag("page_number").over(w) + 1
+    shared = F.arrays_overlap("signatures", F.lag("signatures").over(w))
+    signals = F.array_compact(F.array(F.when(follows, F.lit("page_number_sequence")), F.when(shared, F.lit("repeated_header_footer"))))
+    return pages.withColumn("signals", signals)
