@@ -59,10 +59,12 @@ def canonical_hash(*parts: Column) -> Column:
 
 
 def yes_or_no(answer: Column) -> Column:
-    """A model's verdict: true, false, or null when it says neither or both."""
-    words = F.regexp_extract_all(F.upper(F.coalesce(answer, F.lit(""))), F.lit(r"\b(YES|NO)\b"), F.lit(1))
-    kinds = F.array_distinct(words)
-    return F.when(F.size(kinds) == 1, kinds[0] == "YES")
+    """A model's verdict: the first line that gives one, else the first word that does; null without any."""
+    upper = F.upper(F.coalesce(answer, F.lit("")))
+    line = F.regexp_extract(upper, r"(?m)^[ \t]*(?:FINAL\s+ANSWER|ANSWER|RESULT|DECISION|판정|결론)?\s*[:\-]?\s*(YES|NO)\b", 1)
+    word = F.regexp_extract(upper, r"\b(YES|NO)\b", 1)
+    verdict = F.when(line != "", line).otherwise(word)
+    return F.when(verdict != "", verdict == "YES")
 
 
 def evidence(code: Column, kinds: dict[str, str]) -> Column:

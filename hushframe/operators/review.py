@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.text import clean
+from .native import found
 
 
 def canonical_reviews(reviews: DataFrame) -> DataFrame:
@@ -76,14 +78,31 @@ def blocked(rows: DataFrame, faults: str = "faults") -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(faults)))).alias("reasons"), F.bool_or(F.size(faults) > 0).alias("blocked"))
 
 
-def candidates_for_model(hits: DataFrame, most: int = 25) -> DataFrame:
-    """The values of each document worth a second opinion: (doc_id, tag, value, n, first, score, rank), at most ``most``."""
-    grouped = hits.groupBy("doc_id", "tag", "value").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
-    size = F.length("value")
-    band = F.when(size.between(2, 4), 20).when(size.between(5, 12), 12).otherwise(4)
-    scored = grouped.withColumn("score", F.lit(50) + band + F.least(F.col("n"), F.lit(5)) * 12)
+# Labels whose values a second opinion is asked on, with the weight of each tag.
+_ASKED = (
+    ("LEGAL_PARTY", 90, r"\b(?:원고|피고|신청인|피신청인|청구인|피청구인|항고인|피항고인)\b\s+([가-힣]{2,6})(?=[^가-힣]|$)"),
+    ("APPROVAL_LINE", 70, r"\b(?:기안자|검토자|협조자|결재자|담당자|주무관|팀장|과장|국장)\b\s+([가-힣]{2,6})(?=[^가-힣]|$)"),
+    ("COMPANY", 50, r"\b(?:회사명|법인명|상호|기관명)\b\s*[:：]?\s*([^\n\[\]]{2,40})"),
+)
+
+
+def candidates_for_model(masked: DataFrame, most: int = 25) -> DataFrame:
+    """Values that masked texts (doc_id, masked) still show after a label: (doc_id, tag, value, n, first, score, rank), the
+    ``most`` best of each document, by the label's weight, the value's length and how often it stands there."""
+    parts = []
+    for tag, weight, pattern in _ASKED:
+        java = "(?Ud)" + pattern
+        values, at = F.regexp_extract_all("masked", F.lit(java), F.lit(1)), found(F.col("masked"), pattern, tag)
+        rows = masked.select("doc_id", F.explode(F.arrays_zip(values.alias("v"), F.transform(at, lambda h: h["start"]).alias("s"))).alias("z"))
+        parts.append(rows.select("doc_id", F.lit(tag).alias("tag"), F.lit(weight).alias("weight"), clean(F.col("z.v")).alias("value"), F.col("z.s").alias("start")))
+    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("value <> '' AND NOT startswith(value, '[') AND NOT endswith(value, ']')")
+    grouped = all_.groupBy("doc_id", "tag", "value", "weight").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+    size = F.length(F.regexp_replace("value", r"(?U)\s+", ""))
+    name = F.when(size.between(2, 4), 28).when(size.between(5, 6), 18).otherwise(8)
+    firm = F.when(size.between(3, 12), 24).when(size.between(13, 24), 14).otherwise(6)
+    scored = grouped.withColumn("score", F.col("weight") + F.when(F.col("tag") == "COMPANY", firm).otherwise(name) + F.least(F.col("n"), F.lit(5)) * 12)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("n"), "first", "value", "tag"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= most).drop("weight")
 
 
 def safe_report(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -143,8 +143,7 @@ def safe_report_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of each document that a second opinion is asked on."""
-    hits = fold.matches(masked_documents(spark, sf_dir, ("doc_id", "text")), "doc_id")
-    return review.candidates_for_model(hits)
+    return review.candidates_for_model(masked_documents(spark, sf_dir, ("doc_id", "text")).select("doc_id", "masked"))
 
 
 @query()

@@ -112,7 +112,7 @@ def test_text_functions(spark):
     for key in (b"k", b"x" * 100):
         assert one(X.hmac_sha256(F.lit("값"), key)) == X.hmac_reference("값", key)
     assert [one(X.page_number(F.lit(t))) for t in ("- 3 -", "12", "3/10", "4쪽", "page 3", "")] == [3, 12, 3, 4, None, None]
-    assert [one(X.yes_or_no(F.lit(t))) for t in ("Yes.", "no", "yes or no", "maybe", None)] == [True, False, None, None, None]
+    assert [one(X.yes_or_no(F.lit(t))) for t in ("Yes.", "no", "I think\\nAnswer: no, not yes", "well yes, no", "maybe", None)] == [True, False, False, True, None, None]
     assert one(X.inside_token(F.lit("ab12"), F.lit(1), F.lit(3))) and not one(X.inside_token(F.lit("a b c"), F.lit(2), F.lit(3)))
     assert one(X.without_values(F.lit("x value: secret 1"))) == "x value: [REDACTED]"
     assert one(X.safe_codes(F.array(*(F.lit(c) for c in "abca")), ["c", "a"])) == ["a", "c"]

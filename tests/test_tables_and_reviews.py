@@ -79,3 +79,10 @@ def test_blocked_documents(spark):
     df = spark.createDataFrame([(1, ["a"]), (1, []), (2, [])], "doc_id int, faults array<string>")
     assert {r.doc_id: (r.reasons, r.blocked) for r in review.blocked(df).collect()} == {1: (["a"], True), 2: ([], False)}
     assert df.select(F.lit(1)).count() == 3
+
+
+def test_model_candidates(spark):
+    df = spark.createDataFrame([(1, "원고 홍길동 피고 [LEGAL_PARTY] 원고 홍길동\n회사명: 푸른 들\n팀장 오나래"), (2, "none")], "doc_id int, masked string")
+    got = [(r.tag, r.value, r.n, r["first"], r.score) for r in review.candidates_for_model(df).orderBy("rank").collect()]
+    assert got == [("LEGAL_PARTY", "홍길동", 2, 0, 142), ("APPROVAL_LINE", "오나래", 1, 41, 110), ("COMPANY", "푸른 들", 1, 31, 86)]
+    assert review.candidates_for_model(df, most=1).count() == 1
