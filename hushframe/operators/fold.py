@@ -252,9 +252,13 @@ def _masker(options: Options):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                tapes = [mask_text(t, options) if t else Tape("") for t in part.column(0).to_pylist()]
-                hits = [[h.__dict__ for h in sorted(t.hits, key=lambda h: (h.start, h.end, h.tag, h.value))] for t in tapes]
-                columns = [pa.array([t.text for t in tapes], pa.string()), pa.array([list(t.counts.items()) for t in tapes], _ARROW_COUNT), pa.array(hits, pa.list_(_ARROW_HIT))]
+                texts, counts, hits = [], [], []
+                for t in part.column(0).to_pylist():  # a tape is let go before the next one is made
+                    tape = mask_text(t, options) if t else Tape("")
+                    texts.append(tape.text)
+                    counts.append(list(tape.counts.items()))
+                    hits.append([h.__dict__ for h in sorted(tape.hits, key=lambda h: (h.start, h.end, h.tag, h.value))])
+                columns = [pa.array(texts, pa.string()), pa.array(counts, _ARROW_COUNT), pa.array(hits, pa.list_(_ARROW_HIT))]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*part.schema.names[1:], "masked", "counts", "hits"])
 
     return run
