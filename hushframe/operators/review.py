@@ -90,6 +90,7 @@ def candidates_for_model(masked: DataFrame, most: int = 25) -> DataFrame:
     """Values that masked texts (doc_id, masked) still show after a label: (doc_id, tag, value, n, first, score, rank), the
     ``most`` best of each document, by the label's weight, the value's length and how often it stands there."""
     parts = []
+    masked = masked.filter(F.col("masked").rlike("[가-힣]"))  # every label has Hangul
     for tag, weight, pattern in _ASKED:
         java = "(?Ud)" + pattern
         values, at = F.regexp_extract_all("masked", F.lit(java), F.lit(1)), found(F.col("masked"), pattern, tag)

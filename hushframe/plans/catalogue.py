@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import policy, scoring
 from ..operators import chunks, evaluation, fold, layout, native, review, routing, spans
+from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,10 +33,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
