@@ -8,13 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of anything but these characters (space, \t \n \v \f \r).
-WORD_SPACES = " \t\n\x0b\x0c\r"
+from ..sources.tables import table
 
+__all__ = ["fresh_dir", "rekey", "shared_dir", "stash", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, as a lazily read Parquet DataFrame."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Words are maximal runs of anything but these characters (space, \t \n \v \f \r).
+WORD_SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
