@@ -28,8 +28,9 @@ from .shared import rekey, table
 
 SHINGLE = 5
 PERCENT = 75
-#: Index rows (a long and a key each, under 64 MB in all) up to which the index is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Index rows up to which the index (two longs a row) and the items' sets (four times as many short strings) are
+#: broadcast: some 60 MB in all.
+BROADCAST_ROWS = 200_000
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-__all__ = ["fresh_dir", "rekey", "shared_dir", "stash", "table"]
+__all__ = ["fresh_dir", "rekey", "release", "shared_dir", "stash", "table"]
 
 #: Words are maximal runs of anything but these characters (space, \t \n \v \f \r).
 WORD_SPACES = " \t\n\x0b\x0c\r"
@@ -31,9 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/hushframe/{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing path below the shared folder."""
-    return f"{shared_dir(spark)}/hushframe/{name}-{uuid.uuid4().hex}"
+    """A new, not yet existing path below the shared folder, in this application's part of it."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has stashed; for when no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from hushframe.llm import html_text, url_rules, warc
-from hushframe.llm.shared import fresh_dir
+from hushframe.llm.shared import fresh_dir, release, stash
 
 PARAGRAPH = "<p>" + "Real words of an article, long enough to count as its text. " * 3 + "</p>"
 TEXT = ("Real words of an article, long enough to count as its text. " * 3).strip()
@@ -133,3 +133,15 @@ def test_mined_rules(spark):
     table = pages(spark, [(1, "http://pills.new.net/fr/9", ""), (2, "http://pills.new.net/en/9", ""), (3, "http://pills.z.org/fr/9", ""), (4, None, ""), (1, "http://pills.new.net/fr/9", "")])
     got = {x["url"]: x.verdict for x in url_rules.judge(table, mined).collect()}
     assert got == {"http://pills.new.net/fr/9": "block", "http://pills.new.net/en/9": "allow", "http://pills.z.org/fr/9": "allow", None: "allow"}
+
+
+def test_release_deletes_what_was_stashed(spark):
+    from urllib.parse import urlparse
+
+    df = stash(spark.range(3), "gone")
+    folder = urlparse(df.inputFiles()[0]).path.rpartition("/")[0]
+    import os
+
+    assert os.path.isdir(folder)
+    release(spark)
+    assert not os.path.exists(folder)
