@@ -126,3 +126,17 @@ def protected(masks: DataFrame, neighbours: DataFrame, keys: list[str]) -> DataF
     for k in keys:
         on = on & (F.col(k) == F.col("_n" + k))
     return masks.join(n, on, "left_semi")
+
+
+def merged_evidence(evidence: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """Evidence rows (keys, id, rect, score) that overlap transitively as one: the best row, with the box around all.
+
+    Rows that all have one and the same rect stay apart."""
+    grouped = clusters(evidence, keys)
+    joined = evidence.join(grouped, [*keys, "id"])
+    box = G.rect(F.min("rect.x0"), F.min("rect.y0"), F.max("rect.x1"), F.max("rect.y1"))
+    per = joined.groupBy(*keys, "cluster").agg(
+        F.count_distinct("rect").alias("_kinds"), F.max_by("id", F.struct(F.col(score), -F.col("id"))).alias("_best"), box.alias("_box")
+    )
+    out = joined.join(per, [*keys, "cluster"]).filter((F.col("_kinds") == 1) | (F.col("id") == F.col("_best")))
+    return out.withColumn("rect", F.when(F.col("_kinds") == 1, F.col("rect")).otherwise(F.col("_box"))).drop("_kinds", "_best", "_box", "cluster")
