@@ -12,9 +12,10 @@ from .grouped import Rows, per_group
 def folds(documents: DataFrame, column: str, count: int = 5, seed: str = "public-document-pilot-v1") -> DataFrame:
     """``documents`` with ``fold``: the rank by seeded hash, modulo the number of folds.
 
-    Ranks are global; they are made by counting per leading hash byte and ranking within, so that no task ranks all rows."""
-    keyed = documents.withColumn("_k", F.sha2(F.concat(F.lit(seed + ":"), F.col(column)), 256)).withColumn("_b", F.left("_k", F.lit(2)))
-    per = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # 256 rows at most
+    Ranks are global; they are made by counting per leading two bytes of the hash and ranking within those 65 536
+    buckets, so that no task ranks all rows; only the counts are ranked in one."""
+    keyed = documents.withColumn("_k", F.sha2(F.concat(F.lit(seed + ":"), F.col(column)), 256)).withColumn("_b", F.left("_k", F.lit(4)))
+    per = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # 65 536 rows at most
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_k", column)) - 1
