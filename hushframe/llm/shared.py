@@ -12,9 +12,6 @@ from ..sources.tables import table
 
 __all__ = ["fresh_dir", "rekey", "release", "shared_dir", "stash", "table"]
 
-#: Words are maximal runs of anything but these characters (space, \t \n \v \f \r).
-WORD_SPACES = " \t\n\x0b\x0c\r"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can see.
