@@ -164,3 +164,16 @@ INSTITUTION_LABELS = frozenset("기관명 법인명 회사명 상호 업체명 
 CONTACT_LABELS = frozenset("우편번호 우 전화 전화번호 대표전화 전송 팩스 fax 이메일 email 전자우편".split())
 REGION_ENDINGS = tuple("시 군 구 읍 면 동 도".split())
 QUOTES = ('""', "''", "“”", "「」", "『』")
+
+# --- Fixed values: approval lines (recognisers that every profile leaves off) -----------------------------------------------------
+APPROVAL_LABELS = "기안자 기안 검토자 검토 협조자 협조 결재권자 최종결재권자 결재자 전결권자 대결권자 전결 대결 결재".split()
+NOT_SIGNERS = "지침 절차 기준 양식 규정 문서 작성 검토 결재 업무 계획 방법 지시 공문 시행 요청 사유 완료 안내 결과 권한 하여 위하여 대하여".split()
+OFFICIAL_ROLES = (
+    "주무관 사무관 서기관 부이사관 이사관 관리관 지방시설서기 지방시설서기보 서기 서기보 주사 주사보 사무주사 사무주사보 팀장 과장 국장 실장 센터장 계장 부시장 시장 "
+    "부구청장 구청장 인턴 사원 주임 선임 책임 수석 연구원 선임연구원 책임연구원 수석연구원 대리 차장 부장 본부장 사업부장 파트장 매니저 이사 상무 전무 부사장 사장 대표 "
+    "대표이사 CEO CTO CFO COO"
+).split()
+LINE_ROLES = [*OFFICIAL_ROLES, *"담당자 담당 행정팀장 민원팀장 복지팀장 건축과장 총무과장".split()]
+HEAD_ROLES = "팀장 과장 국장 실장 센터장 본부장 사업부장 부시장 시장 부구청장 구청장".split()
+GRADE_SERIES = "행정 시설 건축 토목 전산 세무 사회복지 보건 환경 녹지 기계 전기 화공 농업 임업 해양수산 지적 사서 간호 의료기술 운전 방호 통신 방재안전".split()
+FLOW_WORDS = r"(?:전\s*결|대\s*결|代\s*決|專\s*決|代)"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed as V
 from ..functions import validators as ok
-from .rules import CITED_COURT, CITED_DOCKET, PHONE, Rule, rules
+from .rules import CITED_COURT, CITED_DOCKET, IN_ROW, PHONE, Rule, rules
 
 OPTION_NAMES = (
     "rrn phone business_reg name address place legal_party company court case_title case_number law_firm attorney approval_line region_context doc_meta email"
@@ -37,6 +37,8 @@ class Options:
     keywords: str | tuple[str, ...] = ""
     regions: str | tuple[str, ...] = ""
     korean_tokens: bool = False
+    #: Also run the approval-line recognisers in public profiles; their hits are for review and stay visible.
+    approvals: bool = False
 
     def __post_init__(self) -> None:
         if self.profile not in V.PROFILES:
@@ -139,6 +141,15 @@ def _apply(tape: Tape, rule: Rule) -> None:
             continue
         if rule.kind == "court" and not ok.is_court(value, tape.text, start, end):
             continue
+        if rule.kind == "signers":
+            names = [(start + n.start("value"), start + n.end("value")) for n in IN_ROW.finditer(value)]
+            for s, e in names:
+                if ok.is_name_in(tape.text[s:e], tape.text, s, e):
+                    tape.note(rule.tag, s, e)
+                    edits.append((s, e, token))
+            continue
+        if rule.kind in ("signer", "below") and not ok.is_name_in(value, tape.text, start, end):
+            continue
         if rule.kind == "phones":
             numbers = list(PHONE.finditer(value))
             for n in numbers:
@@ -151,6 +162,8 @@ def _apply(tape: Tape, rule: Rule) -> None:
             edits.append((m.start(), m.end(), token))
         elif rule.kind == "titled":
             edits.append((m.start(), m.end(), f"{m['label']} {token}"))
+        elif rule.kind in ("signer", "below"):
+            edits.append((start, end, token))
         elif rule.kind != "noted":
             edits.append((m.start(), m.end(), m["label"] + token))
     tape.edit(edits)
@@ -213,7 +226,7 @@ def cascade(text: str, options: Options = Options()) -> Tape:
     """All rules of the profile over a text, before any restoring."""
     tape = Tape(text)
     for rule in rules():
-        if options.profile in rule.profiles and rule.option not in options.off:
+        if options.profile in rule.profiles and rule.option not in options.off and (options.approvals or rule.option != "approval_line"):
             _apply(tape, rule)
     return tape
 
@@ -229,6 +242,8 @@ def mask_text(text: str, options: Options = Options()) -> Tape:
     _terms(tape, parse_terms(options.regions), "REGION", f"[{names.get('REGION', 'REGION')}]")
     if options.profile == "legal":
         tape.hits = [Hit(h.tag, h.value, h.start, h.end, "mask", h.source) for h in tape.hits]
+    # what signs is authorised by its place on the page, never by text alone
+    tape.hits = [replace(h, action="review") if h.tag in ("APPROVAL_LINE", "APPROVAL_FLOW") else h for h in tape.hits]
     _restore(tape, [h for h in tape.hits if h.action != "mask"])
     return tape
 

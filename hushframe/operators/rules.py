@@ -11,6 +11,9 @@ A rule's ``kind`` says what happens to a match:
   docket   as labelled; numbers in citations stay in legal texts
   header   as labelled, in the first 1200 characters
   parties  every party name found so far becomes a token wherever it stands
+  signer   the value becomes the token, if it is a person's name by its surroundings
+  below    as signer, the name standing on the line below its label
+  signers  every name in a row of roles and names that is one by its surroundings
 """
 
 from __future__ import annotations
@@ -85,6 +88,8 @@ _TIGHT_TOP = one_of(c for c in V.TOP_COURTS if c != "헌법재판소")
 _RULING = r"(?:판\s*결|결\s*정)"
 _LOOSE_DOCKET = rf"{_YEAR}\s*(?:[가-힣]\s*){{1,4}}\s*\d{{1,10}}"
 _SPACED_DAY = rf"{_YEAR}\s*\.\s*\d{{1,2}}\s*\.\s*\d{{1,2}}"
+#: A name after a role in a row of them.
+IN_ROW = re.compile(r"(?:^|[\s|/,])[가-힣A-Za-z0-9]{1,30}?[관장급긍금]\s*(?P<value>[가-힣]{2,4}?)(?=\s*(?:[|/,]|$)|\s+[가-힣A-Za-z0-9]{1,30}?[관장급긍금])")
 #: A court cited with a ruling, and a docket number cited so.
 CITED_COURT = re.compile(
     rf"(?P<kept>{LOOSE_COURT})(?=\s*(?:{_SPACED_DAY}\s*\.\s*선\s*고\s*{_LOOSE_DOCKET}\s*{_RULING}|{_SPACED_DAY}\s*\.?\s*자\s*{_LOOSE_DOCKET}\s*결\s*정|{_LOOSE_DOCKET}\s*{_RULING}))"
@@ -153,7 +158,12 @@ def rules() -> tuple[Rule, ...]:
     ]
     if weak := [w for w in V.WEAK_PLACES if len(w) > 2]:
         table.append(_rule("WEAK_PLACE", "noted", rf"(?<![가-힣])(?P<value>{literal(weak)})(?![가-힣])", "place"))
-    table += [
+    table += _after_places(place_seen, parties, represented)
+    return tuple(table)
+
+
+def _after_places(place_seen: re.Pattern[str], parties: str, represented: str) -> list[Rule]:
+    return [
         _rule("ADDR_DETAIL", "whole", r"[가-힣0-9·\-\s]{1,20}(?:로|길)\s*\d{1,4}(?:-\d{1,4})?", "address", near=place_seen),
         _rule("LOT_NO", "whole", r"(?<!\d)\d{1,4}(?:-\d{1,4})?\s*번지(?!\d)", "address", near=place_seen),
         _rule("LEGAL_PARTY", "labelled", _labelled(rf"\b{parties}\b", COLON, r"[^\n,;()]{2,40}"), "legal_party", LEGAL, ok.is_labelled_name),
@@ -185,6 +195,7 @@ def rules() -> tuple[Rule, ...]:
         _rule("LAW_FIRM", "labelled", _labelled(r"\b(?:법무법인|법률사무소|변호사사무실|소속법무법인)\b", COLON, r"[^\n,;]{2,60}"), "law_firm", LEGAL, ok.is_law_firm),
         _rule("LAW_FIRM", "labelled", _labelled(r"\b(?:법무법인|법률사무소|변호사사무실)\b", r"\s+", r"[A-Za-z0-9가-힣&.()\-]{2,30}", r"(?=$|[\s,;])"), "law_firm", LEGAL, ok.is_law_firm),
         _rule("ATTORNEY", "labelled", _labelled(r"\b(?:변호사|담당변호사|소송대리인|법률대리인|선임변호사)\b", COLON, r"[가-힣A-Za-z ]{2,30}"), "attorney", LEGAL),
+        *_approvals(),
         _rule("REGION", "labelled", _labelled(r"\b(?:소재지|관할지역|관할구역|관할|해당지역|위치|지역|행정구역)\b", COLON, r"[^\n,;]{2,80}"), "region_context", PUBLIC, ok.is_address),
         _rule(
             "DOC_META",
@@ -201,4 +212,37 @@ def rules() -> tuple[Rule, ...]:
         _rule("DOC_META", "whole", rf"(?P<value>[가-힣A-Za-z0-9]{{1,20}}{one_of(V.UNITS)}\s*[-:]\s*\d{{3,5}})", "doc_meta", PUBLIC),
         _rule("DOC_META", "whole", r"(?P<value>부분공개\s*\(\s*\d{1,2}\s*\)|비공개\s*\(\s*\d{1,2}\s*\)|전부공개)", "doc_meta", PUBLIC),
     ]
-    return tuple(table)
+
+
+def _approvals() -> list[Rule]:
+    """Names and flow words of approval lines.  No profile runs these by itself; ``Options.approvals`` does."""
+    longest = lambda words: one_of(sorted(words, key=len, reverse=True))
+    not_signer = rf"(?!{one_of(V.NOT_SIGNERS)}(?=\s|$))"
+    name = r"(?:[가-힣]{2,4}|[가-힣]\s*[가-힣]{1,3})"
+    role, line_role, head = longest(V.OFFICIAL_ROLES), longest(V.LINE_ROLES), longest(V.HEAD_ROLES)
+    series = one_of(V.GRADE_SERIES)
+    grade, loose_grade = rf"{series}\s*[1-9]\s*[급긍]", rf"{series}\s*[1-9Bb]\s*[급긍금]"
+    unit = r"[가-힣A-Za-z0-9]"
+    day = rf"(?:\d{{1,2}}\s*/\s*\d{{1,2}}|{_YEAR}\.\s*\d{{1,2}}\.\s*\d{{1,2}}\.?)"
+    pair = rf"(?:{role}|{loose_grade})\s*{name}"
+    gap = r"(?:\s*[|/,]\s*|\s+)"
+    after = r"(?=(?:연락처|전화번호|대표전화|휴대전화|휴대폰|전화|팩스|FAX|[\s\d:：,;/·]|$))"
+    rows = [
+        ("signer", _labelled(rf"\b{longest(V.APPROVAL_LABELS)}\b", COLON_OR_SPACE, not_signer + "[가-힣A-Za-z]{2,20}"), 0),
+        ("signer", _labelled(rf"\b{line_role}\b", COLON_OR_SPACE, not_signer + name), 0),
+        ("signer", r"^\s*" + _labelled(loose_grade, "", name, r"\s*$").replace(")(?P<value>", rf"){COLON_OR_SPACE}(?P<value>"), re.MULTILINE),
+        ("signer", _labelled(rf"{unit}{{1,20}}{one_of([*V.UNITS, '본부', '사업부'])}\s*{role}", r"\s*", name), 0),
+        ("signer", _labelled(rf"{unit}{{1,24}}{role}", r"\s*", r"(?:[가-힣]{2,4}?|[가-힣]\s*[가-힣]{1,3}?)", after), 0),
+        ("signer", _labelled("代", r"\s*", "[가-힣]{2,4}?", r"(?=(?:친|협조자|수신|시행|접수|[\s\d:：,;/·]|$))"), 0),
+        ("below", rf"^(?P<label>{role}|{grade}|{unit}{{1,20}}{head})\s*$\n^(?P<value>[가-힣]{{2,4}})\s*$", re.MULTILINE),
+        ("signers", rf"(?P<value>{pair}{gap}{pair}(?:{gap}?{pair})*)", 0),
+        ("signer", _labelled(rf"(?:^|\s){unit}{{0,24}}{longest(['주무관', *V.HEAD_ROLES])}(?:\s*{day})?", r"\s*[(\[]\s*", "[가-힣]{2,6}", r"(?=\s*[)\]])"), re.MULTILINE | re.IGNORECASE),
+        ("signer", _labelled(rf"(?:^|\s){unit}{{1,24}}{head}\s*{day}", r"\s*[:：]?\s*", "[가-힣]{2,4}", r"(?=\s|$)"), re.MULTILINE | re.IGNORECASE),
+        ("signer", _labelled(rf"(?:^|\s){day}", r"\s*[:：]?\s*", "[가-힣]{2,4}", r"(?=\s|$)"), re.MULTILINE | re.IGNORECASE),
+    ]
+    flow = _labelled(r"\b(?:결재\s*구분|결재\s*방식|결재\s*방법)\b", r"\s*[:：]?\s*", V.FLOW_WORDS, r"(?![가-힣A-Za-z0-9])")
+    return [
+        *(_rule("APPROVAL_LINE", kind, pattern, "approval_line", PUBLIC, flags=flags) for kind, pattern, flags in rows),
+        _rule("APPROVAL_FLOW", "labelled", flow, "approval_line", PUBLIC, flags=re.IGNORECASE),
+        _rule("APPROVAL_FLOW", "whole", rf"^\s*(?P<value>{V.FLOW_WORDS})\s*$", "approval_line", PUBLIC, flags=re.MULTILINE | re.IGNORECASE),
+    ]

@@ -169,3 +169,33 @@ def test_pseudonyms(spark):
         assert spark.range(1).select(policy.stateless_pseudonym(F.lit(tag), F.lit(value)).alias("p")).first().p == first
     assert policy.apply_policy("[NAME] [PHONE] [NAME] [X]", [("NAME", "가나"), ("NAME", "다라"), ("PHONE", "010-1234-5678")], "partial") == "가OO 010-****-5678 다OO [X]"
     assert policy.apply_policy("[NAME]", [("NAME", "가나")], "unknown") == "[NAME]"
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("기안자 김철수", ["김철수"]),
+        ("기안자 지침 안내", []),
+        ("주무관 박영희 / 과장 최민수", ["박영희", "최민수"]),
+        ("  행정 7급 홍길동  ", ["홍길동"]),
+        ("급수운영팀 주무관 이한수", ["이한수"]),
+        ("급수관리팀장 이한수 연락처", ["이한수"]),
+        ("代 박영희 시행", ["박영희"]),
+        ("과장\n김철수\n", ["김철수"]),
+        ("공공주택과장 04/30 하대근", ["하대근"]),
+        ("팀장(안승현)", ["안승현"]),
+        ("04/30 홍길동", ["홍길동"]),
+        ("팀장 안전 점검", []),
+    ],
+)
+def test_approval_lines_on_request(text, names):
+    assert not cascade(text).hits or all(h.tag != "APPROVAL_LINE" for h in cascade(text).hits)
+    tape = mask_text(text, Options(approvals=True))
+    assert [text[h.start : h.end] for h in sorted(tape.hits, key=lambda h: h.start) if h.tag == "APPROVAL_LINE"] == names
+    assert tape.text == text  # for review only, so shown
+
+
+def test_approval_flow_on_request():
+    tape = cascade("결재방식: 전결\n代決\n", Options(approvals=True))
+    assert tape.counts["APPROVAL_FLOW"] == 2 and tape.text == "결재방식: [APPROVAL_FLOW]\n[APPROVAL_FLOW]"
+    assert cascade("기안자 김철수", Options(profile="legal", approvals=True)).hits == []
