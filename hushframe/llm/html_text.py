@@ -8,10 +8,14 @@ part.  For every other node the density is its link-adjusted characters per tag:
 
 with C characters, T tags, L characters in links and T' link tags of the node, N' = C - L, and LC and N those
 of the body; composite text density as published by Sun, Song and Liao (2011).  A node's
-density sum is the sum of its children's densities.  The node with the largest density sum is the core;
-the threshold is the least density on the path from it to the body.  The answer is the core's outermost
-ancestor of the body's children that reaches the threshold, or the article or main element around the core.
-All blocks in it are returned in page order, however short.
+density sum is the sum of its children's densities.  Text that stands beside blocks counts as a child of its own.
+The threshold is the least density on the path from the node with the largest density sum to the body.  From the
+body down, a child that reaches the threshold is searched on, any other is left out, until a node has the largest
+density sum of all that it holds.  That node stays, but for containers and lists of links before the first and
+behind the last of its children that reach the threshold.  Headings stay with what follows them, around
+an article only if it has no h1.
+An article or main element that the largest sum lies in, or that has most of the page's text outside links, stays
+whole and alone; where several articles reach the threshold, they all do, with what reaches it between them.
 
 Inside a block, white space becomes one space and character references are decoded; blocks are
 joined by an empty line.  Work per page is linear in its length; pages are independent, so there is
@@ -67,6 +71,9 @@ DROPPED_NAMES = frozenset(
 UNTRUE = frozenset("has with without no not".split())
 TITLE_OF = frozenset("entry post article content story title".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+CONTAINERS = frozenset("div section center fieldset header form address".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -191,8 +198,34 @@ def _blockless(node: Node) -> bool:
     return node.tag in INLINE
 
 
+def _part_runs(nodes: list[Node]) -> None:
+    """Text and inline elements that stand beside blocks become blocks without a tag."""
+    for node in nodes:
+        if _blockless(node) or not any(isinstance(c, Node) and not c.dropped and not _blockless(c) for c in node.children):
+            continue
+        children: list[Node | str] = []
+        run: list[Node | str] = []
+        for c in [*node.children, None]:
+            if c is not None and (isinstance(c, str) or c.dropped or _blockless(c)):
+                run.append(c)
+                continue
+            if any(c.strip() if isinstance(c, str) else not c.dropped for c in run):
+                block = Node("", node, False)
+                block.children = run
+                for x in run:
+                    if isinstance(x, Node):
+                        x.parent = block
+                run = [block]
+            children += run
+            run = []
+            if c is not None:
+                children.append(c)
+        node.children = children
+
+
 def measure(root: Node) -> list[Node]:
     """Composite text densities and density sums of all kept nodes; they are returned, parents first."""
+    _part_runs(_in_order(root))
     nodes = _in_order(root)
     linked = {id(root): False}
     for node in nodes[1:]:
@@ -205,7 +238,7 @@ def measure(root: Node) -> list[Node]:
             up = node.parent
             up.chars += node.chars
             up.link_chars += node.link_chars
-            up.tags += node.tags + 1
+            up.tags += node.tags + (node.tag != "")
             up.link_tags += node.link_tags + (node.tag == "a")
     ratio = root.link_chars / max(root.chars, 1)
     for node in nodes:
@@ -219,24 +252,95 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def core(root: Node) -> Node | None:
-    """The node whose blocks are the main text."""
-    nodes = [n for n in measure(root) if not _blockless(n) and n.chars]
-    if not nodes:
-        return None
-    best = max(nodes, key=lambda n: (n.sum, n.chars))
-    path = [best]
+def _path(node: Node) -> list[Node]:
+    """The node and all around it, up to the root."""
+    path = [node]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    return path
+
+
+def _linked(node: Node) -> bool:
+    return 2 * node.link_chars > node.chars
+
+
+def _whole(nodes: list[Node], path: list[Node], threshold: float) -> list[Node]:
+    """The outermost article or main elements that the text lies in, if it lies in any."""
+    around = next((k for k in range(len(path) - 1, -1, -1) if path[k].tag == "article"), None)
+    main = next((n for n in path[around or 0 :] if n.tag == "main"), None)
+    if around is None and main is not None:
+        return [main]
+    tags = ("article", "main") if around is None else ("article",)
+    under, seen, found = {id(main or path[-1])}, set(), []
+    for node in nodes:
+        up = id(node.parent)
+        if up in under:
+            under.add(id(node))
+            if up in seen:
+                seen.add(id(node))
+            elif node.tag in tags:
+                seen.add(id(node))
+                found.append(node)
+    out = [n for n in found if n.density >= threshold]
+    if around is None and 2 * sum(n.chars - n.link_chars for n in out) <= path[-1].chars - path[-1].link_chars:
+        return []
+    if len(out) > 1:  # short ones beside them too
+        beside = {id(n.parent) for n in out}
+        out = [n for n in found if n.density >= threshold or (id(n.parent) in beside and n.chars and not _linked(n))]
+    return out
+
+
+def core(root: Node) -> Node | None:
+    """The root, if the page has text; all that is not main text is dropped from under it."""
+    nodes = measure(root)
+    top: dict[int, Node] = {}
+    titled = set()
+    for node in reversed(nodes):
+        mine = top.get(id(node))
+        if node.chars and not _blockless(node) and (mine is None or (node.sum, node.chars) >= (mine.sum, mine.chars)):
+            mine = top[id(node)] = node
+        if node.parent is not None:
+            other = top.get(id(node.parent))
+            if mine is not None and (other is None or (mine.sum, mine.chars) >= (other.sum, other.chars)):
+                top[id(node.parent)] = mine
+            if node.tag == "h1" or id(node) in titled:
+                titled.add(id(node.parent))
+    if id(root) not in top:
+        return None
+    path = _path(top[id(root)])
     threshold = min(n.density for n in path)
-    for node in path:
-        if node.tag in ("article", "main"):
-            return node
-    for below, node in zip(path, path[1:], strict=False):
-        for other in node.children:
-            if isinstance(other, Node) and other is not below and not other.dropped and other.density < threshold and 2 * other.link_chars > other.chars:
-                return below
-    return path[-1]
+    whole = _whole(nodes, path, threshold)
+    ways = [_path(n) for n in whole]
+    stay, holds = {id(n) for n in whole}, {id(n) for way in ways for n in way}
+    bare = not any(id(n) in titled for n in whole)
+    common = set.intersection(*({id(n) for n in way} for way in ways)) if ways else set()
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        kids = [c for c in node.children if isinstance(c, Node) and not c.dropped and not _blockless(c) and c.chars]
+        if id(node) in stay or not kids:
+            continue
+        reach = [c.density >= threshold for c in kids]
+        if id(node) in holds:
+            # between articles, what reaches the threshold; around their common parent, nothing
+            between = id(node) not in common or not any(id(c) in common for c in kids)
+            goes = [id(c) in holds or (between and r) for c, r in zip(kids, reach, strict=True)]
+        elif top[id(node)] is node:
+            first, last = (reach.index(True), len(reach) - reach[::-1].index(True)) if any(reach) else (0, len(kids))
+            for k, c in enumerate(kids):
+                title = k < first and (c.tag in HEADINGS or id(c) in titled and not _linked(c))
+                c.dropped = not (first <= k < last or title or (c.tag not in CONTAINERS and not _linked(c)))
+            continue
+        else:
+            goes = [r or top.get(id(c)) is top[id(node)] for c, r in zip(kids, reach, strict=True)]
+        follows = False
+        for c, go in zip(reversed(kids), reversed(goes), strict=True):
+            heading = (bare or id(node) not in holds) and (c.tag in HEADINGS or (id(c) in titled and not _linked(c)))
+            follows = go or (follows and heading)
+            c.dropped = not follows
+            if go:
+                stack.append(c)
+    return root
 
 
 def blocks(node: Node) -> Iterator[str]:

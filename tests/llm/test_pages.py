@@ -84,6 +84,40 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LINE = "<div>&copy; 2024 Example</div>"
+TEASER = "<div><p>Get our letter.</p></div>"
+THREE = "\n\n".join([TEXT] * 3)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div>Please note.</div><h1>T</h1><div>{PARAGRAPH * 3}</div>{TEASER}{LINE}", f"T\n\n{THREE}"),
+        (f"{TEASER}<h1>T</h1>{PARAGRAPH * 2}<p>Short.</p>{PARAGRAPH}<p>End.</p>{LINE}", f"T\n\n{TEXT}\n\n{TEXT}\n\nShort.\n\n{TEXT}\n\nEnd."),
+        (f"<div><div><h1>T</h1><p>By me</p></div><div>{PARAGRAPH * 3}</div>{LINE}</div>{LINE}", f"T\n\nBy me\n\n{THREE}"),
+        (f"<div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul>{PARAGRAPH * 3}<ul><li><a href=c>Next page</a></ul></div>", THREE),
+        (f"<div>{TEXT}<br>{TEXT}<ul><li>one<li>two</ul>{TEXT}</div>{LINE}", f"{TEXT} {TEXT}\n\none\n\ntwo\n\n{TEXT}"),
+        (f"<div>{PARAGRAPH * 3}</div>{LINE}<div>{PARAGRAPH}</div>", f"{THREE}\n\n{TEXT}"),
+    ],
+)
+def test_density_decides_without_an_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><article>{PARAGRAPH * 3}</article><article>{PARAGRAPH * 2}</article>{TEASER}</div>{LINE}", f"{THREE}\n\n{TEXT}\n\n{TEXT}"),
+        (f"<h1>Log</h1><article>{PARAGRAPH}</article><article><h2>B</h2>{PARAGRAPH * 3}</article><article><p>Short.</p></article>{LINE}", f"Log\n\n{TEXT}\n\nB\n\n{THREE}\n\nShort."),
+        (f"<div><article>{PARAGRAPH * 3}</article></div><div><article><a href=x>A linked teaser</a></article></div>{LINE}", THREE),
+        (f"{LINE}<article>{PARAGRAPH}<p>Short.</p></article>{LINE}", f"{TEXT}\n\nShort."),
+        (f"<main><h1>T</h1>{PARAGRAPH * 3}<div>End.</div></main>{LINE}", f"T\n\n{THREE}\n\nEnd."),
+    ],
+)
+def test_articles_bound_the_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_main_text_of_a_huge_page():
     assert len(html_text.main_text("<article>" + PARAGRAPH * 20_000 + "</article>")) == 20_000 * (len(TEXT) + 2) - 2
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
