@@ -2,7 +2,8 @@
 
 A small tolerant parser makes a tree of the page.  Menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments, scripts, styles and the head are marked by element, role or name and take no
-part.  For every other node the density is its link-adjusted characters per tag:
+part, unless only a name or being a form speaks against an element that the article or most of the text lies in.
+For every other node the density is its link-adjusted characters per tag:
 
     density = C / T * log_b(C / L' * T / T'),   b = ln(C / N' * L + LC / C * N + e)
 
@@ -59,13 +60,15 @@ SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 #: Elements, roles and name parts that are not main text.
-DROPPED = frozenset("head script style noscript template nav footer aside form button input select textarea iframe object embed svg math canvas audio video dialog menu".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button input select textarea iframe object embed svg math canvas audio video dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr "
     "footer foot header masthead menu nav navbar navigation navi notice notices notification popup modal overlay promo promoted related recommended share sharing "
     "sidebar sidebars side social sponsor sponsored subscribe newsletter skip toolbar widget widgets reply replies".split()
 )
+#: Of these, the ones of things that hold long texts or articles of their own.
+OTHER_TEXTS = frozenset("comment comments commentlist disqus reply replies related recommended promoted sponsored cookie cookies consent gdpr notice notices".split())
 
 #: In a name, words that make the rest a description of what an element is not, and of a title's own header.
 UNTRUE = frozenset("has with without no not".split())
@@ -81,13 +84,14 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "sum", "named")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.named: frozenset[str] = frozenset()
 
 
 def _is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -101,16 +105,73 @@ def _is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.strip() in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(map(_is_dropped_name, value.split())):
-            return True
     return False
 
 
-def _is_dropped_name(name: str) -> bool:
+def _names(tag: str, attributes: str) -> frozenset[str]:
+    """What speaks against an element without deciding: listed words of its class and id, or being a form."""
+    out = {"form"} if tag == "form" else set()
+    if attributes.strip() and tag not in ("html", "body", "article", "main"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in ("class", "id"):
+                for name in (m[2] or m[3] or m[4] or "").lower().split():
+                    out |= _dropped_names(name)
+    return frozenset(out)
+
+
+def _dropped_names(name: str) -> frozenset[str]:
     words = _NAME.findall(name)
     if not UNTRUE.isdisjoint(words) or (words[-1:] == ["header"] and not TITLE_OF.isdisjoint(words)):
-        return False
-    return not DROPPED_NAMES.isdisjoint(words)
+        return frozenset()
+    return DROPPED_NAMES.intersection(words)
+
+
+def _drop_named(root: Node) -> None:
+    """Drop the elements with a listed name and the forms, but for those that the main text lies in.
+
+    That is one that holds the article or main of the most text outside links, or one of half as much, or, if there is
+    none elsewhere, over half of the page's text outside links.  One named for comments and the like must also hold an
+    h1 or main, or nine tenths of that text.  Where nothing would be left, fewer or none are dropped.
+    """
+    nodes = _in_order(root)
+    if not any(n.named for n in nodes):
+        return
+    linked, plain, titled = {id(root): False}, dict.fromkeys(map(id, nodes), 0), set()
+    for node in nodes[1:]:
+        linked[id(node)] = linked[id(node.parent)] or node.tag == "a"
+    for node in reversed(nodes):
+        if not linked[id(node)]:
+            plain[id(node)] += sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+            if node.tag in ("h1", "main") or id(node) in titled:
+                titled.add(id(node.parent))
+    total = plain[id(root)]
+    other, apart, articles = set(), set(), []
+    for node in nodes:
+        if not OTHER_TEXTS.isdisjoint(node.named) and id(node) not in titled and 10 * plain[id(node)] < 9 * total:
+            other.add(id(node))
+        if id(node) in other or id(node.parent) in apart:
+            apart.add(id(node))
+        elif node.tag in ("article", "main") and plain[id(node)]:
+            articles.append(node)
+    most = max((plain[id(n)] for n in articles), default=0)
+    holds = set()
+    for node in articles:
+        up = node if 2 * plain[id(node)] >= most else None
+        while up is not None and id(up) not in holds:
+            holds.add(id(up))
+            up = up.parent
+    gone = [n for n in nodes if n.named and (id(n) in other or not (id(n) in holds or (not articles and 2 * plain[id(n)] > total)))]
+    for some in (gone, [n for n in gone if id(n) in other]):
+        under = {id(n) for n in some}
+        for node in nodes[1:]:
+            if id(node.parent) in under:
+                under.add(id(node))
+        if sum(plain[id(n)] for n in some if id(n.parent) not in under) < total:  # never all there is
+            for node in some:
+                node.dropped = True
+            return
 
 
 def parse(page: str) -> Node:
@@ -152,6 +213,8 @@ def parse(page: str) -> Node:
         if tag in CLOSES_P or tag in SIBLINGS:
             now, articles = _imply(now, root, tag, articles)
         node = Node(tag, now, now.dropped or _is_dropped(tag, m[3], articles > 0))
+        if not node.dropped:
+            node.named = _names(tag, m[3])
         now.children.append(node)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
@@ -372,7 +435,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    node = core(parse(page))
+    root = parse(page)
+    _drop_named(root)
+    node = core(root)
     return "\n\n".join(blocks(node)) if node is not None else ""
 
 

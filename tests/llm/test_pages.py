@@ -118,6 +118,31 @@ def test_articles_bound_the_text(page, text):
     assert html_text.main_text(page) == text
 
 
+ARTICLE = f"<article><h1>T</h1>{PARAGRAPH * 3}</article>"
+
+
+@pytest.mark.parametrize("wrapper", ["div class=sidebar-left", "div class='layout side'", "div class=elementor-widget-container", "section id=share-page", "div class=related-layout", "div class='comments-open'", "form id=aspnetForm"])
+@pytest.mark.parametrize("inside", [ARTICLE, f"<main>{ARTICLE}</main>", f"<div><h1>T</h1>{PARAGRAPH * 3}</div>"])
+def test_names_and_forms_do_not_drop_the_article(wrapper, inside):
+    end = f"</{wrapper.split()[0]}>"
+    page = f"<nav><a href=x>Menu</a></nav><{wrapper}>{inside}<div class=sidebar><p>Side</p></div><form>Name <input></form>{end}{LINE}"
+    assert html_text.main_text(page) == f"T\n\n{THREE}"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=widget><article>{PARAGRAPH * 3}</article></div><div class=widget><article>{PARAGRAPH * 2}</article></div>", f"{THREE}\n\n{TEXT}\n\n{TEXT}"),
+        (f"<article>{PARAGRAPH}</article><div class=sidebar>{PARAGRAPH * 3}</div>", TEXT),
+        (f"<div><h1>T</h1>{PARAGRAPH * 2}</div><div id=comments><article>{PARAGRAPH}</article><article>{PARAGRAPH * 3}</article></div>", f"T\n\n{TEXT}\n\n{TEXT}"),
+        (f"<div class=side>{PARAGRAPH}</div><div class=side>{PARAGRAPH}</div>", f"{TEXT}\n\n{TEXT}"),
+        (f"<div class=widget>{PARAGRAPH * 3}</div><div id=comments><article>{PARAGRAPH}</article></div>", THREE),
+    ],
+)
+def test_names_still_drop_what_is_beside_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_main_text_of_a_huge_page():
     assert len(html_text.main_text("<article>" + PARAGRAPH * 20_000 + "</article>")) == 20_000 * (len(TEXT) + 2) - 2
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
