@@ -1,7 +1,8 @@
 """The engine's queries over the driver's tables, and SQL with the same results.
 
 The tables hold no page geometry, so queries on geometry read it off ``lineitem`` by a fixed rule: an order is a
-page, a line item a word or rect on it (``WORDS``).  Every query reads its whole tables.
+page, a line item a word or rect on it (``WORDS``).  Every query reads its whole tables, but
+for ``keyword_masking``, which has the rows that its SQL can express; ``keyword_masking_all`` has them all.
 """
 
 from __future__ import annotations
@@ -123,8 +124,18 @@ for _t in sorted(_TERMS, key=len, reverse=True):
 @query(f"SELECT doc_id, sha256({_REPLACED}) AS masked_sha256 FROM documents WHERE NOT regexp_matches(text, '[0-9@]')")
 def keyword_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User keywords masked, longest first, in texts where no other rule can match."""
-    plain = docs(spark, sf_dir).filter(~F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    return fold.mask(plain, fold.Options(keywords=",".join(_TERMS))).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"))
+    return _keywords_masked(docs(spark, sf_dir).filter(~F.col("text").rlike("[0-9@]")))
+
+
+@query()
+def keyword_masking_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User keywords masked, longest first, in all texts, beside the tokens of the other rules."""
+    return _keywords_masked(docs(spark, sf_dir))
+
+
+def _keywords_masked(texts: DataFrame) -> DataFrame:
+    out = fold.mask(texts.select("doc_id", "text"), fold.Options(keywords=",".join(_TERMS)))
+    return out.select("doc_id", F.sha2("masked", 256).alias("masked_sha256"))
 
 
 @query(
