@@ -2,7 +2,7 @@
 
 The tables hold no page geometry, so queries on geometry read it off ``lineitem`` by a fixed rule: an order is a
 page, a line item a word or rect on it (``WORDS``).  Every query reads its whole tables, but
-for ``keyword_masking``, which has the rows that its SQL can express; ``keyword_masking_all`` has them all.
+for some that have the rows that their SQL can express; a query of that name and ``_all`` has them all.
 """
 
 from __future__ import annotations
@@ -72,7 +72,13 @@ FLAGSHIP = flagship
 @query(f"WITH {_SQL_CARD}, {_SQL_EMAIL} SELECT tag, count(*) AS n FROM (SELECT 'CARD' AS tag FROM card UNION ALL SELECT 'EMAIL' FROM mail) GROUP BY tag")
 def pii_counts_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of card numbers and mail addresses, by the cascade."""
-    return fold.counts_by_tag(masked_documents(spark, sf_dir)).filter(F.col("tag").isin("CARD", "EMAIL"))
+    return pii_counts_by_tag_all(spark, sf_dir).filter(F.col("tag").isin("CARD", "EMAIL"))
+
+
+@query()
+def pii_counts_by_tag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every tag, by the cascade."""
+    return fold.counts_by_tag(masked_documents(spark, sf_dir))
 
 
 @query(f"WITH {_SQL_CARD} SELECT doc_id, s AS \"start\", e AS \"end\", tag, value FROM card")
@@ -96,8 +102,18 @@ def pii_email_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents WHERE regexp_matches(text, '@')"""
 )
 def masked_email_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with mail addresses replaced by their token, natively."""
-    found = native.detect(docs(spark, sf_dir).filter(F.col("text").contains("@")).select("doc_id", "text"), tags=("EMAIL",))
+    """Texts that contain an @, with mail addresses replaced by their token, natively."""
+    return _mail_masked(docs(spark, sf_dir).filter(F.col("text").contains("@")))
+
+
+@query()
+def masked_email_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts, with mail addresses replaced by their token, natively; a null text is the empty text."""
+    return _mail_masked(docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))))
+
+
+def _mail_masked(texts: DataFrame) -> DataFrame:
+    found = native.detect(texts.select("doc_id", "text"), tags=("EMAIL",))
     return found.select("doc_id", native.rendered(F.col("text"), F.col("hits"), lambda h: F.concat(F.lit("["), h["tag"], F.lit("]"))).alias("masked"))
 
 

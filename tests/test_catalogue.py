@@ -65,6 +65,24 @@ def test_keyword_masking_of_the_tables(spark):
     assert any(re.search("[0-9@]", r["text"]) for r in rows)
 
 
+MAIL = r"[A-Za-z0-9._%+-]+(?:\s+[A-Za-z0-9._%+-]+)?\s*@\s*[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)+"
+
+
+def test_masked_email_text_of_all_documents(spark, texts):
+    rows = {r.doc_id: r.masked for r in catalogue.QUERIES["masked_email_text_all"](spark, texts).collect()}
+    assert rows == {i: re.sub(MAIL, "[EMAIL]", t or "") for i, (t, _) in TEXTS.items()}
+    assert rows[1] == TEXTS[1][0] and rows[2] == "and: [EMAIL] is there"
+    tables = {r.doc_id: r["text"] for r in catalogue.docs(spark, TABLES).collect()}
+    got = {r.doc_id: r.masked for r in catalogue.QUERIES["masked_email_text_all"](spark, TABLES).collect()}
+    assert got == {i: re.sub(MAIL, "[EMAIL]", t or "") for i, t in tables.items()}
+
+
+def test_pii_counts_of_all_tags(spark, texts):
+    phone = [(8, "call 010-1234-5678 or 010-8765-4321", "en", "x")]
+    spark.createDataFrame(phone, "doc_id long, text string, lang string, source string").write.mode("append").parquet(f"{texts}/documents.parquet")
+    assert {r.tag: r.n for r in catalogue.QUERIES["pii_counts_by_tag_all"](spark, texts).collect()} == {"EMAIL": 2, "CARD": 1, "PHONE": 2}
+
+
 def test_flagship(spark):
     assert catalogue.flagship(spark, TABLES).count() > 0
 
