@@ -13,7 +13,8 @@ past the sketch index.  Verification: for each candidate pair the shingles thems
 Scale: the index holds a quarter of the items' shingles; it is broadcast only while its counted rows
 are at most ``BROADCAST_ROWS``, else joined by hash.  Only documents with a candidate are verified.
 
-Edge cases: null or empty items and documents match nothing.  Repeated items and rows are each judged
+Edge cases: null or empty items and documents match nothing.  An item of one to four words is found only
+as a document of exactly these words, never inside a longer one.  Repeated items and rows are each judged
 alike; rows without a doc_id or item_id are judged as well.  Columns are never taken from the input
 by a clashing name; ``clean`` returns its input's columns.
 """
