@@ -1,24 +1,25 @@
 """Substring dedup: long repeated word spans found by de Bruijn compaction.
 
-Edges are token k-mers (``K`` consecutive words of a document).  An edge that also starts in a document
-with a smaller doc_id is a repeat there, and the words it covers are removed; every window is judged on
-the input.  Handling each edge as a row would shuffle the corpus many times over, so edges travel as
-nonbranching path pieces:
+The graph: an edge is a k-mer of ``K + 1`` words, and joins two nodes, the windows of its first and its last ``K`` words.
+A window that also starts in a document with a smaller doc_id is a repeat there, and the words it covers are
+removed; every window is judged on the input.  Only the repeated part of the graph is ever made rows:
 
   copies    Of documents equal in their whole text only the first takes part; the others are repeats throughout.
-  pieces    A window's anchor is the smallest-hashing ``M``-word run in it.  Consecutive windows with one
-            anchor form a piece.  Equal windows have equal anchors, so only pieces whose anchor another
-            document has as well can hold a repeat; all others leave after one count by anchor.
-  compact   Pieces equal in all their words (96 bits of digests of the words at the source coordinates) are one
-            path; a grouped minimum gives its first document, and a join takes that back to every
-            occurrence.  In all later documents the whole path is a repeat.
-  branches  Where the graph branches, different paths share some of their edges; they then share the anchor with
-            ``SIDE`` words on one side of it.  Only paths that do, and only in each path's first document, have
-            their edges listed one by one, read again from the source coordinates, and compared by digest.
-
-Scale: every step is a shuffle of narrow rows by a hash key with map-side partial aggregation; hot
-anchors and paths are split by adaptive execution.  The texts are dealt by document, compressed, in one exchange
-which all steps that need them reuse; no step collects rows of a key but those of one document.
+  anchors   A window's anchor is the smallest-hashing ``M``-word run in it.  Equal windows have equal anchors, so only
+            windows whose anchor another document has as well can be repeated; all others leave after one count by anchor.
+  nodes     What is left is grouped to nodes.  A node keeps the place where it first starts, its source coordinate, and
+            whether more than one word goes before it or follows it, its in- and out-degree.
+  paths     A node is joined to the next one in its source if the edge between them branches on neither side.
+            So a path's nodes lie side by side in one document, and one running maximum over places finds the
+            path that each is in, as rounds of pointer doubling would.  It is known by its first node.
+  spans     Joined with the nodes, the windows of all later documents become spans of paths.
+  verify    A span's words are read at its own place and at its source coordinates, and their SHA-256 must agree.
+            Nodes are told apart by 64 bits of a hash; should a span ever fail, all is done again with 128 bits.
+
+Scale: every step is a shuffle of narrow rows by a hash key, with map-side partial aggregation or a join that
+adaptive execution may split where a node, anchor or source is hot; no step gathers more than what one document
+has.  The texts are dealt by document, compressed, in one exchange which all steps that need them reuse.  The result
+is written to the shared folder with the digests that the check compares.
 
 Edge cases: null and empty texts have no words; texts of fewer than ``K`` words lose none.  Rows without a
 doc_id come before and after nothing: they lose no words and remove none.  Rows of equal doc_id do
@@ -27,7 +28,7 @@ not remove from each other; repeated rows are treated alike.  ``dedup`` keeps th
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -35,51 +36,50 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from .shared import stash, table
 
-K, M = 13, 4
-#: A piece's first word and its number of windows (at most K) travel as one number; negative in marks: an open path.
-_COUNTS = 16
-#: Two paths that share a window have the anchor and this many words before it, or after it, in common.
-SIDE = (K - M + 1) // 2
+K, M = 13, 6
 _U = np.uint64
-_PLACE = _U((1 << 26) - 1)
+_ID = "_id long, _k long"
 
 
 @dataclass
 class Pieces:
-    """Runs of ``count`` windows from word ``start`` on that share the anchor, which begins at word ``place``; words
-    are numbered over a chunk of texts."""
+    """Runs of ``count`` windows from word ``start`` on that share an anchor; words are numbered over a chunk of texts."""
 
     start: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
-    place: np.ndarray
 
 
 def pieces(w: tokens.Words) -> Pieces:
-    n = len(w.hash)
-    left = w.first[1:][w.text_of()] - np.arange(n)
+    left = w.first[1:][w.text_of()] - np.arange(len(w.start))
     windows = np.flatnonzero(left >= K)
     if not len(windows):
-        return Pieces(windows, windows, np.zeros(0, _U), windows)
+        return Pieces(windows, windows, np.zeros(0, _U))
     grams = w.runs(M)
-    # the smallest hash wins, then the leftmost place; the place is kept in the low bits
-    least = (grams & ~_PLACE) | np.arange(len(grams), dtype=_U)
-    width, span = K - M + 1, 1
+    # the smallest hash wins, then the leftmost place
+    least, place, width, span = grams, np.arange(len(grams)), K - M + 1, 1
+
+    def smaller(by: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(least) - by
+        later = least[by:] < least[:n]
+        return np.where(later, least[by:], least[:n]), np.where(later, place[by:], place[:n])
+
     while 2 * span <= width:
-        least = np.minimum(least[: len(least) - span], least[span:])
+        least, place = smaller(span)
         span *= 2
-    least = np.minimum(least[: len(grams) - width + 1], least[width - span : width - span + len(grams) - width + 1])
-    place = (least[windows] & _PLACE).astype(np.int64)
+    if span < width:
+        least, place = smaller(width - span)
+    place = place[windows]
     new = np.ones(len(windows), bool)
     new[1:] = (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)
     at = np.flatnonzero(new)
-    return Pieces(windows[at], np.diff(np.append(at, len(windows))), grams[place[at]], place[at])
+    return Pieces(windows[at], np.diff(np.append(at, len(windows))), grams[place[at]])
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -88,7 +88,7 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_id, _h, text) to (_id, _h, z): texts travel compressed, which the block codec does less well."""
-    codec = pa.Codec("zstd", 1)
+    codec = pa.Codec("zstd", 3)
     for batch in batches:
         z = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["_id", "_h", "z"])
@@ -97,7 +97,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batch: pa.RecordBatch, limit: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Stretches of the texts packed in column z, as ``tokens.chunks`` gives them; rows without one are empty."""
     codec, lo, held, size, limit = pa.Codec("zstd"), 0, [], 0, limit or tokens.CHUNK_BYTES
-    packed = batch.column(2)
+    packed = batch.column("z")
     for row in range(batch.num_rows + 1):
         if held and (row == batch.num_rows or size > limit):
             at = np.concatenate([[0], np.cumsum([len(t) for t in held])])
@@ -110,28 +110,21 @@ def _texts(batch: pa.RecordBatch, limit: int = 0) -> Iterator[tuple[int, int, np
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, z, copy) to (a, _id, _h): the distinct anchors (48 bits) of every row that has an id and is no copy."""
+    """(_id, _k, z, copy) to (a, _id, _k): the distinct anchors (48 bits) of every row that has an id and is no copy."""
     for batch in batches:
-        batch = batch.filter(pc.and_(batch.column(0).is_valid(), pc.is_null(batch.column(3))))
+        batch = batch.filter(pc.and_(batch.column("_id").is_valid(), pc.is_null(batch.column("copy"))))
         for lo, _, data, at in _texts(batch):
             w = tokens.words(data, at)
             p = pieces(w)
             doc, anchor = tokens.distinct_by_text(w.text_of()[p.start], p.anchor >> _U(16))
             rows = pa.array(lo + doc)
-            yield pa.RecordBatch.from_arrays([_signed(anchor), batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "_id", "_h"])
+            yield pa.RecordBatch.from_arrays([_signed(anchor), batch.column("_id").take(rows), batch.column("_k").take(rows)], ["a", "_id", "_k"])
 
 
 def _keys(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return tokens.mix(anchor.astype(_U) ^ tokens.mix(doc.astype(_U), 6))
 
 
-def _digests(w: tokens.Words, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """96 bits over the words from start to end, wherever they lie."""
-    one = tokens.ranges(tokens.prefix(w.hash, tokens.WORD_BASE), start, end, tokens.WORD_BASE)
-    two = tokens.ranges(tokens.prefix(tokens.mix(w.hash, 2), tokens.SPAN_BASE), start, end, tokens.SPAN_BASE)
-    return _signed(tokens.mix(one, 1)), pa.array((tokens.mix(two, 3) >> _U(32)).astype(np.uint32).view(np.int32))
-
-
 def _lists(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, pa.Array]:
     """Row numbers (from 0) and values of the lists in rows lo to hi."""
     part = column.slice(lo, hi - lo)
@@ -139,162 +132,201 @@ def _lists(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(hi - lo), sizes), part.flatten()
 
 
-def _sides(w: tokens.Words, p: Pieces, i: np.ndarray) -> list[pa.Array]:
-    """48 bits over each piece's anchor with ``SIDE`` words before it, and with as many after it; null where the
-    piece does not reach so far."""
-    out = []
-    sums = tokens.prefix(w.hash, tokens.WORD_BASE)
-    for seed, before, after in ((4, SIDE, M), (5, 0, M + SIDE)):
-        start, end = p.place[i] - before, p.place[i] + after
-        inside = (start >= p.start[i]) & (end <= p.start[i] + p.count[i] + K - 1)
-        h = tokens.mix(tokens.ranges(sums, np.where(inside, start, 0), np.where(inside, end, 0), tokens.WORD_BASE), seed) >> _U(16)
-        out.append(pa.array(h.view(np.int64), mask=~inside))
-    return out
+def _node_keys(w: tokens.Words, start: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the window at each word: 64 bits, and as many again if ``wide``."""
+    first = w.runs(K)[start]
+    return first, w.runs(K, second=True)[start] if wide else np.zeros(len(start), _U)
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, z, anchors) to (d1, d2, left, right, _id, _h, at): the pieces with the listed anchors, with the
-    digests of their words and of their sides; at: first word and number of windows."""
-    for batch in batches:
-        for lo, hi, data, at in _texts(batch):
-            doc, listed = _lists(batch.column(3), lo, hi)
-            if not len(doc):
-                continue
-            w = tokens.words(data, at)
-            p = pieces(w)
-            own = w.text_of()[p.start]
-            i = np.flatnonzero(np.isin(_keys(own, p.anchor >> _U(16)), _keys(doc, listed.to_numpy())))
-            start, count, doc = p.start[i], p.count[i], own[i]
-            rows, place = pa.array(lo + doc), start - w.first[doc]
-            columns = [*_digests(w, start, start + count + K - 1), *_sides(w, p, i)]
-            columns += [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place * _COUNTS + count).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "left", "right", "_id", "_h", "at"])
+def _beside_words(w: tokens.Words, start: np.ndarray) -> np.ndarray:
+    """15 bits of the word before each window, and of the word behind it; none where the text begins or ends."""
+    text = w.text_of()[start]
+    word = (tokens.mix(w.hash, 3) & _U(0x7FFF)).astype(np.int32)
+    before, behind = np.maximum(start - 1, 0), np.minimum(start + K, len(word) - 1)
+    before = np.where(start > w.first[text], word[before], 0)
+    return before << 16 | np.where(start + K < w.first[text + 1], word[behind], 0)
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, z, marks) to (w1, w2, _id, _h, p): each window of the open pieces, with digests."""
-    for batch in batches:
-        for lo, hi, data, at in _texts(batch):
-            doc, listed = _lists(batch.column(3), lo, hi)
-            listed = listed.to_numpy().astype(np.int64) if len(doc) else np.zeros(0, np.int64)
-            if not (listed < 0).any():
-                continue
-            w = tokens.words(data, at)
-            doc, (first, count) = doc[listed < 0], divmod(-listed[listed < 0], _COUNTS)
-            place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-            doc = np.repeat(doc, count)
-            start = w.first[doc] + place
-            rows = pa.array(lo + doc)
-            columns = [*_digests(w, start, start + K), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "_id", "_h", "p"])
+def _windows(wide: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(_id, _k, z, anchors) to (e, f, _id, _k, p, b): the windows with the listed anchors, their key, place and the
+        words beside them."""
+        for batch in batches:
+            for lo, hi, data, at in _texts(batch):
+                doc, listed = _lists(batch.column("anchors"), lo, hi)
+                if not len(doc):
+                    continue
+                w = tokens.words(data, at)
+                p = pieces(w)
+                own = w.text_of()[p.start]
+                i = np.flatnonzero(np.isin(_keys(own, p.anchor >> _U(16)), _keys(doc, listed.to_numpy())))
+                count = p.count[i]
+                start = np.repeat(p.start[i] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                doc = np.repeat(own[i], count)
+                e, f = _node_keys(w, start, wide)
+                rows = pa.array(lo + doc)
+                columns = [_signed(e), _signed(f), batch.column("_id").take(rows), batch.column("_k").take(rows)]
+                columns += [pa.array((start - w.first[doc]).astype(np.int32)), pa.array(_beside_words(w, start))]
+                yield pa.RecordBatch.from_arrays(columns, ["e", "f", "_id", "_k", "p", "b"])
+
+    return run
+
 
+def _places(column: pa.Array, lo: int, hi: int, *fields: str) -> tuple[np.ndarray, ...]:
+    """Row numbers, and the fields of the structs listed in rows lo to hi."""
+    doc, found = _lists(column, lo, hi)
+    return doc, *(found.field(f).to_numpy(zero_copy_only=False).astype(np.int64) if len(doc) else np.zeros(0, np.int64) for f in fields)
 
-def _cover(step: np.ndarray, w: tokens.Words, doc: np.ndarray, place: np.ndarray, length: np.ndarray | int) -> None:
-    """Mark where runs of covered words begin and end, within their text."""
-    end = w.first[doc + 1]
-    np.add.at(step, np.minimum(w.first[doc] + place, end), 1)
-    np.add.at(step, np.minimum(w.first[doc] + place + length, end), -1)
+
+def _per_row(doc: np.ndarray, rows: int, values: pa.StructArray) -> pa.ListArray:
+    """Structs that belong to rows (in order) as one list per row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(rows + 1)).astype(np.int32)), values)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, z, marks, places, copy, ...) to (..., n_words, n_removed, kept, text_crc32)."""
+    """(_id, _h, z, copy, spans, sources) to (..., n_words, n_removed, kept, spans, sources): spans and sources with the digests
+    of their words."""
     for batch in batches:
         for lo, hi, data, at in _texts(batch, 1 << 20):
             w = tokens.words(data, at)
             n = w.counts
-            step = np.zeros(len(w.hash) + 1, np.int64)
-            doc, marks = _lists(batch.column(3), lo, hi)
-            if len(doc):
-                marks = marks.to_numpy().astype(np.int64)
-                first, count = divmod(marks[marks > 0], _COUNTS)
-                _cover(step, w, doc[marks > 0], first, count + (K - 1))
-            doc, places = _lists(batch.column(4), lo, hi)
-            if len(doc):
-                _cover(step, w, doc, places.to_numpy(), K)
-            copy = batch.column(5).slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False) & (n >= K)
+            doc, p, count = _places(batch.column("spans"), lo, hi, "p", "n")
+            src, q, m = _places(batch.column("sources"), lo, hi, "q", "n")
+            step = np.zeros(len(w.start) + 1, np.int64)
+            np.add.at(step, w.first[doc] + p, 1)
+            np.add.at(step, w.first[doc] + p + count + K - 1, -1)
+            copy = batch.column("copy").slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False) & (n >= K)
             keep = (np.cumsum(step[:-1]) == 0) & ~np.repeat(copy, n)
             sums = np.concatenate([[0], np.cumsum(~keep)])
             gone = sums[w.first[1:]] - sums[w.first[:-1]]
-            raw, texts = data.tobytes(), []
-            for i, b, e in zip(range(hi - lo), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            raw, texts, seen = data.tobytes(), [], [[], []]
+            ends = [np.searchsorted(d, np.arange(hi - lo + 1)).tolist() for d in (doc, src)]
+            for i, (b, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 own = raw[b:e].split()
                 texts.append(b" ".join(compress(own, keep[w.first[i] : w.first[i + 1]].tolist()) if gone[i] else own))
-            rest = batch.slice(lo, hi - lo).columns[6:]
-            kept = pa.array(texts, pa.binary()).cast(pa.string())
-            crc = pa.array([zlib.crc32(raw[b:e]) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(gone), kept, crc], [*batch.schema.names[6:], "n_words", "n_removed", "kept", "text_crc32"])
+                for digests, end, start, size in ((seen[0], ends[0], p, count), (seen[1], ends[1], q, m)):
+                    for s, k in zip(start[end[i] : end[i + 1]].tolist(), size[end[i] : end[i + 1]].tolist(), strict=True):
+                        digests.append(hashlib.sha256(b" ".join(own[s : s + k + K - 1])).digest())
+            listed = _lists(batch.column("spans"), lo, hi)[1]
+            whole = [listed.field(f) if len(doc) else pa.array([], pa.int64()) for f in ("d", "dk", "q", "n")]
+            spans = pa.StructArray.from_arrays([*whole, pa.array(seen[0], pa.binary())], ["d", "dk", "q", "n", "sha"])
+            listed = _lists(batch.column("sources"), lo, hi)[1]
+            whole = [listed.field(f) if len(src) else pa.array([], pa.int64()) for f in ("q", "n")]
+            sources = pa.StructArray.from_arrays([*whole, pa.array(seen[1], pa.binary())], ["q", "n", "sha"])
+            columns = [batch.column("_id").slice(lo, hi - lo), batch.column("_h").slice(lo, hi - lo), pa.array(n), pa.array(gone)]
+            columns += [pa.array(texts, pa.binary()).cast(pa.string()), _per_row(doc, hi - lo, spans), _per_row(src, hi - lo, sources)]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_h", "n_words", "n_removed", "kept", "spans", "sources"])
+
+
+_CUT = (
+    "_id long, _h long, n_words long, n_removed long, kept string, "
+    "spans array<struct<d:long,dk:long,q:long,n:long,sha:binary>>, sources array<struct<q:long,n:long,sha:binary>>"
+)
 
 
 def _beside(packed: DataFrame, lists: DataFrame, *names: str) -> DataFrame:
-    """Every packed text with what ``lists`` (_id, _h, names) has for it, if anything.  Always a left join on
-    the same columns, so that the exchange of the texts is planned once and reused."""
-    lists = lists.select(F.col("_id").alias("_lid"), F.col("_h").alias("_lh"), *names)
-    return packed.join(lists, (F.col("_id") == F.col("_lid")) & (F.col("_h") == F.col("_lh")), "left").drop("_lid", "_lh")
+    """Every packed text with what ``lists`` (_id, _k, names) has for it, if anything.  Always a left join on
+    the same column, so that the exchange of the texts is planned once and reused."""
+    lists = lists.select(F.col("_id").alias("_lid"), F.col("_k").alias("_lk"), *names)
+    mine = (F.col("_id") == F.col("_lid")) & ((F.col("_lk") == 0) | (F.col("_lk") == F.col("_h")))
+    return packed.join(lists, mine, "left").drop("_lid")
 
 
-def _again(*columns: str) -> list:
+def _again(*columns: str) -> list[Column]:
     """Columns under new names, as expressions: a join on them deals this side in an exchange of its own, which
     adaptive execution may split where a key is hot."""
     return [F.col(c).bitwiseXOR(F.lit(0)).alias("_" + c) for c in columns]
 
 
-def _text_bits(text: str) -> Column:
-    """16 bits of a text's hash: they tell texts of one doc_id apart, which no other row needs."""
-    return F.hash(F.col(text)).bitwiseAND(F.lit(0x7FFF)).cast("short")
-
-
-def removals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The packed texts (_id, _h, z), and beside them (marks, places, copy), which say what each loses."""
-    source = docs.select(F.col(doc_id).cast("long").alias("_id"), _text_bits(text).alias("_h"), F.col(text).alias("text"))
-    packed = source.mapInArrow(_pack, "_id long, _h short, z binary")
-    equal = source.filter("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_h", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2"))
-    firsts = equal.groupBy("x1", "x2").agg(F.min("_id").alias("least"), F.max("_id").alias("last")).filter("least < last")
-    copies = equal.join(firsts.select(*_again("x1", "x2"), "least"), (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2")))
-    copies = copies.filter("_id > least").groupBy("_id", "_h").agg(F.lit(True).alias("copy"))
-
-    originals = _beside(packed, copies, "copy")
-    anchors = originals.mapInArrow(_anchors, "a long not null, _id long, _h short")
-    shared = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("a"))
-    hits = anchors.join(shared, F.col("a") == F.col("_a"), "left_semi").groupBy("_id", "_h").agg(F.collect_list("a").alias("anchors"))
-    found = _beside(packed, hits, "anchors").mapInArrow(
-        _paths, "d1 long not null, d2 int not null, left long, right long, _id long, _h short, at int"
+def graph(windows: DataFrame) -> DataFrame:
+    """The repeated nodes (e, f, d, dk, q, head): their keys, where each first starts, and the place of the first node of its path."""
+    several = lambda mask: F.col("any").bitwiseAND(F.lit(mask)) != F.col("all").bitwiseAND(F.lit(mask))
+    nodes = windows.groupBy("e", "f").agg(F.min(F.struct("_id", "_k", "p")).alias("s"), F.count(F.lit(1)).alias("n"), F.bit_or("b").alias("any"), F.bit_and("b").alias("all"))
+    nodes = nodes.filter("n > 1").select(
+        "e", "f", F.col("s._id").alias("d"), F.col("s._k").alias("dk"), F.col("s.p").alias("q"), several(0x7FFF0000).alias("several_in"), several(0x7FFF).alias("several_out")
     )
-    # both uses of ``paths`` take all its columns, so that its exchange is reused
-    paths = found.groupBy("d1", "d2").agg(F.min("_id").alias("least"), F.min("left").alias("left"), F.min("right").alias("right"))
-    sides = paths.select("d1", F.explode(F.array("left", "right")).alias("side"), "least").filter("side IS NOT NULL AND least IS NOT NULL")
-    several = sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("side"))
-    branches = sides.join(several, F.col("side") == F.col("_side"), "left_semi").select(F.col("d1").alias("b1")).distinct()
-    paths = paths.filter("coalesce(left, right, 0) >= 0").join(branches, F.col("d1") == F.col("b1"), "left")
-    paths = paths.select(*_again("d1", "d2"), "least", F.col("b1").isNotNull().alias("branch"))
-    placed = found.join(paths, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).filter("_id > least OR branch")
-    marks = placed.groupBy("_id", "_h").agg(F.collect_list(F.when(F.col("_id") > F.col("least"), F.col("at")).otherwise(-F.col("at"))).alias("marks"))
-
-    edges = _beside(packed, marks, "marks").mapInArrow(_edges, "w1 long not null, w2 int not null, _id long, _h short, p int")
-    least = edges.groupBy("w1", "w2").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("w1", "w2"), "least")
-    places = edges.join(least, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))).filter("_id > least")
-    places = places.groupBy("_id", "_h").agg(F.collect_list("p").alias("places"))
-    told = marks.join(places.withColumnsRenamed({"_id": "_pi", "_h": "_ph"}), (F.col("_id") == F.col("_pi")) & (F.col("_h") == F.col("_ph")), "left").drop("_pi", "_ph")
-    return _beside(_beside(packed, told, "marks", "places"), copies, "copy")
+    source = Window.partitionBy("d", "dk").orderBy("q")
+    joined = (F.lag("q").over(source) == F.col("q") - 1) & ~F.lag("several_out").over(source) & ~F.col("several_in")
+    nodes = nodes.withColumn("first", F.when(F.coalesce(joined, F.lit(False)), F.lit(None)).otherwise(F.col("q")))
+    return nodes.select("e", "f", "d", "dk", "q", F.max("first").over(source.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
+
+
+def spans(windows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(_id, _k, p, n, d, dk, q): runs of n windows of a document from word p on that are a path's nodes from its source's word q on."""
+    sources = nodes.select(*_again("e", "f"), "d", "dk", "q", "head")
+    rows = windows.select("e", "f", "_id", "_k", "p").join(sources, (F.col("e") == F.col("_e")) & (F.col("f") == F.col("_f")))
+    rows = rows.filter("_id > d").select("_id", "_k", "p", "d", "dk", "q", "head")
+    order = Window.partitionBy("_id", "_k").orderBy("p")
+    goes_on = (F.lag("p").over(order) == F.col("p") - 1) & (F.lag("q").over(order) == F.col("q") - 1)
+    for c in ("d", "dk", "head"):
+        goes_on &= F.lag(c).over(order) == F.col(c)
+    rows = rows.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.groupBy("_id", "_k", "run").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"), F.min("d").alias("d"), F.min("dk").alias("dk"), F.min("q").alias("q"))
+    return out.select("_id", "_k", F.col("p").cast("long").alias("p"), "n", "d", "dk", F.col("q").cast("long").alias("q"))
+
+
+def _removals(docs: DataFrame, doc_id: str, text: str, wide: bool) -> DataFrame:
+    """(_id, _h, n_words, n_removed, kept, spans, sources) for every row, not yet verified."""
+    source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_h"), F.col(text).alias("text"))
+    packed = source.mapInArrow(_pack, "_id long, _h long, z binary")
+    # _k tells the texts of one doc_id apart: 0 where it has one only
+    equal = source.filter("_id IS NOT NULL AND text IS NOT NULL").select("_id", "_h", F.unhex(F.sha2("text", 256)).alias("sha"))
+    firsts = equal.groupBy("sha").agg(F.min("_id").alias("least"), F.max("_id").alias("last")).filter("least < last")
+    copies = equal.join(firsts.select(F.concat("sha", F.lit(b"")).alias("_sha"), "least"), F.col("sha") == F.col("_sha"))
+    copies = copies.filter("_id > least").groupBy("_id", F.col("_h").alias("_k")).agg(F.lit(True).alias("copy"))
+    several = equal.groupBy("_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).filter("lo < hi")
+    several = several.select("_id", F.lit(0).cast("long").alias("_k"), F.lit(True).alias("several"))
+    marked = _beside(_beside(packed, copies, "copy").drop("_lk"), several, "several").drop("_lk")
+    own_key = F.when(F.col("several"), F.col("_h")).otherwise(F.lit(0)).alias("_k")
+
+    # what the rows without a list have no part in is left to the workers: a filter would part the exchange of the texts
+    anchors = marked.select("_id", own_key, "z", "copy").mapInArrow(_anchors, f"a long not null, {_ID}")
+    shared = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_again("a"))
+    hits = anchors.join(shared, F.col("a") == F.col("_a"), "left_semi").groupBy("_id", "_k").agg(F.collect_list("a").alias("anchors"))
+    listed = _beside(packed, hits, "anchors").select("_id", F.col("_lk").alias("_k"), "z", "anchors")
+    windows = listed.mapInArrow(_windows(wide), f"e long not null, f long not null, {_ID}, p int, b int")
+    found = spans(windows, graph(windows))
+    told = found.select("_id", "_k", F.struct("p", "n", "d", "dk", "q").alias("span"), F.lit(None).cast("struct<q:long,n:long>").alias("source"))
+    wanted = found.select("d", "dk", "q", "n").distinct()
+    told = told.unionByName(wanted.select(F.col("d").alias("_id"), F.col("dk").alias("_k"), F.lit(None).cast(told.schema["span"].dataType).alias("span"), F.struct("q", "n").alias("source")))
+    told = told.groupBy("_id", "_k").agg(F.collect_list("span").alias("spans"), F.collect_list("source").alias("sources"))
+    rows = _beside(_beside(packed, told, "spans", "sources").drop("_lk"), copies, "copy").drop("_lk")
+    return rows.mapInArrow(_cut, _CUT)
+
+
+def unverified(cut: DataFrame) -> DataFrame:
+    """The spans whose words are not those at their source coordinates."""
+    mine = cut.select("_id", F.inline("spans")).distinct()
+    theirs = cut.select(F.col("_id").alias("sd"), F.col("_h").alias("sh"), F.inline("sources")).select("sd", "sh", F.col("q").alias("sq"), F.col("n").alias("sn"), F.col("sha").alias("source_sha"))
+    same = (F.col("d") == F.col("sd")) & ((F.col("dk") == 0) | (F.col("dk") == F.col("sh"))) & (F.col("q") == F.col("sq")) & (F.col("n") == F.col("sn"))
+    return mine.join(theirs, same, "left").filter(~F.col("sha").eqNullSafe(F.col("source_sha")))
+
+
+def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kept: Column | None = None) -> DataFrame:
+    """(_id, _h, n_words, n_removed, kept) for every row; _h: the text's hash; kept: what to keep of the kept text."""
+    for wide in (False, True):
+        rows = _removals(docs, doc_id, text, wide)
+        cut = stash(rows if kept is None else rows.withColumn("kept", kept), "cut")
+        if unverified(cut).isEmpty():
+            return cut.drop("spans", "sources")
+    raise RuntimeError("two different windows have the same 128-bit hash")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows with ``n_words``, ``n_removed`` and ``kept`` (the kept words joined by one space), which
-    replace columns of those names.  Columns besides id and text are joined back by id and checksum."""
-    rows = removals(docs, doc_id, text)
-    added = "n_words long, n_removed long, kept string"
-    others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    rows = rows.withColumn("__hf_cid", F.col("_id"))
-    cut = rows.mapInArrow(_cut, f"__hf_cid long, {added}, text_crc32 long").withColumnRenamed("text_crc32", "__hf_crc").dropDuplicates(["__hf_cid", "__hf_crc"])
-    cut = stash(cut, "cut")
-    keyed = docs.select(*others, F.coalesce(F.crc32(F.col(text)), F.lit(0)).alias("__hf_c"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__hf_cid")) & (F.col("__hf_c") == F.col("__hf_crc"))
-    return keyed.join(cut, same).select(*others, "n_words", "n_removed", "kept")
+    replace columns of those names.  Columns besides id and text are joined back by id and text."""
+    added = ["n_words", "n_removed", "kept"]
+    cut = removals(docs, doc_id, text).dropDuplicates(["_id", "_h"]).withColumnsRenamed({"_id": "__hf_cid", "_h": "__hf_ch"})
+    others = [c for c in docs.columns if c not in added]
+    keyed = docs.select(*others, F.xxhash64(F.col(text)).alias("__hf_h"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__hf_cid")) & (F.col("__hf_h") == F.col("__hf_ch"))
+    return keyed.join(cut, same).select(*others, *added)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = removals(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("doc_id", F.col("_id"))
-    out = rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, text_crc32 long")
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = removals(table(spark, sf_dir, "documents"), kept=F.sha2("kept", 256))
+    return cut.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 _SQL = r"""

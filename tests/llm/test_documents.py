@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from hushframe.llm import containment, lines, near_dup, pieces, quality, shards, substring
@@ -149,6 +150,50 @@ def test_substring_dedup_edges(spark):
     assert substring.dedup(frame(spark, []).limit(0)).count() == 0
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_words_that_fool_polynomials_stay_apart(spark):
+    a, b = thue_morse(10)
+    rest = " ".join(f"w{i}" for i in range(12))
+    got = {x.doc_id: x.n_removed for x in substring.dedup(frame(spark, [(0, f"{a} {rest}"), (1, f"{b} {rest}")])).collect()}
+    assert got == {0: 0, 1: 0}
+    rows = [(0, f"{a} w0 w1 w2 w3"), (1, f"{b} w0 w1 w2 w3")]
+    assert {x.component_id for x in near_dup.near_duplicates(frame(spark, rows)).collect()} == {0, 1}
+    # words in the same order of two kinds
+    rows = [(0, " ".join(a)), (1, " ".join(b)), (2, " ".join(b)[2:])]
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in substring.dedup(frame(spark, rows)).collect()), key=str) == brute_substring(rows)
+
+
+def test_many_texts_of_one_id(spark):
+    r = random.Random(3)
+    say = lambda n: " ".join(str(r.randrange(10**6)) for _ in range(n))
+    passage = say(20)
+    rows = [(0, passage), *((5, say(3) + " " + passage) for _ in range(3)), *((5, say(20)) for _ in range(300)), (6, say(30) + " " + passage)]
+    got = substring.dedup(frame(spark, rows)).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got), key=str) == brute_substring(rows)
+
+
+def test_spans_that_only_hashes_hold_equal_are_found_out(spark, monkeypatch):
+    """With 8 bits for a window, nearly all spans are wrong; the check sees it, and the wide key puts it right."""
+    rows = corpus(4)
+    docs = frame(spark, rows)
+    plain = substring._node_keys
+
+    def narrow(w, start, wide):
+        first, second = plain(w, start, wide)
+        return (first, second) if wide else (first & np.uint64(255), second)
+
+    monkeypatch.setattr(substring, "_node_keys", narrow)
+    assert not substring.unverified(substring._removals(docs, "doc_id", "text", False)).isEmpty()
+    got = substring.dedup(docs).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got), key=str) == brute_substring(rows)
+
+
 # --- near duplicates ---
 
 def shingles(text):
@@ -197,8 +242,6 @@ def test_near_duplicates_edges(spark):
 
 
 def test_hyperminhash_estimate_is_close():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.8, 0.95):
         a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
