@@ -1,7 +1,7 @@
 """Near-duplicate documents by HyperMinHash, with every link confirmed on the full shingle sets.
 
 A document is the set of its distinct five-word shingles (A-Z lower-cased; fewer words: the whole
-sequence).  Documents with equal sets form a class, handled once.  Two classes are linked when
+sequence).  Documents with the same sequence of words (by 128 bits of BLAKE2) form a class, handled once.  Two classes are linked when
 100 * |intersection| >= 75 * |union|; components follow the links.
 
 Sketch: ``REGISTERS`` buckets, each with a hash function of its own over all shingles (so that no
@@ -13,12 +13,15 @@ Candidates, without all pairs of a bucket:
   1. every member of a bucket against the bucket's leader;
   2. in buckets that still hold several components, every member outside the leader's component
      against a leader that each band draws anew;
-  3. in buckets that are still mixed, the members outside the largest component against all members of other
-     components, in blocks of ``BLOCK`` rows that are compared where they lie; a pair is not a row, only a
-     link is.  Pairs of one component need no more proof.
+  3. the members of buckets that are still mixed by prefixes of their sets: in one order of all shingles, rarest first, the
+     smallest shingle that a linked pair shares is among the first n - 6n/7 + 1 of the smaller set and the
+     first n - 3n/4 + 1 of the larger.  Pairs that share one, are of different components and not both in the
+     largest component of their bucket have their sketches compared; the texts are fetched for what passes.  Documents of one template
+     have their own shingles first, so they do not meet.
 A candidate is dropped if its collision-corrected Jaccard estimate is ``MARGIN`` (five standard deviations)
-below the threshold; all others are verified on the full sets of their texts.  So nothing is capped: a hot
-bucket costs its size times the number of leaders, and its unsettled members times its size in array work.
+below the threshold; all others are verified on the full sets of their texts, where shingles are compared by their words.
+So nothing is capped: a hot bucket costs its size times the number of leaders, and its unsettled members the
+shingles they have.
 
 Scale: the sketch (400 bytes) and 40 band keys per class are shuffled; the texts only of classes that
 share a band with another.  All intermediates lie in the shared folder.
@@ -30,11 +33,12 @@ a doc_id never name a component unless it has no other (then null, and kept).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -45,7 +49,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 MARGIN = 0.16
-BLOCK = 500
+#: Bytes of texts that are compared at a time, besides one pair of any size.
+PAIR_BYTES = 4 << 20
 _U = np.uint64
 _draw = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _draw.integers(0, 2**63, REGISTERS, dtype=_U) * _U(2) + _draw.integers(0, 2, REGISTERS, dtype=_U)
@@ -81,11 +86,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls, sig = [None] * (hi - lo), [None] * (hi - lo)
             if len(h):
                 present = np.flatnonzero(n)
-                starts = np.searchsorted(text, present)
-                regs = registers(h, starts)
-                one, two = np.add.reduceat(tokens.mix(h, 1), starts), np.add.reduceat(tokens.mix(h, 2), starts)
-                for i, r, x, y in zip(present.tolist(), regs, one.tolist(), two.tolist(), strict=True):
-                    cls[i], sig[i] = f"{x:016x}{y:016x}", r.tobytes()
+                regs, raw = registers(h, np.searchsorted(text, present)), data.tobytes()
+                for i, r in zip(present.tolist(), regs, strict=True):
+                    words = b" ".join(raw[at[i] : at[i + 1]].lower().split())
+                    cls[i], sig[i] = hashlib.blake2b(words, digest_size=16).hexdigest(), r.tobytes()
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(sig, pa.binary())],
@@ -99,26 +103,47 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return source.mapInArrow(_sketch, "_id long, _h long, n long, cls string, sig binary")
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ka, kb, n_a, sig_a, n_b, sig_b) to the (ka, kb) that may be linked by size and estimate."""
+    for batch in batches:
+        if batch.num_rows:
+            out = pa.array(_may_link(*batch.columns[2:]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(out), batch.column(1).take(out)], ["ka", "kb"])
+
+
+def _may_link(n_a: pa.Array, sig_a: pa.Array, n_b: pa.Array, sig_b: pa.Array) -> np.ndarray:
+    n, m = n_a.to_numpy(), n_b.to_numpy()
+    a, b = (np.frombuffer(b"".join(sig.to_pylist()), np.uint16).reshape(-1, REGISTERS) for sig in (sig_a, sig_b))
+    return np.flatnonzero((estimate(a, b, n, m) >= PERCENT / 100 - MARGIN) & (np.minimum(n, m) * 100 >= PERCENT * np.maximum(n, m)))
+
+
+def linked(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The rows whose texts in both columns have sets that are alike enough; shingles are compared by their words."""
+    _, from_a = tokens.binary(a)
+    _, from_b = tokens.binary(b)
+    size, out, lo = from_a + from_b - from_a[0] - from_b[0], [np.zeros(0, np.int64)], 0
+    while lo < len(a):
+        rows = max(int(np.searchsorted(size, size[lo] + PAIR_BYTES, side="right")) - 1 - lo, 1)
+        some = pa.concat_arrays([a.slice(lo, rows), b.slice(lo, rows)])
+        text, shingle = tokens.exact_shingles(tokens.words(*tokens.binary(some), lower=True), SHINGLE)
+        n, pair = np.bincount(text, minlength=2 * rows), text % rows
+        order = np.lexsort((shingle, pair))
+        pair, shingle = pair[order], shingle[order]
+        both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (shingle[1:] == shingle[:-1])], minlength=rows)
+        union = n[:rows] + n[rows:] - both
+        out.append(lo + np.flatnonzero((union > 0) & (both * 100 >= PERCENT * union)))
+        lo += rows
+    return np.concatenate(out)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cls_a, n_a, sig_a, text_a, cls_b, n_b, sig_b, text_b) to the linked (u, v)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        n, m = (batch.column(i).to_numpy() for i in (1, 5))
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 6))
-        likely = (estimate(a, b, n, m) >= PERCENT / 100 - MARGIN) & (np.minimum(n, m) * 100 >= PERCENT * np.maximum(n, m))
-        likely = np.flatnonzero(likely)
-        linked = []
-        for lo in range(0, len(likely), 256):
-            rows = likely[lo : lo + 256]
-            (x, xs), (y, ys) = (_sets(batch.column(i).take(pa.array(rows))) for i in (3, 7))
-            for r, row in enumerate(rows.tolist()):
-                one, two = x[xs[r] : xs[r + 1]], y[ys[r] : ys[r + 1]]
-                both = np.intersect1d(one, two, assume_unique=True).size
-                if both * 100 >= PERCENT * (one.size + two.size - both):
-                    linked.append(row)
-        out = pa.array(linked, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(out), batch.column(4).take(out)], ["u", "v"])
+        if batch.num_rows:
+            rows = pa.array(_may_link(*(batch.column(i) for i in (1, 2, 5, 6))))
+            cls_a, text_a, cls_b, text_b = (batch.column(i).take(rows) for i in (0, 3, 4, 7))
+            out = pa.array(linked(text_a, text_b))
+            yield pa.RecordBatch.from_arrays([cls_a.take(out), cls_b.take(out)], ["u", "v"])
 
 
 def _links(pairs: DataFrame, cand: DataFrame, name: str) -> DataFrame:
@@ -130,52 +155,39 @@ def _links(pairs: DataFrame, cand: DataFrame, name: str) -> DataFrame:
     return stash(rows.select(*columns).mapInArrow(_verify, "u string, v string"), name)
 
 
-def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes of all rows in one array, and where each row's begin (with the end)."""
-    hashes, sizes = [np.zeros(0, _U)], [np.zeros(1, np.int64)]
-    for _, _, data, at in tokens.chunks(column):
-        text, h = tokens.shingles(tokens.words(data, at, lower=True), SHINGLE)
-        hashes.append(h)
-        sizes.append(np.bincount(text, minlength=len(at) - 1))
-    return np.concatenate(hashes), np.cumsum(np.concatenate(sizes))
-
-
-def _sweep(cell: pa.Table) -> pa.Table:
-    """One cell: its rows (b, c, n, sig, cls, text, side); the links between different components with at least one
-    end of side 1, each found in the first band that both ends share."""
-    cell = cell.combine_chunks()
-    c, n, side = (cell.column(x).to_numpy() for x in ("c", "n", "side"))
-    band = cell.column("b")[0].as_py()
-    regs = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint16).reshape(len(c), BANDS, ROWS)
-    everyone = np.arange(len(c))
-    near: list[tuple[int, np.ndarray]] = []
-    for i in np.flatnonzero(side == 1):
-        fits = (c != c[i]) & (np.minimum(n, n[i]) * 100 >= PERCENT * np.maximum(n, n[i])) & ((side != 1) | (everyone > i))
-        others = np.flatnonzero(fits)
-        if len(others):
-            same = regs[others] == regs[i]
-            likely = estimate(same.reshape(len(others), -1), True, n[others], n[i]) >= PERCENT / 100 - MARGIN
-            others = others[likely & ~same[:, :band].all(axis=2).any(axis=1)]
-        if len(others):
-            near.append((i, others))
-    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if near:
-        rows = np.unique(np.concatenate([np.append(others, i) for i, others in near]))
-        flat, at = _sets(cell.column("text").combine_chunks().take(pa.array(rows)))
-        _, flat = np.unique(flat, return_inverse=True)
-        mine = np.zeros(int(flat.max()) + 1, np.int64)
-        for i, others in near:
-            x = np.searchsorted(rows, i)
-            mine[flat[at[x] : at[x + 1]]] = 1
-            sums = np.concatenate([[0], np.cumsum(mine[flat])])
-            y = np.searchsorted(rows, others)
-            both = sums[at[y + 1]] - sums[at[y]]
-            mine[flat[at[x] : at[x + 1]]] = 0
-            linked = others[both * 100 >= PERCENT * (n[others] + n[i] - both)]
-            u.append(np.full(len(linked), i))
-            v.append(linked)
-    cls = cell.column("cls").combine_chunks()
-    return pa.table({"u": cls.take(pa.array(np.concatenate(u))), "v": cls.take(pa.array(np.concatenate(v)))})
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, text) to (k, s): the shingle hashes of each text."""
+    for batch in batches:
+        for lo, hi, data, at in tokens.chunks(batch.column(1)):
+            text, h = tokens.shingles(tokens.words(data, at, lower=True), SHINGLE)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["k", "s"])
+
+
+def _prefix_pairs(unsettled: DataFrame, cand: DataFrame) -> DataFrame:
+    """Pairs (ka, kb) of unsettled members (k, c, rest) of different components, at least one of them ``rest``, that may be linked
+    by the prefixes of their sets."""
+    info = unsettled.select(F.col("k").alias("uk"), "c", "rest")
+    texts = cand.join(info, F.col("k") == F.col("uk")).select("k", "text")
+    sets = stash(texts.mapInArrow(_shingle_sets, "k long, s array<long>"), "sets")
+    rows = sets.select("k", F.explode("s").alias("s"))
+    of_whom = sets.join(info, F.col("k") == F.col("uk")).select("c", "rest", F.explode("s").alias("s"))
+    met = of_whom.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("rest").alias("rest"))
+    # other shingles are in no pair that is looked for; they come first in the order
+    met = met.filter("lo <> hi AND rest").select(F.col("s").bitwiseXOR(F.lit(0)).alias("ms"), "m")
+    order = rows.join(met, F.col("s") == F.col("ms")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("met"))
+    order = order.select(F.col("k").alias("ok"), "met").join(sets.select("k", F.size("s").alias("n")), F.col("ok") == F.col("k")).join(info, F.col("k") == F.col("uk"))
+    first = lambda least: F.col("n") - least - (F.col("n") - F.size("met")) + 1
+    index = first(F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)).cast("int"))
+    probe = first(F.ceil(F.col("n") * PERCENT / 100).cast("int"))
+    order = order.filter(probe > 0).select("k", "c", "rest", "n", F.posexplode(F.slice("met", 1, probe)).alias("i", "o"), index.alias("index"))
+    small = order.filter(F.col("i") < F.col("index")).select(F.col("o.s").alias("s"), *(F.col(x).alias(f"{x}a") for x in ("k", "c", "rest", "n")))
+    large = order.select(F.col("o.s").bitwiseXOR(F.lit(0)).alias("t"), *(F.col(x).alias(f"{x}b") for x in ("k", "c", "rest", "n")))
+    pairs = small.join(large, (F.col("s") == F.col("t")) & (F.col("ca") != F.col("cb")) & (F.col("resta") | F.col("restb")))
+    pairs = pairs.filter((F.struct("na", "ka") < F.struct("nb", "kb")) & (F.col("na") * 100 >= F.col("nb") * PERCENT)).select("ka", "kb").distinct()
+    a, b = (cand.select(F.col("k").alias(f"k_{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    both = pairs.join(a, F.col("ka") == F.col("k_a")).join(b, F.col("kb") == F.col("k_b")).select("ka", "kb", "n_a", "sig_a", "n_b", "sig_b")
+    return stash(both.mapInArrow(_likely, "ka long, kb long"), "likely")
 
 
 def _labels(found: DataFrame, name: str) -> DataFrame:
@@ -230,35 +242,10 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
     placed = _placed(members, found, "round-2")
     sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("labels"))
-    largest = largest.filter("labels > 1 AND all > 2")
-    blocks = lambda x: F.ceil(x / F.lit(BLOCK)).cast("int")
-    largest = largest.select(
-        F.col("band").bitwiseXOR(F.lit(0)).alias("tband"),
-        F.col("top.c").alias("tc"),
-        F.greatest(blocks(F.col("top.m")), F.lit(1)).alias("mains"),
-        F.greatest(blocks(F.col("all") - F.col("top.m")), F.lit(1)).alias("rests"),
-    )
-    own = cand.select(F.col("k").alias("ck"), "cls", "n", "sig", "text")
-    rows = placed.join(largest, F.col("band") == F.col("tband")).withColumn("cell", F.explode(_cells())).select("b", "band", "k", "c", "cell.*")
-    rows = rows.join(own, F.col("k") == F.col("ck")).select("b", "band", "i", "j", "side", "c", "cls", "n", "sig", "text")
-    last = rows.groupBy("band", "i", "j").applyInArrow(_sweep, "u string, v string")
-    return found.unionByName(stash(last, "links-3"))
-
-
-def _cells() -> Column:
-    """The cells (i, j, side) that a member of a mixed bucket takes part in.
-
-    Members outside the largest component are dealt to ``rests`` blocks, the others to ``mains``.  Cell (j, i) with
-    i >= 0 sets main block i (side 0) against block j (side 1); cell (j, -1 - j2) sets block j against block j2 (side 2),
-    and cell (j, -1 - j) block j against itself."""
-    main = F.pmod(F.xxhash64("k", F.lit(3)), F.col("mains")).cast("int")
-    rest = F.pmod(F.xxhash64("k", F.lit(4)), F.col("rests")).cast("int")
-    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    as_main = F.transform(upto(F.col("rests")), lambda j: cell(main, j, F.lit(0)))
-    with_mains = F.transform(upto(F.col("mains")), lambda i: cell(i, rest, F.lit(1)))
-    with_rests = F.transform(upto(F.col("rests")), lambda o: cell(-1 - F.greatest(rest, o), F.least(rest, o), F.when(o >= rest, 1).otherwise(2)))
-    return F.when(F.col("c") == F.col("tc"), as_main).otherwise(F.concat(with_mains, with_rests))
+    largest = largest.filter("labels > 1 AND all > 2").select(F.col("band").bitwiseXOR(F.lit(0)).alias("tband"), F.col("top.c").alias("tc"))
+    unsettled = placed.join(largest, F.col("band") == F.col("tband")).groupBy("k").agg(F.min("c").alias("c"), F.max(F.col("c") != F.col("tc")).alias("rest"))
+    pairs = _prefix_pairs(stash(unsettled, "unsettled"), cand)
+    return found.unionByName(_links(pairs, cand, "links-3"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

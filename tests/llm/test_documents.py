@@ -185,8 +185,7 @@ def test_spans_that_only_hashes_hold_equal_are_found_out(spark, monkeypatch):
     plain = substring._node_keys
 
     def narrow(w, start, wide):
-        first, second = plain(w, start, wide)
-        return (first, second) if wide else (first & np.uint64(255), second)
+        return plain(w, start, wide) if wide else [plain(w, start, wide)[0] & np.uint64(255)]
 
     monkeypatch.setattr(substring, "_node_keys", narrow)
     assert not substring.unverified(substring._removals(docs, "doc_id", "text", False)).isEmpty()
@@ -241,6 +240,31 @@ def test_near_duplicates_edges(spark):
     assert near_dup.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
 
+def test_documents_of_one_template_are_told_apart(spark):
+    """Two thirds of each is the template: they share buckets, but only the planted copies are linked."""
+    r = random.Random(2)
+    template = [f"t{i}" for i in range(80)]
+    own = lambda n: [str(r.randrange(10**9)) for _ in range(n)]
+    rows = [(k, " ".join(template + own(20))) for k in range(3000)]
+    for k in range(20):
+        copy = rows[100 * k][1].split()
+        copy[95] = "changed"
+        rows.append((5000 + k, " ".join(copy)))
+    got = {x["_id"]: x["component_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: 100 * (i - 5000) if i >= 5000 else i for i, _ in rows}
+
+
+def test_links_are_confirmed_on_words(monkeypatch):
+    """Texts without a common word stay apart when all hashes are equal."""
+    import pyarrow as pa
+
+    plain = near_dup.tokens.mix
+    monkeypatch.setattr(near_dup.tokens, "mix", lambda h, seed=0: plain(h, seed) & np.uint64(3))
+    a = pa.array(["a b c d e f g h i j", "a b c d e f g h", "x y", "same", None, "A b c d e f g h i j k"])
+    b = pa.array(["q r s t u v w x y z", "a B c d e f g h", "x z", "same", None, "a b c d e f g h i j l"])
+    assert near_dup.linked(a, b).tolist() == [1, 3, 5]
+
+
 def test_hyperminhash_estimate_is_close():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.8, 0.95):
@@ -270,6 +294,19 @@ def test_decontamination(spark):
     assert containment.clean(frame(spark, rows), frame_items.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_decontamination_with_many_items_in_one_document(spark, monkeypatch, most):
+    """Both ways to join the index; one document holds all items, one id has two texts, one item has no id."""
+    monkeypatch.setattr(containment, "BROADCAST_ROWS", most)
+    r = random.Random(7)
+    say = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    items = [(k, say(8)) for k in range(2000)] + [(3, say(9)), (None, say(9))]
+    rows = [(1, " ".join(t for _, t in items)), (1, " ".join(t for _, t in items)), (2, items[5][1] + " " + say(50)), (3, say(300)), (None, items[-1][1]), (4, items[7][1].rsplit(" ", 2)[0])]
+    got = [(x.doc_id, x["__hf_n_items"], tuple(x["__hf_items"] or ())) for x in containment.mark(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    all_ids = tuple(sorted(k for k, _ in items if k is not None))
+    assert sorted(got, key=str) == sorted([(1, 2002, all_ids), (1, 2002, all_ids), (2, 1, (5,)), (3, None, ()), (None, 1, ()), (4, None, ())], key=str)
+
+
 # --- pieces ---
 
 def test_pieces_equal_the_library(spark):
