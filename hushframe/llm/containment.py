@@ -8,14 +8,16 @@ Search: items are partitioned by size (powers of two).  All items of a partition
 of smallest shingle hashes, a bottom-k MinHash sketch whose k is one more than the shingles that the
 partition's largest item may miss, so every document above the threshold holds at least one sketch hash
 of the item: the search has no misses, however long the document.  Documents' shingle hashes stream
-past the sketch index.  Verification: for each candidate pair the shingles themselves are intersected.
+past the sketch index.  Verification: the shingles of each document that met a sketch are joined, as words, with those of
+the items, and counted by item.
 
 Scale: the index holds a quarter of the items' shingles; it is broadcast only while its counted rows
 are at most ``BROADCAST_ROWS``, else joined by hash.  Only documents with a candidate are verified.
 
+An item is its id and its text: one id with two texts is two items, each found by itself, whose id is then listed twice.
 Edge cases: null or empty items and documents match nothing.  An item of one to four words is found only
 as a document of exactly these words, never inside a longer one.  Repeated items and rows are each judged
-alike; rows without a doc_id or item_id are judged as well.  Columns are never taken from the input
+alike; rows without a doc_id or item_id are judged as well, and an item without an id counts but is not listed.  Columns are never taken from the input
 by a clashing name; ``clean`` returns its input's columns.
 """
 
@@ -75,14 +77,16 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     small = index.count() <= BROADCAST_ROWS
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_h"))
     hashes = source.select("_id", "_h", F.explode(let(lower_words(F.col("_text")), shingle_hashes)).alias("hash"))
-    pairs = hashes.join(F.broadcast(index) if small else index, "hash").select("_id", "_h", "ikey").distinct()
-    wanted = pairs.groupBy("_id", "_h").agg(F.collect_list("ikey").alias("ikeys")).withColumnsRenamed({"_id": "_cid", "_h": "_ch"})
-    texts = source.join(wanted, source["_id"].eqNullSafe(wanted["_cid"]) & (source["_h"] == wanted["_ch"])).select("_id", "_h", "_text", "ikeys")
-    texts = texts.withColumn("_set", let(lower_words(F.col("_text")), shingle_strings)).select("_id", "_h", "_set", F.explode("ikeys").alias("ikey"))
-    full = sets.select("ikey", "item_id", "shingles", "n_item")
-    checked = texts.join(F.broadcast(full) if small else full, "ikey")
-    checked = checked.withColumn("n_shared", F.size(F.array_intersect("_set", "shingles"))).filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-    return checked.select("_id", "_h", "item_id", "ikey", "n_shared", "n_item").distinct()
+    met = hashes.join(F.broadcast(index) if small else index, "hash").select(F.col("_id").alias("_cid"), F.col("_h").alias("_ch")).distinct()
+    texts = source.join(met, source["_id"].eqNullSafe(met["_cid"]) & (source["_h"] == met["_ch"]), "left_semi")
+    texts = texts.select("_id", "_h", "_text").dropDuplicates(["_id", "_h"])
+    # a row for each shingle of a document with a candidate, however many items it may hold
+    rows = texts.select("_id", "_h", F.explode(let(lower_words(F.col("_text")), shingle_strings)).alias("shingle"))
+    parts = sets.select("ikey", F.explode("shingles").alias("_s"))
+    held = rows.join(F.broadcast(parts) if small else parts, F.col("shingle") == F.col("_s")).groupBy("_id", "_h", "ikey").agg(F.count(F.lit(1)).alias("n_shared"))
+    full = sets.select(F.col("ikey").alias("_i"), "item_id", "n_item")
+    held = held.join(F.broadcast(full) if small else full, F.col("ikey") == F.col("_i")).filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    return held.select("_id", "_h", "item_id", "ikey", "n_shared", "n_item")
 
 
 def mark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,12 +125,13 @@ def _sets(name: str, key: str) -> str:
 
 
 _SQL = f"""
-WITH {_sets("documents", "doc_id")}, {_sets("benchmark", "item_id")},
-n AS (SELECT item_id, count(*) AS n FROM benchmark_s GROUP BY item_id),
+WITH items AS (SELECT row_number() OVER (ORDER BY item_id, text) AS item, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+{_sets("documents", "doc_id")}, {_sets("items", "item")},
+n AS (SELECT item, count(*) AS n FROM items_s GROUP BY item),
 hit AS (
-  SELECT d.doc_id, b.item_id FROM benchmark_s b JOIN documents_s d ON b.s = d.s AND b.short = d.short JOIN n ON n.item_id = b.item_id
-  GROUP BY d.doc_id, b.item_id, n.n HAVING count(*) * 100 >= {PERCENT} * n.n
-), by_doc AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id)
+  SELECT d.doc_id, b.item FROM items_s b JOIN documents_s d ON b.s = d.s AND b.short = d.short JOIN n ON n.item = b.item
+  GROUP BY d.doc_id, b.item, n.n HAVING count(*) * 100 >= {PERCENT} * n.n
+), by_doc AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM hit JOIN items USING (item) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_items, ids AS item_ids, n IS NULL AS kept FROM documents d LEFT JOIN by_doc USING (doc_id)
 """
 
