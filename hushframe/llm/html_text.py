@@ -31,6 +31,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,8 +78,11 @@ TITLE_OF = frozenset("entry post article content story title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("div section center fieldset header form address".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: After "<" or "</": a tag's name; then an attribute's name and value.  An unclosed quote is a character like others.
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: What ends the elements whose content is not markup, by name.
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -94,13 +98,13 @@ class Node:
         self.named: frozenset[str] = frozenset()
 
 
-def _is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
+Attributes = list[tuple[str, str]]
+
+
+def _is_dropped(tag: str, attributes: Attributes, inside_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside_article):
         return True
-    if not attributes.strip():
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for name, value in attributes:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True
         if name == "role" and value.strip() in DROPPED_ROLES:
@@ -108,13 +112,13 @@ def _is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def _names(tag: str, attributes: str) -> frozenset[str]:
+def _names(tag: str, attributes: Attributes) -> frozenset[str]:
     """What speaks against an element without deciding: listed words of its class and id, or being a form."""
     out = {"form"} if tag == "form" else set()
-    if attributes.strip() and tag not in ("html", "body", "article", "main"):
-        for m in _ATTRIBUTE.finditer(attributes):
-            if m[1].lower() in ("class", "id"):
-                for name in (m[2] or m[3] or m[4] or "").lower().split():
+    if tag not in ("html", "body", "article", "main"):
+        for attribute, value in attributes:
+            if attribute in ("class", "id"):
+                for name in value.split():
                     out |= _dropped_names(name)
     return frozenset(out)
 
@@ -174,76 +178,121 @@ def _drop_named(root: Node) -> None:
             return
 
 
+class Open:
+    """The open elements, and at which depths those of each name and the blocks are, so that no end tag has to search."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.at, self.blocks = [root], {}, [0]
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at ``depth`` and all that it holds."""
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open element of this name; 0 without one."""
+        depths = self.at.get(tag)
+        return depths[-1] if depths else 0
+
+    def end(self, tag: str) -> bool:
+        """An end tag; one of an inline element does not reach out of its block."""
+        depth = self.last(tag)
+        if not depth or (tag in INLINE and depth < self.blocks[-1]):
+            return False
+        self.close(depth)
+        return True
+
+    def imply(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends: an open paragraph, or a sibling list item, cell or row."""
+        if tag in SIBLINGS:
+            ends, stops = SIBLINGS[tag]
+            floor = max(self.last(s) for s in stops)
+            found = []
+            for name in [*ends, "p"] if tag in ("li", "dt", "dd") else ends:
+                depths = self.at.get(name, [])
+                if depths and depths[-1] > floor:
+                    found.append(depths[bisect_right(depths, floor)])
+            if found:
+                self.close(min(found))
+        elif tag in CLOSES_P and self.blocks[-1] and self.nodes[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+
+
+def _attributes(page: str, at: int) -> tuple[Attributes, int]:
+    """The attributes from ``at`` on, and where the tag ends; the page's length if it is never closed."""
+    found = []
+    while m := _ATTRIBUTE.match(page, at):
+        found.append((m[1].lower(), (m[2] or m[3] or m[4] or "").lower()))
+        at = m.end()
+    end = page.find(">", at)
+    return found, end + 1 if end >= 0 else len(page)
+
+
+def _markup_end(page: str, at: int, end: str) -> int:
+    """Where a comment or declaration ends."""
+    found = page.find(end, at)
+    return found + len(end) if found >= 0 else len(page)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; its root stands for the body."""
-    root = now = Node("body", None, False)
-    at, articles = 0, 0
-    cut = page.rfind("<")  # a tag that the end of the page cuts off
-    if cut > page.rfind(">") and re.match(r"<[a-zA-Z/!]", page[cut : cut + 2]):
-        page = page[:cut]
+    """The tree of a page; its root stands for the body.
+
+    Every character is passed once; what an end or start tag closes is looked up, not searched for."""
+    root = Node("body", None, False)
+    opened = Open(root)
+    done = at = 0
+    last = page.rfind(">")
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
+        at = page.find("<", at)
+        m = _TAG.match(page, at + 1) if at >= 0 else None
+        comment = at >= 0 and page.startswith(("!", "?"), at + 1)
+        if at >= 0 and m is None and not comment:
+            at += 1  # a character like others
+            continue
+        now = opened.top
+        if (text := page[done : at if at >= 0 else len(page)]):
             now.children.append(text)
-        if m is None:
+        if at < 0 or at > last:  # beyond, a tag that the end of the page cuts off
             return root
-        at = m.end()
-        if m[2] is None:
+        if comment:
+            done = at = _markup_end(page, at + 4, "-->") if page.startswith("<!--", at) else _markup_end(page, at, ">")
             continue
         tag = m[2].lower()
+        attributes, done = _attributes(page, m.end())
+        closed, at = page.endswith("/", m.end(), done - 1), done
         if tag in ("html", "body"):
             continue
         if m[1]:
-            node = now
-            while node is not root and node.tag != tag:
-                # an inline end tag does not reach out of its block
-                node = root if tag in INLINE and node.tag not in INLINE else node.parent
-            if node is not root:
-                while True:
-                    articles -= now.tag in ("article", "main")
-                    now, closed = now.parent, now
-                    if closed is node:
-                        break
-            elif tag == "p":
-                now.children.append(Node("p", now, now.dropped))
-            elif tag == "br":
-                now.children.append(Node("br", now, now.dropped))
+            if not opened.end(tag) and tag in ("p", "br"):
+                now.children.append(Node(tag, now, now.dropped))
             continue
-        if tag in CLOSES_P or tag in SIBLINGS:
-            now, articles = _imply(now, root, tag, articles)
-        node = Node(tag, now, now.dropped or _is_dropped(tag, m[3], articles > 0))
+        opened.imply(tag)
+        now = opened.top
+        node = Node(tag, now, now.dropped or _is_dropped(tag, attributes, bool(opened.last("article") or opened.last("main"))))
         if not node.dropped:
-            node.named = _names(tag, m[3])
+            node.named = _names(tag, attributes)
         now.children.append(node)
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
+        if tag in RAW and not closed:
+            end = _ENDS[tag].search(page, at)
             if tag not in DROPPED and tag != "title":
                 node.children.append(page[at : end.start() if end else len(page)])
             node.dropped |= tag == "title"
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path")):
-            now = node
-            articles += tag in ("article", "main")
-
-
-def _imply(now: Node, root: Node, tag: str, articles: int) -> tuple[Node, int]:
-    """Close what the start of ``tag`` ends: an open paragraph, or a sibling list item, cell or row."""
-    ends, stops = SIBLINGS.get(tag, ({"p"}, set()))
-    if tag in SIBLINGS:
-        ends = ends | ({"p"} if tag in ("li", "dt", "dd") else set())
-    node, found = now, None
-    while node is not root and node.tag not in stops:
-        if node.tag in ends:
-            found = node
-        elif node.tag not in INLINE and tag not in SIBLINGS:
-            break
-        node = node.parent
-    while found is not None:
-        now, closed = now.parent, now
-        if closed is found:
-            break
-    return now, articles
+            done = at = _markup_end(page, end.end(), ">") if end else len(page)
+        elif tag not in VOID and not (closed and tag in ("svg", "path")):
+            opened.push(node)
 
 
 def _in_order(root: Node) -> list[Node]:
