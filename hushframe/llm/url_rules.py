@@ -1,24 +1,28 @@
 """URL filters: fixed host and path rules, and rules mined from labels by FP-growth.
 
 A URL's tokens are its host's labels, domain, path segments (numbers as one shape), file ending, query keys
-and fragment.  ``mine`` runs Spark's FP-growth over the tokens of labelled URLs together with the label, and
-keeps the token combinations that imply a bad label with enough support and confidence; a rule that
-another rule's tokens are part of adds nothing and is dropped.  ``match`` finds the rules by an inverted
-index: each rule is listed under its rarest token, a URL's tokens look up that list, and the rule's other
+and fragment.  ``mine`` finds the token combinations that imply a bad label with enough support and confidence, and of
+which no part does: first the single tokens; then Spark's FP-growth over what is left of the labelled URLs, together with the
+label.  What is left are the frequent tokens that are no rule themselves (a longer rule with such a one would be redundant),
+and of tokens that lie in the very same URLs only the first (by two 64-bit sums over the URLs), so that a deep path is one item
+and not two to the power of its segments.  A rule's token then stands for any of those it was found with.  ``match`` finds the rules
+by an inverted index: each rule is listed under its rarest token, a URL's tokens look up that list, and the rule's other
 tokens are then compared.
 
 Scale: distinct URLs are tokenised and matched once, by joins on token and URL whose hot partitions
-adaptive execution may split; all labelled rows are mined, in Spark's own distributed FP-growth.  The fixed
+adaptive execution may split; all labelled rows are mined, in Spark's own distributed FP-growth.  Its cost grows with the
+number of frequent combinations: many tokens that nearly, but not quite, share their URLs remain dear.  The fixed
 rules are a short list given by the caller, compiled into one expression.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path, no tokens and no fixed rule, and is
-allowed.  Repeated rows are judged alike.  Empty tables mine no rules.
+allowed.  Repeated rows are judged alike, and count as often as they are there in mining.  Empty tables mine no rules.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,39 +97,62 @@ def tokens(url: Column) -> Column:
     return F.when(F.coalesce(host_of(url), F.lit("")) != "", F.array_distinct(F.concat(*parts))).otherwise(F.array().cast("array<string>"))
 
 
-_RULES = "tokens array<string>, confidence double, support double, anchor string"
+_RULES = "tokens array<array<string>>, confidence double, support double, anchor array<string>"
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (tokens, confidence, support, anchor) from labelled URLs (url, bad: boolean)."""
+    """Rules (tokens, confidence, support, anchor) from labelled URLs (url, bad: boolean); tokens: for each token of the rule, all
+    that lie in the very same URLs."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    items = F.concat(F.col("_t"), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")))
     baskets = labelled.filter("bad IS NOT NULL").select("bad", tokens(F.col("url")).alias("_t")).filter(F.size("_t") > 0)
-    baskets = stash(baskets.select(items.alias("items")), "baskets")
+    baskets = stash(baskets.withColumn("b", F.monotonically_increasing_id()), "baskets")
     n = baskets.count()
     if not n or min_count > n:
         return spark.createDataFrame([], _RULES)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent")[0] == _BAD).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = stash(rules, "rules")
-    counts = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(counts, "token").groupBy("tokens").agg(F.min(F.struct("n", "token")).alias("a"))
-    rules = rules.join(anchors.select(F.col("tokens").alias("_k"), F.col("a.token").alias("anchor")), F.col("tokens") == F.col("_k")).drop("_k")
-    # a rule is redundant if the tokens of another are part of its own
-    part = rules.select(F.col("tokens").alias("pt"), F.col("anchor").alias("pa"))
-    wide = rules.select("tokens", F.explode("tokens").alias("t")).join(part, F.col("t") == F.col("pa"))
-    wide = wide.filter((F.size("pt") < F.size("tokens")) & (F.size(F.array_except("pt", "tokens")) == 0)).select(F.col("tokens").alias("_w")).distinct()
-    return stash(rules.join(wide, F.col("tokens") == F.col("_w"), "left_anti"), "pruned-rules")
+    least = max(ceil(min_support * n), min_count)
+    seen = baskets.select("b", "bad", F.explode("_t").alias("token"))
+    where = [F.bit_xor(F.xxhash64(F.lit(i), "b")).alias(f"s{i}") for i in (1, 2)]
+    counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), *where).filter(F.col("bad") >= least)
+    groups = counts.groupBy("n", "bad", "s1", "s2").agg(F.array_sort(F.collect_list("token")).alias("any"))
+    groups = stash(groups.select("any", F.col("any")[0].alias("first"), "n", "bad", (F.col("bad") >= min_confidence * F.col("n")).alias("alone")), "tokens")
+    rules = groups.filter("alone").select(F.array("first").alias("firsts"), (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / n).alias("support"))
+
+    # a token of every URL says nothing beside others
+    rest = groups.filter(~F.col("alone") & (F.col("n") < n)).select("first")
+    reduced = seen.join(rest, F.col("token") == F.col("first")).groupBy("b", "bad").agg(F.collect_list("token").alias("_t"))
+    items = F.concat("_t", F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")))
+    reduced = stash(reduced.select(items.alias("items")), "reduced")
+    m = reduced.count()
+    if m >= least:
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m, minConfidence=min_confidence).fit(reduced)
+        found = model.associationRules.filter((F.col("consequent")[0] == _BAD) & (F.size("antecedent") > 1))
+        found = stash(found.select(F.array_sort("antecedent").alias("firsts"), "confidence", (F.col("support") * m / n).alias("support")), "rules")
+        rules = rules.unionByName(_least(found, groups))
+    described = rules.select("firsts", F.explode("firsts").alias("f")).join(groups.select("first", "any", "n"), F.col("f") == F.col("first"))
+    described = described.groupBy("firsts").agg(F.array_sort(F.collect_list("any")).alias("tokens"), F.min(F.struct("n", "any")).alias("a"))
+    described = described.select(F.col("firsts").alias("_k"), "tokens", F.col("a.any").alias("anchor"))
+    return stash(rules.join(described, F.col("firsts") == F.col("_k")).select("tokens", "confidence", "support", "anchor"), "pruned-rules")
+
+
+def _least(rules: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rules (firsts, ...) of whose tokens no other rule has a part; parts are looked up by their rarest token."""
+    listed = rules.select("firsts", F.explode("firsts").alias("t")).join(groups.select("first", "n"), F.col("t") == F.col("first"))
+    part = listed.groupBy("firsts").agg(F.min(F.struct("n", "t")).alias("a")).select(F.col("firsts").alias("pt"), F.col("a.t").alias("pa"))
+    wide = listed.select("firsts", "t").join(part, F.col("t") == F.col("pa"))
+    wide = wide.filter((F.size("pt") < F.size("firsts")) & (F.size(F.array_except("pt", "firsts")) == 0)).select(F.col("firsts").alias("_w")).distinct()
+    return rules.join(wide, F.col("firsts") == F.col("_w"), "left_anti")
 
 
 def match(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """(__hf_url, mined_rule): each distinct URL that a mined rule matches, with its most confident one."""
     seen = urls.select(F.col(url).alias("__hf_url")).filter("__hf_url IS NOT NULL").distinct().withColumn("_t", tokens(F.col("__hf_url")))
-    index = rules.select("anchor", F.col("tokens").alias("_rt"), "confidence")
-    hits = seen.withColumn("_a", F.explode("_t")).join(index, F.col("_a") == F.col("anchor")).filter(F.size(F.array_except("_rt", "_t")) == 0)
-    best = hits.groupBy("__hf_url").agg(F.max(F.struct("confidence", F.array_join("_rt", "&").alias("r"))).alias("b"))
+    index = rules.select(F.explode("anchor").alias("anchor"), F.col("tokens").alias("_rt"), "confidence")
+    hits = seen.withColumn("_a", F.explode("_t")).join(index, F.col("_a") == F.col("anchor"))
+    hits = hits.filter(F.forall("_rt", lambda any_: F.arrays_overlap(any_, F.col("_t"))))
+    name = F.array_join(F.transform("_rt", lambda any_: any_[0]), "&")
+    best = hits.groupBy("__hf_url").agg(F.max(F.struct("confidence", name.alias("r"))).alias("b"))
     return best.select("__hf_url", F.col("b.r").alias("mined_rule"))
 
 

@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import itertools
 import random
+import time
 
 import pytest
 
@@ -187,13 +189,80 @@ def test_mined_rules(spark):
         rows.append((f"http://{site}.x{k % 7}.net/{part}/{k}.html?id={k}", site == "pills" and part == "fr"))
     rows += [(None, True), ("nothing", False), ("http://a.net/", None)]
     mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), min_count=10)
-    found = {frozenset(x.tokens) for x in mined.collect()}
+    found = {frozenset(t[0] for t in x.tokens) for x in mined.collect()}
     assert frozenset({"host=pills", "path=fr"}) in found and not any(len(x) == 1 for x in found)
     table = pages(spark, [(1, "http://pills.new.net/fr/9", ""), (2, "http://pills.new.net/en/9", ""), (3, "http://pills.z.org/fr/9", ""), (4, None, ""), (1, "http://pills.new.net/fr/9", "")])
     got = {x["url"]: x.verdict for x in url_rules.judge(table, mined).collect()}
     assert got == {"http://pills.new.net/fr/9": "block", "http://pills.new.net/en/9": "allow", "http://pills.z.org/fr/9": "allow", None: "allow"}
 
 
+def brute_rules(baskets, least, confidence):
+    """The least token sets that imply a bad label, as sets of the URLs they are in: equal for tokens that share all URLs."""
+    tokens = sorted({t for own, _ in baskets for t in own})
+    rules = []
+    for size in range(1, 5):
+        for combination in itertools.combinations(tokens, size):
+            some = frozenset(combination)
+            held = [bad for own, bad in baskets if some <= own]
+            if sum(held) >= least and sum(held) >= confidence * len(held) and not any(part < some for part in rules):
+                rules.append(some)
+    return set(rules)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_rules_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    names = ["p", "q", "r", "s", "t"]
+    bad_pairs = [set(r.sample(names, 2)) for _ in range(2)] + [set(r.sample(names, 3))]
+    rows = []
+    for _ in range(300):
+        own = {x for x in names if r.random() < 0.5}
+        bad = any(pair <= own for pair in bad_pairs) if r.random() < 0.95 else r.random() < 0.5
+        twin = ["u", "v"] if "p" in own else []  # in the very same URLs as p
+        rows.append((f"http://h.net/{'/'.join(sorted([*own, *twin]))}", bad))
+    baskets = [(frozenset(f"path={x}" for x in u[13:].split("/") if x) | {"domain=h.net"}, bad) for u, bad in rows]
+    expected = brute_rules(baskets, 10, 0.8)
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), min_count=10).collect()
+    got = {frozenset(choice) for x in mined for choice in itertools.product(*x.tokens)}
+    assert got == expected and expected
+    for x in mined:
+        some = {t[0] for t in x.tokens}
+        held = [bad for own, bad in baskets if some <= own]
+        assert abs(x.confidence - sum(held) / len(held)) < 1e-9 and abs(x.support - sum(held) / len(baskets)) < 1e-9
+
+
+def test_a_deep_path_is_one_token(spark):
+    """Sixty segments below which half of the pages are bad; without collapsing, 2**60 combinations."""
+    deep = "/".join(f"s{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(f"http://h.net/{deep}/{'x' if k % 2 else 'y'}/{k}.html", bool(k % 2)) for k in range(80)] + [(f"http://h.net/x/{k}.html", False) for k in range(200)]
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert len(mined) == 1 and sorted(map(len, mined[0].tokens)) == [1, 60]
+    judged = url_rules.match(pages(spark, [(1, "http://o.net/sca/x/1", ""), (2, "http://o.net/sca/1", ""), (3, "http://o.net/x/1", "")]), spark.createDataFrame(mined, url_rules._RULES))
+    assert {r["__hf_url"] for r in judged.collect()} == {"http://o.net/sca/x/1"}
+
+
+HOSTILE = {
+    "start tags": "<a " * 350_000,
+    "quotes": '<a "' * 260_000,
+    "quoted ends": '<a x=">"' * 130_000 + "x='>",
+    "stray ends": "<div>" * 2000 + "</section>" * 100_000,
+    "inline under blocks": "<div>" * 2000 + "<b>" * 300_000,
+    "ends out of a block": "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000,
+    "paragraphs in inline": "<b>" * 150_000 + "<p>" * 150_000,
+    "items in blocks": "<div>" * 100_000 + "<li>" * 100_000,
+    "raw ends": "<script>" + "</script " * 110_000,
+    "comments": "<!--" * 260_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    """A megabyte each; quadratic work would take minutes to hours."""
+    began = time.process_time()
+    html_text.main_text(HOSTILE[name])
+    assert time.process_time() - began < 20
+
+
 def test_release_deletes_what_was_stashed(spark):
     from urllib.parse import urlparse
 
