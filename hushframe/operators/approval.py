@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 
 from ..functions import fixed as V
-from ..functions.validators import compact, is_approval_name
+from ..functions.validators import compact, verdict
 from . import tables
 from .grouped import Rows, per_group
 from .tables import Box
@@ -71,7 +71,7 @@ def signers(words: list[tuple[str, Box]], drawings: list[Box], height: float | N
     grid = tables.cells(drawings)
     held = []
     for name, box, attached in names:
-        if not is_approval_name(name):
+        if not verdict("approval_name", name):
             continue
         row = [r for r in roles if same_row(r, box) and r[2] <= box[0] and box[0] - r[2] <= ROW_REACH]
         column = [r for r in roles if abs((r[0] + r[2] - box[0] - box[2]) / 2) <= max(r[2] - r[0], box[2] - box[0]) and (box[1] >= r[1] or same_row(r, box))]

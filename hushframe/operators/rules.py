@@ -52,7 +52,7 @@ def one_of(words: Iterable[str]) -> str:
 
 
 def literal(words: Iterable[str]) -> str:
-    return one_of(re.escape(w) for w in sorted(set(words), key=len, reverse=True))
+    return one_of(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
 
 def spaced(word: str) -> str:
@@ -141,12 +141,12 @@ def rules() -> tuple[Rule, ...]:
             "labelled",
             _labelled(rf"\b{one_of(['이름', '성명', '민원인', '신청인', '담당자', '보호자', '대표자', '제출인'])}\b", COLON_OR_SPACE, rf"(?!{one_of(V.AFTER_LABEL_NOT_NAMES)}(?=\s|[:：]|$))[가-힣]{{2,4}}"),
             "name",
-            guard=ok.is_labelled_name,
+            guard=ok.guard("labelled_name"),
         ),
         _rule("ADDRESS", "labelled", _labelled(r"\b우\s?", "", r"\d{5}", r"(?!\d)"), "address"),
         _rule("ADDRESS", "labelled", _labelled(r"\b(?:우편\s*번호|주소|소재지)\b", COLON, r"\d{5}", r"(?!\d)"), "address"),
-        _rule("ADDRESS", "labelled", _labelled(r"\b주소\b", COLON, r"[^\n,;]+"), "address", guard=ok.is_address),
-        _rule("ADDRESS", "labelled", _labelled(r"\b(?:주소|소재지|거소|사업장\s*주소|송달장소|주민등록상\s*주소|본점\s*소재지)\b", COLON, r"[^\n,;]+"), "address", guard=ok.is_address),
+        _rule("ADDRESS", "labelled", _labelled(r"\b주소\b", COLON, r"[^\n,;]+"), "address", guard=ok.guard("address")),
+        _rule("ADDRESS", "labelled", _labelled(r"\b(?:주소|소재지|거소|사업장\s*주소|송달장소|주민등록상\s*주소|본점\s*소재지)\b", COLON, r"[^\n,;]+"), "address", guard=ok.guard("address")),
         *_addresses(),
         _rule("PLACE", "whole", rf"{seoul}\s*{gu}", "place"),
         _rule("PLACE", "whole", rf"(?<![가-힣]){gu}(?![가-힣])", "place"),
@@ -166,25 +166,25 @@ def _after_places(place_seen: re.Pattern[str], parties: str, represented: str) -
     return [
         _rule("ADDR_DETAIL", "whole", r"[가-힣0-9·\-\s]{1,20}(?:로|길)\s*\d{1,4}(?:-\d{1,4})?", "address", near=place_seen),
         _rule("LOT_NO", "whole", r"(?<!\d)\d{1,4}(?:-\d{1,4})?\s*번지(?!\d)", "address", near=place_seen),
-        _rule("LEGAL_PARTY", "labelled", _labelled(rf"\b{parties}\b", COLON, r"[^\n,;()]{2,40}"), "legal_party", LEGAL, ok.is_labelled_name),
-        _rule("LEGAL_PARTY", "labelled", _labelled(rf"\b{parties}\b", r"\s+", rf"(?!(?:측|측은|측이|대리인|소송대리인|법무법인|법률사무소)(?=\s|$)){_SPACED_NAME}", r"(?=[^가-힣]|$)"), "legal_party", LEGAL, ok.is_name),
+        _rule("LEGAL_PARTY", "labelled", _labelled(rf"\b{parties}\b", COLON, r"[^\n,;()]{2,40}"), "legal_party", LEGAL, ok.guard("labelled_name")),
+        _rule("LEGAL_PARTY", "labelled", _labelled(rf"\b{parties}\b", r"\s+", rf"(?!(?:측|측은|측이|대리인|소송대리인|법무법인|법률사무소)(?=\s|$)){_SPACED_NAME}", r"(?=[^가-힣]|$)"), "legal_party", LEGAL, ok.guard("name")),
         _rule(
             "LEGAL_PARTY",
             "labelled",
             _labelled(rf"\b{represented}\b\s*(?:소송\s*대리인|법률\s*대리인|대리인)\b", COLON_OR_SPACE, rf"(?!(?:법무법인|법률사무소|담당변호사|변호사)(?=\s|$)){_SPACED_NAME}", r"(?=[^가-힣]|$)"),
             "legal_party",
             LEGAL,
-            ok.is_name,
+            ok.guard("name"),
         ),
         _rule(
             "LEGAL_PARTY",
             "header",
-            _labelled(_HEADS, r"\s*", r"(?!(?:측|대리인|소송대리인|법무법인|법률사무소|주장|주장의|주장과|주장에))[가-힣]{2,6}?", rf"(?=(?:{_HEADS}|\s|$))").replace(rf"(?P<label>{_HEADS}\s*)", rf"(?P<label>{_HEADS})\s*"),
+            rf"(?P<label>{_HEADS})\s*(?P<value>(?!(?:측|대리인|소송대리인|법무법인|법률사무소|주장|주장의|주장과|주장에))[가-힣]{{2,6}}?)(?=(?:{_HEADS}|\s|$))",
             "legal_party",
             LEGAL,
         ),
         Rule("LEGAL_PARTY", "parties", None, "legal_party", LEGAL),
-        _rule("COMPANY", "labelled", _labelled(rf"\b{one_of(V.COMPANY_LABELS)}\b", COLON_OR_SPACE, r"[^\n]{2,80}"), "company", guard=ok.is_company),
+        _rule("COMPANY", "labelled", _labelled(rf"\b{one_of(V.COMPANY_LABELS)}\b", COLON_OR_SPACE, r"[^\n]{2,80}"), "company", guard=ok.guard("company")),
         _rule("COMPANY", "whole", rf"(?P<value>(?<![가-힣A-Za-z0-9])(?:{'|'.join(V.COMPANY_PREFIXES)}|[(（]주[)）])\s*[A-Za-z0-9가-힣&.,()\-]{{1,30}}(?![가-힣A-Za-z0-9]))", "company"),
         _rule("COURT", "court", rf"(?<![가-힣])(?P<value>(?:{_TIGHT_TOP}|[가-힣]{{2,12}}{one_of(V.COURT_KINDS)})(?:\s*[가-힣0-9]{{1,12}}(?:지원|재판부))?)(?![가-힣])", "court", LEGAL),
         _rule("COURT", "court", rf"(?<![가-힣])(?P<value>{LOOSE_COURT})(?![가-힣])", "court", LEGAL),
@@ -192,22 +192,22 @@ def _after_places(place_seen: re.Pattern[str], parties: str, represented: str) -
         _rule("CASE_TITLE", "labelled", _labelled(r"\b제목\b", COLON, r"[^\n]+"), "case_title", LEGAL),
         _rule("CASE_TITLE", "titled", rf"^(?P<label>{_YEAR}\s*[가-힣]{{1,4}}\s*\d{{1,10}})\s+(?P<value>[^\n]{{2,100}})$", "case_title", LEGAL, flags=re.MULTILINE),
         _rule("CASE_NUMBER", "docket", _labelled(r"\b(?:사건번호|사건|당해\s*사건|이\s*사건|본건)\b", r"\s*[:：]?\s*", rf"{_YEAR}\s*(?!구\s*상)(?:[가-힣]\s*){{1,4}}\d{{1,10}}"), "case_number", LEGAL),
-        _rule("LAW_FIRM", "labelled", _labelled(r"\b(?:법무법인|법률사무소|변호사사무실|소속법무법인)\b", COLON, r"[^\n,;]{2,60}"), "law_firm", LEGAL, ok.is_law_firm),
-        _rule("LAW_FIRM", "labelled", _labelled(r"\b(?:법무법인|법률사무소|변호사사무실)\b", r"\s+", r"[A-Za-z0-9가-힣&.()\-]{2,30}", r"(?=$|[\s,;])"), "law_firm", LEGAL, ok.is_law_firm),
+        _rule("LAW_FIRM", "labelled", _labelled(r"\b(?:법무법인|법률사무소|변호사사무실|소속법무법인)\b", COLON, r"[^\n,;]{2,60}"), "law_firm", LEGAL, ok.guard("law_firm")),
+        _rule("LAW_FIRM", "labelled", _labelled(r"\b(?:법무법인|법률사무소|변호사사무실)\b", r"\s+", r"[A-Za-z0-9가-힣&.()\-]{2,30}", r"(?=$|[\s,;])"), "law_firm", LEGAL, ok.guard("law_firm")),
         _rule("ATTORNEY", "labelled", _labelled(r"\b(?:변호사|담당변호사|소송대리인|법률대리인|선임변호사)\b", COLON, r"[가-힣A-Za-z ]{2,30}"), "attorney", LEGAL),
         *_approvals(),
-        _rule("REGION", "labelled", _labelled(r"\b(?:소재지|관할지역|관할구역|관할|해당지역|위치|지역|행정구역)\b", COLON, r"[^\n,;]{2,80}"), "region_context", PUBLIC, ok.is_address),
+        _rule("REGION", "labelled", _labelled(r"\b(?:소재지|관할지역|관할구역|관할|해당지역|위치|지역|행정구역)\b", COLON, r"[^\n,;]{2,80}"), "region_context", PUBLIC, ok.guard("address")),
         _rule(
             "DOC_META",
             "labelled",
             _labelled(r"(?:^|\s)시\s*행", r"(?:\s+|\s*[:：]\s*)", rf"[^\n]{{0,60}}?(?:[가-힣A-Za-z0-9]{{1,24}}{one_of(V.UNITS)}?\s*[-–—]\s*\d{{1,8}}(?:-\d{{1,8}})?)(?:{_LOOSE_DATE})?"),
             "doc_meta",
             PUBLIC,
-            ok.is_meta,
+            ok.guard("meta"),
             flags=re.MULTILINE | re.IGNORECASE,
         ),
-        _rule("DOC_META", "labelled", _labelled(rf"(?:^|[\r\n])\s*{one_of(V.META_LABELS)}", COLON_OR_SPACE, r"[^\n]{1,140}?", rf"(?=\s+{one_of(V.META_STOPS)}\b|[\r\n]|$)"), "doc_meta", PUBLIC, ok.is_meta),
-        _rule("DOC_META", "labelled", _labelled(rf"(?:^|[\r\n])\s*{one_of(V.META_OCR_LABELS)}", COLON_OR_SPACE, r"[^\n]{1,140}"), "doc_meta", PUBLIC, ok.is_meta),
+        _rule("DOC_META", "labelled", _labelled(rf"(?:^|[\r\n])\s*{one_of(V.META_LABELS)}", COLON_OR_SPACE, r"[^\n]{1,140}?", rf"(?=\s+{one_of(V.META_STOPS)}\b|[\r\n]|$)"), "doc_meta", PUBLIC, ok.guard("meta")),
+        _rule("DOC_META", "labelled", _labelled(rf"(?:^|[\r\n])\s*{one_of(V.META_OCR_LABELS)}", COLON_OR_SPACE, r"[^\n]{1,140}"), "doc_meta", PUBLIC, ok.guard("meta")),
         _rule("DOC_META", "whole", rf"(?P<value>[가-힣A-Za-z0-9]+과\s*(?:[-–]\s*\d{{1,6}}(?:{_SHORT_DATE})?\s*호(?:{_SHORT_DATE})?|제\s*\d{{1,6}}\s*호(?:{_SHORT_DATE})?))", "doc_meta", PUBLIC),
         _rule("DOC_META", "whole", rf"(?P<value>[가-힣A-Za-z0-9]{{1,20}}{one_of(V.UNITS)}\s*[-:]\s*\d{{3,5}})", "doc_meta", PUBLIC),
         _rule("DOC_META", "whole", r"(?P<value>부분공개\s*\(\s*\d{1,2}\s*\)|비공개\s*\(\s*\d{1,2}\s*\)|전부공개)", "doc_meta", PUBLIC),
@@ -230,7 +230,7 @@ def _approvals() -> list[Rule]:
     rows = [
         ("signer", _labelled(rf"\b{longest(V.APPROVAL_LABELS)}\b", COLON_OR_SPACE, not_signer + "[가-힣A-Za-z]{2,20}"), 0),
         ("signer", _labelled(rf"\b{line_role}\b", COLON_OR_SPACE, not_signer + name), 0),
-        ("signer", r"^\s*" + _labelled(loose_grade, "", name, r"\s*$").replace(")(?P<value>", rf"){COLON_OR_SPACE}(?P<value>"), re.MULTILINE),
+        ("signer", rf"^\s*(?P<label>{loose_grade}){COLON_OR_SPACE}(?P<value>{name})\s*$", re.MULTILINE),
         ("signer", _labelled(rf"{unit}{{1,20}}{one_of([*V.UNITS, '본부', '사업부'])}\s*{role}", r"\s*", name), 0),
         ("signer", _labelled(rf"{unit}{{1,24}}{role}", r"\s*", r"(?:[가-힣]{2,4}?|[가-힣]\s*[가-힣]{1,3}?)", after), 0),
         ("signer", _labelled("代", r"\s*", "[가-힣]{2,4}?", r"(?=(?:친|협조자|수신|시행|접수|[\s\d:：,;/·]|$))"), 0),
