@@ -21,6 +21,15 @@ def per_group(df: DataFrame, keys: list[str], work: Callable[[dict, Rows], Rows]
     """What ``work(key values, rows)`` gives for each group; rows hold the other columns, in no order."""
     others = [c for c in df.columns if c not in keys]
     grouped = df.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("_rows"))
+    return _worked(grouped.select(*keys, "_rows"), keys, lambda row: row["_rows"], work, schema)
+
+
+def per_row(df: DataFrame, keys: list[str], work: Callable[[dict, Rows], Rows], schema: str | StructType) -> DataFrame:
+    """What ``work(key values, [row])`` gives for each row, which already holds all of its group."""
+    return _worked(df, keys, lambda row: [row], work, schema)
+
+
+def _worked(df: DataFrame, keys: list[str], rows: Callable[[dict], Rows], work: Callable[[dict, Rows], Rows], schema: str | StructType) -> DataFrame:
     out = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
 
@@ -29,8 +38,8 @@ def per_group(df: DataFrame, keys: list[str], work: Callable[[dict, Rows], Rows]
             for lo in range(0, batch.num_rows, 1000):
                 found: Rows = []
                 for row in batch.slice(lo, 1000).to_pylist():
-                    found += work({k: row[k] for k in keys}, row["_rows"])
+                    found += work({k: row[k] for k in keys}, rows(row))
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
-    return grouped.select(*keys, "_rows").mapInArrow(run, out)
+    return df.mapInArrow(run, out)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions import geometry as G
 
 
 def tag_table(spark: SparkSession) -> DataFrame:
@@ -23,10 +24,29 @@ def clean(value: Column) -> Column:
     return F.btrim(F.regexp_replace(value, r"(?U)\s+", " "), F.lit(" ,;:/"))
 
 
-def occurrence_id(*parts: Column) -> Column:
-    """Identity over the canonical text of its parts, which are given in the order of their names."""
-    text = F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts))
-    return F.concat(F.lit("occ_"), F.left(F.sha2(text, 256), F.lit(24)))
+def occurrence_id(
+    document_hash: Column, revision: Column, page: Column, rects: Column, tag: Column, category: Column, value_hash: Column, source: Column,
+    policy: Column, action: Column, segment: Column | None = None, region: Column | None = None,
+) -> Column:
+    """Identity of an occurrence: a digest of its canonical JSON; null where a part is not what it must be.
+
+    The JSON has its keys in order, no spaces, rects in order in millionths, and segment and region only with a segment."""
+    hex64 = lambda c: F.lower(c).rlike(r"\A[0-9a-f]{64}\z")
+    parts = {
+        "analysisRevision": revision.cast("long"), "category": category, "documentHash": F.lower(document_hash), "page": page.cast("long"), "policy": policy,
+        "proposedAction": action, "rects": F.array_sort(F.transform(rects, lambda r: F.array(*(G.micro(r[c]) for c in ("x0", "y0", "x1", "y1"))))),
+        "source": source, "tag": tag, "valueHash": F.lower(value_hash),
+    }
+    valid = hex64(document_hash) & hex64(value_hash) & (revision >= 1) & (page >= 0) & action.isin("mask", "review", "exclude")
+    for text in (tag, category, source, policy):
+        valid &= F.coalesce(text != "", F.lit(False))
+    valid &= (F.size(rects) > 0) & F.forall(rects, G.valid)
+    material = F.to_json(F.struct(*(c.alias(n) for n, c in sorted(parts.items()))))
+    if segment is not None:
+        within = parts | {"segmentId": segment, "regionId": F.lit(None).cast("string") if region is None else region}
+        whole = F.to_json(F.struct(*(c.alias(n) for n, c in sorted(within.items()))), {"ignoreNullFields": "false"})
+        material = F.when(segment.isNotNull(), whole).otherwise(material)
+    return F.when(valid, F.concat(F.lit("occ_"), F.left(F.sha2(material, 256), F.lit(24))))
 
 
 def merge(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", label: str = "label") -> DataFrame:

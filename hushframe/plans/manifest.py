@@ -69,7 +69,11 @@ def _rects(found: DataFrame, words: DataFrame) -> DataFrame:
     return found.join(w, on).groupBy(*keep).agg(F.array_sort(F.collect_list("_r")).alias("rects"))
 
 
-def occurrences(words: DataFrame, signers: DataFrame, auto: float = scoring.AUTO) -> DataFrame:
+#: Fixed value: the policy that identities name.
+POLICY = "masking-policy-v1"
+
+
+def occurrences(words: DataFrame, signers: DataFrame, auto: float = scoring.AUTO, revision: int = 1) -> DataFrame:
     """Values to mask or review: page candidates apart from approval values, and the approval values themselves."""
     keys = ["doc_id", "page_index"]
     found = _rects(candidates.candidates(words, auto), words).withColumn("rect", G.union(F.col("rects")))
@@ -88,7 +92,8 @@ def occurrences(words: DataFrame, signers: DataFrame, auto: float = scoring.AUTO
     both = apart.select(*keys, "tag", "category", "source", "value", "action", "score", "rects").unionByName(named)
     # of equal finds the first source by name counts
     best = both.groupBy(*keys, "tag", "category", "value", "rects").agg(F.min(F.struct("source", "action", "score")).alias("b")).select(*keys, "tag", "category", "value", "rects", "b.*")
-    identity = spans.occurrence_id(F.col("category"), F.col("doc_id"), F.col("page_index"), G.fingerprint(F.col("rects")), F.col("source"), F.col("tag"), F.sha2("value", 256))
+    document = F.when(F.col("doc_id").rlike(r"\A[0-9a-fA-F]{64}\z"), F.col("doc_id")).otherwise(F.sha2("doc_id", 256))
+    identity = spans.occurrence_id(document, F.lit(revision), F.col("page_index"), F.col("rects"), F.col("tag"), F.col("category"), F.sha2("value", 256), F.col("source"), F.lit(POLICY), F.col("action"))
     return best.withColumns({"occurrence_id": identity, "value_hash": F.sha2("value", 256)}).drop("value")
 
 
