@@ -74,7 +74,8 @@ def coverage(expected: Column, applied: Column, epsilon: float = 0.5) -> Column:
 
         return F.aggregate(F.transform(xs, row), F.lit(0.0), lambda a, v: a + v)
 
-    covered = F.transform(F.array(F.struct(edges("x0", "x1").alias("xs"), edges("y0", "y1").alias("ys"))), lambda e: cells(e["xs"], e["ys"]))[0]
+    grid = F.transform(F.array(F.struct(edges("x0", "x1").alias("xs"), edges("y0", "y1").alias("ys"))), lambda e: cells(e["xs"], e["ys"]))[0]
+    covered = F.when(F.size(spread) == 1, intersection(expected, spread[0])).otherwise(grid)  # one rect needs no grid
     whole = area(expected)
     return F.when(whole > 0, F.least(F.lit(1.0), covered / whole)).otherwise(F.lit(0.0))
 

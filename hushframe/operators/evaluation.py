@@ -43,7 +43,10 @@ def compatible(gold: DataFrame, candidates: DataFrame, threshold: float = 0.5, n
     on = on & (F.coalesce(F.col("g_text_hash"), F.lit("")).isin("") | (F.col("g_text_hash") == F.col("c_text_hash")))
     has = lambda side: F.coalesce(F.size(F.col(side + "_rects")), F.lit(0)) > 0
     pairs = F.flatten(F.transform(F.col("g_rects"), lambda a: F.transform(F.col("c_rects"), lambda b: G.iou(a, b))))
-    joined = g.join(c, on)
+    # positive scores need rects or offsets that overlap
+    meets = F.exists("g_rects", lambda a: F.exists("c_rects", lambda b: G.overlaps(a, b)))
+    apart = F.least("g_end", "c_end") > F.greatest("g_start", "c_start")
+    joined = g.join(c, on & F.when(has("g") & has("c"), meets).otherwise(~has("g") & ~has("c") & apart))
     iou = F.array_max(pairs)
     cover = F.array_min(F.transform(F.col("g_rects"), lambda r: G.coverage(r, F.col("c_rects"), 0.0)))
     joined = joined.withColumns({"_iou": F.when(has("g") & has("c"), iou), "_cover": F.when(has("g") & has("c"), cover)})

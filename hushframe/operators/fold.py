@@ -9,6 +9,7 @@ independent, so there is no shuffle, and whole documents are processed, so chunk
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -139,16 +140,16 @@ def _apply(tape: Tape, rule: Rule) -> None:
             continue
         if rule.guard is not None and (ok.has_token(value) or not rule.guard(value)):
             continue
-        if rule.kind == "court" and not ok.is_court(value, tape.text, start, end):
+        if rule.kind == "court" and not ok.verdict("court", value, tape.text, start, end):
             continue
         if rule.kind == "signers":
             names = [(start + n.start("value"), start + n.end("value")) for n in IN_ROW.finditer(value)]
             for s, e in names:
-                if ok.is_name_in(tape.text[s:e], tape.text, s, e):
+                if ok.verdict("name_in_text", tape.text[s:e], tape.text, s, e):
                     tape.note(rule.tag, s, e)
                     edits.append((s, e, token))
             continue
-        if rule.kind in ("signer", "below") and not ok.is_name_in(value, tape.text, start, end):
+        if rule.kind in ("signer", "below") and not ok.verdict("name_in_text", value, tape.text, start, end):
             continue
         if rule.kind == "phones":
             numbers = list(PHONE.finditer(value))
@@ -210,16 +211,29 @@ def _terms(tape: Tape, terms: list[str], tag: str, token: str) -> None:
 
 
 def _restore(tape: Tape, hits: list[Hit]) -> None:
-    """Put source text back for hits that are not masked."""
-    for h in sorted(hits, key=lambda h: -h.start):
-        try:
-            start, end = tape.at.index(h.start), tape.at.index(h.end)
-        except ValueError:
-            raise ValueError("source_boundary_missing") from None
-        if end <= start:
+    """Put source text back for hits that are not masked; hits that overlap are put back together.
+
+    Boundaries are in order, so a source position is found by bisection, and the text is made anew once."""
+    text, at, done, reach = [], [], 0, -1
+    for h in sorted(hits, key=lambda h: (h.start, -h.end)):
+        start, end = bisect_left(tape.at, h.start), bisect_left(tape.at, h.end)
+        if h.end <= h.start:
             raise ValueError("source_boundary_invalid")
-        tape.text = tape.text[:start] + tape.source[h.start : h.end] + tape.text[end:]
-        tape.at = tape.at[:start] + list(range(h.start, h.end + 1)) + tape.at[end + 1 :]
+        if h.end <= reach:
+            continue
+        if h.start < reach:  # goes on from the hit before
+            first, start = reach, done
+        elif start == len(tape.at) or tape.at[start] != h.start:
+            raise ValueError("source_boundary_missing")
+        else:
+            first = h.start
+        if end == len(tape.at) or tape.at[end] != h.end:
+            raise ValueError("source_boundary_missing")
+        text += [tape.text[done:start], tape.source[first : h.end]]
+        at += [*tape.at[done:start], *range(first, h.end)]
+        done, reach = end, h.end
+    tape.text = "".join([*text, tape.text[done:]])
+    tape.at = at + tape.at[done:]
 
 
 def cascade(text: str, options: Options = Options()) -> Tape:

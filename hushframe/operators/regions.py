@@ -41,7 +41,7 @@ def dictionary(rows: DataFrame, keep_disused: bool = False) -> DataFrame:
     sido = named.filter((F.col("level") == "sido") | (ending & ~F.col("name").contains(" "))).select(F.col("name").alias("sido")).distinct()
     # a name's province is its longest leading part that is one; provinces are single words, or two at most
     heads = F.array(F.substring_index("name", " ", 1), F.substring_index("name", " ", 2))
-    owned = named.withColumn("head", F.explode(F.array_distinct(heads))).join(F.broadcast(sido), F.col("head") == F.col("sido"))
+    owned = named.withColumn("head", F.explode(F.array_distinct(heads))).join(sido, F.col("head") == F.col("sido"))
     owner = owned.groupBy("name").agg(F.max_by("sido", F.length("sido")).alias("owner")).withColumnRenamed("name", "_n")
     tail = F.trim(F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.substr(F.col("name"), F.length("owner") + 1)))
     parts = named.join(owner, F.col("name") == F.col("_n"), "left").withColumn("tail", tail).withColumn("last", F.substring_index("tail", " ", -1))

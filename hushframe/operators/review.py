@@ -86,9 +86,9 @@ _ASKED = (
 )
 
 
-def candidates_for_model(masked: DataFrame, most: int = 25) -> DataFrame:
-    """Values that masked texts (doc_id, masked) still show after a label: (doc_id, tag, value, n, first, score, rank), the
-    ``most`` best of each document, by the label's weight, the value's length and how often it stands there."""
+def candidates_for_model(masked: DataFrame, most: int | None = None) -> DataFrame:
+    """Values that masked texts (doc_id, masked) still show after a label: (doc_id, tag, value, n, first, score, rank), ranked in each
+    document by the label's weight, the value's length and how often it stands there; all, or the ``most`` best."""
     parts = []
     masked = masked.filter(F.col("masked").rlike("[가-힣]"))  # every label has Hangul
     for tag, weight, pattern in _ASKED:
@@ -103,7 +103,8 @@ def candidates_for_model(masked: DataFrame, most: int = 25) -> DataFrame:
     firm = F.when(size.between(3, 12), 24).when(size.between(13, 24), 14).otherwise(6)
     scored = grouped.withColumn("score", F.col("weight") + F.when(F.col("tag") == "COMPANY", firm).otherwise(name) + F.least(F.col("n"), F.lit(5)) * 12)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("n"), "first", "value", "tag"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= most).drop("weight")
+    ranked = scored.withColumn("rank", rank).drop("weight")
+    return ranked if most is None else ranked.filter(F.col("rank") <= most)
 
 
 def safe_report(hits: DataFrame, keys: list[str]) -> DataFrame:

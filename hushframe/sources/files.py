@@ -96,6 +96,12 @@ def write_masked(masked: DataFrame, path: str) -> None:
     masked.write.mode("errorifexists").parquet(path)
 
 
+def write_texts(masked: DataFrame, folder: str, key: str = "doc_id", text: str = "masked") -> None:
+    """Every masked text as a UTF-8 file of its own, ``folder``/``key``=value/part-*.txt, ended by a line break; refuses to overwrite."""
+    rows = masked.select(F.col(key), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n\z", "").alias("value"))
+    rows.write.mode("errorifexists").partitionBy(key).text(folder)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A count-only report as JSON lines; refuses to overwrite."""
     report.write.mode("errorifexists").json(path)

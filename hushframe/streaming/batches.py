@@ -26,16 +26,23 @@ def mask_stream(stream: DataFrame, out: str, checkpoint: str, options: Options =
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def with_retries(items: DataFrame, work: Callable[[DataFrame], DataFrame], tries: int = 2) -> DataFrame:
+def with_retries(items: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str, tries: int = 2) -> DataFrame:
     """Item status (path, status, attempts) after working on items (path) up to ``tries`` times more than once.
 
-    ``work`` gives (path, ok); items that are not ok are tried again, in the next round only."""
-    left, done = items.select("path").dropDuplicates(["path"]), None
+    ``work`` gives (path, ok); items that are not ok are tried again, in the next round only.  Each round is written below
+    ``folder``, which all executors share, and read back: work is done once a round, and an item has one outcome."""
+    spark, left, rounds = items.sparkSession, items.select("path").dropDuplicates(["path"]), []
     for attempt in range(1, tries + 2):
-        result = work(left).select("path", F.when(F.col("ok"), "done").otherwise("failed").alias("status"), F.lit(attempt).alias("attempts"))
-        done = result if done is None else done.filter("status = 'done'").unionByName(result)
-        left = result.filter("status = 'failed'").select("path")
-    return done
+        result = work(left).select("path", F.when(F.coalesce("ok", F.lit(False)), "done").otherwise("failed").alias("status"), F.lit(attempt).alias("attempts"))
+        result.write.mode("errorifexists").parquet(f"{folder}/round-{attempt}")
+        rounds.append(spark.read.schema(result.schema).parquet(f"{folder}/round-{attempt}"))
+        left = rounds[-1].filter("status = 'failed'").select("path")
+        if left.isEmpty():
+            break
+    out = rounds[-1]
+    for earlier in rounds[:-1]:
+        out = out.unionByName(earlier.filter("status = 'done'"))
+    return out
 
 
 def summary(status: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """The recogniser cascade on literal texts: every rule group, order, offsets, profiles, options."""
 
+import time
+
 import pytest
 
 from hushframe.functions import policy
 from hushframe.functions import validators as ok
-from hushframe.operators import chunks
-from hushframe.operators.fold import Options, Tape, cascade, counts_by_tag, mask, mask_text, matches, parse_terms
+from hushframe.operators import chunks, processor
+from hushframe.operators.fold import Hit, Options, Tape, _restore, cascade, counts_by_tag, mask, mask_text, matches, parse_terms
+from hushframe.sources import files
 
 HEADER = "사건번호: 2021가합54321\n사건명: 대여금\n원고: 박영희\n피고: 최민수\n대법원 2019. 3. 4. 선고 2018다777 판결\n부산지방법원"
 
@@ -199,3 +202,47 @@ def test_approval_flow_on_request():
     tape = cascade("결재방식: 전결\n代決\n", Options(approvals=True))
     assert tape.counts["APPROVAL_FLOW"] == 2 and tape.text == "결재방식: [APPROVAL_FLOW]\n[APPROVAL_FLOW]"
     assert cascade("기안자 김철수", Options(profile="legal", approvals=True)).hits == []
+
+
+def test_restoring_is_linear_and_joins_overlaps():
+    text = "성명: 오나래 010-1234-5678 " * 3000
+    began = time.process_time()
+    tape = mask_text(text)
+    assert time.process_time() - began < 20
+    assert tape.text == "성명: 오나래 [PHONE] " * 3000 and len(tape.at) == len(tape.text) + 1
+    tape = Tape("abcdefghij")
+    tape.edit([(2, 8, "[X]")])
+    _restore(tape, [Hit("X", "cdef", 2, 8, "review", ""), Hit("X", "cdef", 2, 8, "review", "")])
+    assert tape.text == "abcdefghij" and tape.at == list(range(11))
+
+
+def test_a_processor_is_tried_again_and_replaced(spark):
+    def flaky(chunk, options):
+        tries[chunk] = tries.get(chunk, 0) + 1
+        if "never" in chunk or ("second" in chunk and tries[chunk] < 2):
+            raise OSError(chunk)
+        return chunk.upper(), {"UP": 1}
+
+    text = "first line\nsecond try\nnever 010-1234-5678\n"
+    tries = {}
+    out = processor.process(text, flaky, size=20, retries=2)
+    assert out.masked == "FIRST LINE\nSECOND TRY\nnever [PHONE]\n"
+    assert (out.retried, out.failed, out.fallback, dict(out.counts)) == (1, 1, 1, {"UP": 2, "PHONE": 1})
+    with pytest.raises(RuntimeError, match="CHUNK_PROCESSOR_FAILED"):
+        processor.process("never", flaky, required=True)
+
+    def always(chunk, options):
+        raise ValueError
+
+    docs = spark.createDataFrame([(1, "call 010-1234-5678", "old"), (2, None, "x")], "doc_id int, text string, masked string")
+    got = {r.doc_id: r for r in processor.mask_with(docs, always).collect()}
+    assert got[1].masked == "call [PHONE]" and (got[1].failed_chunks, got[1].fallback_chunks, got[1].counts) == (1, 1, {"PHONE": 1}) and got[2].masked == ""
+
+
+def test_masked_texts_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "가나\n다"), (2, None), (3, "끝\n")], "doc_id int, masked string")
+    files.write_texts(rows, f"{tmp_path}/out")
+    body = {p.parent.name: p.read_bytes().decode() for p in (tmp_path / "out").glob("doc_id=*/*.txt")}
+    assert body == {"doc_id=1": "가나\n다\n", "doc_id=2": "\n", "doc_id=3": "끝\n"}
+    with pytest.raises(Exception, match="(?i)exist"):
+        files.write_texts(rows, f"{tmp_path}/out")
