@@ -1,8 +1,9 @@
 """The engine's queries over the driver's tables, and SQL with the same results.
 
 The tables hold no page geometry, so queries on geometry read it off ``lineitem`` by a fixed rule: an order is a
-page, a line item a word or rect on it (``WORDS``).  Every query reads its whole tables, but
-for some that have the rows that their SQL can express; a query of that name and ``_all`` has them all.
+page, a line item a word or rect on it (``WORDS``).  Every query has all rows of its tables and works on whole texts; one whose
+result SQL cannot express has none, and is tested against plain Python.  ``cases`` adds queries over literal rows, for the
+rules that need Korean texts, which the tables do not have.
 """
 
 from __future__ import annotations
@@ -69,18 +70,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLAGSHIP = flagship
 
 
-@query(f"WITH {_SQL_CARD}, {_SQL_EMAIL} SELECT tag, count(*) AS n FROM (SELECT 'CARD' AS tag FROM card UNION ALL SELECT 'EMAIL' FROM mail) GROUP BY tag")
-def pii_counts_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of card numbers and mail addresses, by the cascade."""
-    return pii_counts_by_tag_all(spark, sf_dir).filter(F.col("tag").isin("CARD", "EMAIL"))
-
-
 @query()
-def pii_counts_by_tag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pii_counts_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every tag, by the cascade."""
     return fold.counts_by_tag(masked_documents(spark, sf_dir))
 
 
+@query(f"WITH {_SQL_CARD}, {_SQL_EMAIL} SELECT tag, count(*) AS n FROM (SELECT 'CARD' AS tag FROM card UNION ALL SELECT 'EMAIL' FROM mail) GROUP BY tag")
+def card_and_email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of card numbers and mail addresses, the two tags asked for, natively."""
+    found = native.detect(docs(spark, sf_dir).select("doc_id", "text"), tags=("CARD", "EMAIL"))
+    return found.select(F.inline("hits")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {_SQL_CARD} SELECT doc_id, s AS \"start\", e AS \"end\", tag, value FROM card")
 def pii_card_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers with their offsets, natively."""
@@ -98,16 +100,10 @@ def pii_email_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+(?:\s+[A-Za-z0-9._%+-]+)?\s*@\s*[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)+', '[EMAIL]', 'g') AS masked
-    FROM documents WHERE regexp_matches(text, '@')"""
+    r"""SELECT doc_id, regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+(?:\s+[A-Za-z0-9._%+-]+)?\s*@\s*[A-Za-z0-9-]+(?:\s*\.\s*[A-Za-z0-9-]+)+', '[EMAIL]', 'g') AS masked
+    FROM documents"""
 )
 def masked_email_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that contain an @, with mail addresses replaced by their token, natively."""
-    return _mail_masked(docs(spark, sf_dir).filter(F.col("text").contains("@")))
-
-
-@query()
-def masked_email_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts, with mail addresses replaced by their token, natively; a null text is the empty text."""
     return _mail_masked(docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))))
 
@@ -132,19 +128,10 @@ def masked_text_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TERMS = ("there", "and", "pour")
-_REPLACED = "text"
-for _t in sorted(_TERMS, key=len, reverse=True):
-    _REPLACED = f"replace({_REPLACED}, '{_t}', '[KEYWORD]')"
-
-
-@query(f"SELECT doc_id, sha256({_REPLACED}) AS masked_sha256 FROM documents WHERE NOT regexp_matches(text, '[0-9@]')")
-def keyword_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User keywords masked, longest first, in texts where no other rule can match."""
-    return _keywords_masked(docs(spark, sf_dir).filter(~F.col("text").rlike("[0-9@]")))
 
 
 @query()
-def keyword_masking_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keyword_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User keywords masked, longest first, in all texts, beside the tokens of the other rules."""
     return _keywords_masked(docs(spark, sf_dir))
 
@@ -164,10 +151,25 @@ def safe_report_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.safe_report(found, ["source", "lang"]).select("source", "lang", "n", "distinct_values")
 
 
-@query()
+_ASKED_NAMES = ", ".join(f"'{n}'" for n in policy.V.NAME_POOL)
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_value({_ASKED_NAMES}) AS pool, source FROM documents),
+v AS (SELECT doc_id, pool[doc_id % 8 + 1] AS a, pool[doc_id * 3 % 8 + 1] AS b, source || ' trading' AS firm FROM t),
+r AS (SELECT doc_id, 'LEGAL_PARTY' AS tag, 90 AS weight, a AS value, 0 AS s FROM v
+  UNION ALL SELECT doc_id, 'LEGAL_PARTY', 90, b, 3 + length(a) + 1 FROM v
+  UNION ALL SELECT doc_id, 'COMPANY', 50, firm, 3 + length(a) + 4 + length(b) + 1 FROM v),
+g AS (SELECT doc_id, tag, value, weight, count(*) AS n, min(s) AS first FROM r GROUP BY ALL),
+w AS (SELECT *, length(replace(value, ' ', '')) AS size FROM g)
+SELECT doc_id, tag, value, n, first::INTEGER AS first, (weight + CASE WHEN tag = 'COMPANY' THEN CASE WHEN size BETWEEN 3 AND 12 THEN 24 WHEN size BETWEEN 13 AND 24 THEN 14 ELSE 6 END
+  ELSE CASE WHEN size BETWEEN 2 AND 4 THEN 28 WHEN size BETWEEN 5 AND 6 THEN 18 ELSE 8 END END + least(n, 5) * 12)::INTEGER AS score FROM w""")
 def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values of each document that a second opinion is asked on."""
-    return review.candidates_for_model(masked_documents(spark, sf_dir, ("doc_id", "text")).select("doc_id", "masked"))
+    """The values that a second opinion is asked on: of each document a Korean line with two parties and its source as a firm."""
+    pool = F.array(*(F.lit(n) for n in policy.V.NAME_POOL))
+    a, b = (F.get(pool, ((F.col("doc_id") * k) % 8).cast("int")) for k in (1, 3))
+    line = F.concat(F.lit("원고 "), a, F.lit(" 피고 "), b, F.lit("\n상호: "), "source", F.lit(" trading"))
+    found = review.candidates_for_model(docs(spark, sf_dir).select("doc_id", line.alias("masked")))
+    return found.select("doc_id", "tag", "value", "n", F.col("first").cast("int").alias("first"), F.col("score").cast("int").alias("score"))
 
 
 @query()
@@ -538,13 +540,25 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
-@query()
+_EVENTS = ("create", "revise", "finalize", "retry", "complete", "fail_cleanup", "cleanup")
+_EVENT_NAMES = ", ".join(f"'{e}'" for e in _EVENTS)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS run_id, event_id AS seq, list_value({_EVENT_NAMES})[(event_id % 7 + event_id % 3 + 1) % 7 + 1] AS event,
+  CASE WHEN event_id % 5 < 3 THEN event_id % 4 END AS given, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT DISTINCT run_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS event, 'new' AS state, 0::BIGINT AS revision, '' AS why FROM e
+UNION ALL SELECT run_id, k, seq, event, CASE WHEN why = '' THEN after ELSE state END, CASE WHEN why <> '' THEN revision WHEN event = 'revise' THEN given WHEN event = 'create' THEN 1 ELSE revision END, why
+FROM (SELECT *, CASE WHEN state = 'completed' THEN 'replayed' WHEN event = 'revise' AND (state <> 'ready' OR given IS NULL OR given <> revision + 1) THEN 'stale_revision'
+    WHEN after IS NULL THEN 'illegal_transition' WHEN event = 'finalize' AND given IS NOT NULL AND given <> revision THEN 'stale_revision' ELSE '' END AS why
+  FROM (SELECT s.run_id, e.k, e.seq, e.event, e.given, s.state, s.revision, CASE s.state || ' ' || e.event WHEN 'new create' THEN 'ready' WHEN 'ready revise' THEN 'ready'
+      WHEN 'ready finalize' THEN 'finalizing' WHEN 'finalizing complete' THEN 'completed' WHEN 'finalizing retry' THEN 'ready' WHEN 'finalizing fail_cleanup' THEN 'cleanup_required'
+      WHEN 'cleanup_required cleanup' THEN 'completed' END AS after FROM s JOIN e ON e.run_id = s.run_id AND e.k = s.k + 1)))
+SELECT run_id, seq, event, state, why = '' AS accepted, why AS reason FROM s WHERE k > 0""")
 def run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of users taken as run sessions: which are accepted, and the state after each."""
     from ..streaming.batches import session_states
 
-    names = F.element_at(F.array(*(F.lit(x) for x in ("create", "revise", "finalize", "retry", "complete", "fail_cleanup", "cleanup"))), (F.col("event_id") % 7 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), names.alias("event"), F.lit(None).cast("long").alias("revision"))
+    names = F.get(F.array(*(F.lit(x) for x in _EVENTS)), ((F.col("event_id") % 7 + F.col("event_id") % 3 + 1) % 7).cast("int"))
+    given = F.when(F.col("event_id") % 5 < 3, F.col("event_id") % 4)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), names.alias("event"), given.alias("revision"))
     return session_states(rows)
-
-
