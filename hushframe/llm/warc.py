@@ -13,8 +13,12 @@ renamed when complete, so a task that is run again replaces it whole.  Records a
 read block and one record.  Archives are listed in a table, never on the driver.  Only digests are
 shuffled to find equal payloads; pages meet the repeated digests in a join that may be split.
 
+Folders are qualified by Hadoop, so one without a scheme lies on the cluster's own file system; workers reach it through
+``pyarrow.fs`` (file, hdfs, s3, gs, abfs and the Hadoop names of these).
+
 Edge cases: null html is the empty payload; null urls have no target header.  Pages without a page_id are
-never referred to while another has the payload.  Repeated rows give a record each.
+never referred to while another has the payload.  A record's id is its page_id with its payload's digest, so
+rows of one page_id with several payloads are told apart; repeated rows give a record each, of the same id.
 """
 
 from __future__ import annotations
@@ -42,11 +46,30 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
+#: Names that Hadoop has for file systems, and theirs in ``pyarrow.fs``.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasb": "abfss", "wasbs": "abfss"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and authority that Hadoop takes it to have."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def location(uri: str) -> str:
+    """A Hadoop URI as ``pyarrow.fs`` wants it."""
+    scheme, parted, rest = uri.partition(":")
+    scheme = SCHEMES.get(scheme, scheme)
+    if scheme == "file":  # Hadoop writes file:/path
+        return "file:///" + rest.lstrip("/")
+    return scheme + parted + rest
+
+
 class _File:
     """A file that appears under its name only when it is complete."""
 
     def __init__(self, uri: str) -> None:
-        self.fs, self.path = fs.FileSystem.from_uri(uri)
+        self.fs, self.path = fs.FileSystem.from_uri(location(uri))
         context = TaskContext.get()
         self.part = f"{self.path}.{context.taskAttemptId() if context else 0}.part"
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
@@ -63,7 +86,7 @@ class _File:
 
 
 def _open(uri: str) -> BinaryIO:
-    files, path = fs.FileSystem.from_uri(uri)
+    files, path = fs.FileSystem.from_uri(location(uri))
     return files.open_input_file(path)
 
 
@@ -71,15 +94,19 @@ def _safe(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def _record_id(page: int | None, digest: str) -> str:
+    return f"<urn:page:{'' if page is None else page}:{digest}>"
+
+
 def _record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: int | None) -> bytes:
     """One record: an HTTP response with the payload, or a revisit without."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    head = ["WARC-Type: " + ("response" if refers is None else "revisit"), f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {DATE}"]
+    head = ["WARC-Type: " + ("response" if refers is None else "revisit"), f"WARC-Record-ID: {_record_id(page, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + _safe(url))
     head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
     if refers is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {_record_id(refers, digest)}", f"WARC-Profile: {PROFILE}"]
         payload = b""
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + len(payload)}"]
     return VERSION + b"\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
@@ -185,7 +212,7 @@ def read_record(member: bytes) -> dict:
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
     if fields["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"the payload of {fields['warc-record-id']} does not have its digest")
-    number = lambda urn: int(x) if (x := urn.removeprefix("<urn:page:").removesuffix(">")) else None
+    number = lambda urn: int(x) if (x := urn.removeprefix("<urn:page:").partition(":")[0]) else None
     return {
         "page_id": number(fields["warc-record-id"]),
         "url": fields.get("warc-target-uri"),
@@ -245,7 +272,7 @@ def _one_each(archives: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write whole-file gzip archives of ``pages`` (page_id, url, html) to ``folder``; their list."""
-    return stash(plan_records(pages).mapInArrow(_writer(folder), _LIST), "archives")
+    return stash(plan_records(pages).mapInArrow(_writer(qualified(pages.sparkSession, folder)), _LIST), "archives")
 
 
 def normalise(archives: DataFrame) -> DataFrame:
@@ -254,10 +281,17 @@ def normalise(archives: DataFrame) -> DataFrame:
 
 
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of normalised archives."""
+    """The records of normalised archives; a revisit has the payload of the response that it refers to."""
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     schema = schema if with_payload else schema.replace("payload binary, ", "")
-    return _one_each(archives.select("path")).mapInArrow(_reader(with_payload), schema)
+    records = _one_each(archives.select("path")).mapInArrow(_reader(with_payload), schema)
+    if not with_payload:
+        return records
+    held = records.filter("record_type = 'response'").select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), F.col("payload").alias("_b"))
+    wanted = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("_w"), F.col("payload_digest").alias("_wd")).distinct()
+    held = held.join(wanted, (F.col("_p") == F.col("_w")) & (F.col("_d") == F.col("_wd")), "left_semi").dropDuplicates(["_p", "_d"])
+    both = records.join(held, (F.col("refers_to") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
+    return both.withColumn("payload", F.coalesce("payload", "_b")).drop("_p", "_d", "_b")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,22 @@ def test_archives_round_trip(spark):
         expected.append((i, len(body), hashlib.sha1(body).hexdigest(), "response" if to is None else "revisit", to))
     key = lambda t: str(t)
     assert sorted(((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got), key=key) == sorted(expected, key=key)
-    assert {bytes(x.payload) for x in got if x.record_type == "response"} == {(h or "").encode() for _, _, h in rows}
+    # revisits have the payload of what they refer to
+    assert sorted((str(x.page_id), bytes(x.payload)) for x in got) == sorted((str(i), (h or "").encode()) for i, _, h in rows)
+
+
+def test_one_page_id_with_several_payloads(spark):
+    a, b = "a" * 1500, "b" * 1500
+    rows = [(1, "u", a), (1, "v", b), (0, "w", a), (0, "x", b)]
+    normal = warc.normalise(warc.write(pages(spark, rows), fresh_dir(spark, "t")))
+    got = sorted((x.url, x.record_type, x.refers_to, bytes(x.payload).decode()[:1]) for x in warc.read(normal).collect())
+    assert got == [("u", "response", None, "a"), ("v", "response", None, "b"), ("w", "revisit", 1, "a"), ("x", "revisit", 1, "b")]
+
+
+def test_locations(spark):
+    assert warc.location("s3a://bucket/a/b") == "s3://bucket/a/b" and warc.location("hdfs://n:8020/a") == "hdfs://n:8020/a"
+    assert warc.location("file:/tmp/x") == warc.location("file:///tmp/x") == "file:///tmp/x"
+    assert warc.location(warc.qualified(spark, "/tmp/x")) == "file:///tmp/x"
 
 
 def test_normaliser_reads_streams_and_members(tmp_path):
@@ -57,7 +72,7 @@ def test_normaliser_reads_streams_and_members(tmp_path):
         assert n == 4 and size == len(data) and sum(int(x[1]) for x in lines) == size
         for k, (start, length, name, kind) in enumerate(lines):
             got = warc.read_record(data[int(start) : int(start) + int(length)])
-            assert got["page_id"] == k and name == f"<urn:page:{k}>" and kind == "response" and len(got["payload"]) == k * 700_000 + 3
+            assert got["page_id"] == k and name == f"<urn:page:{k}:{got['payload_digest']}>" and kind == "response" and len(got["payload"]) == k * 700_000 + 3
 
 
 def test_empty_archive(spark):
