@@ -13,24 +13,25 @@ import pytest
 
 from hushframe.functions import policy
 from hushframe.operators import fold
-from hushframe.plans import cases, catalogue
+from hushframe.plans import cases, catalogue, small_cases
 from tests.compare import same_rows
 from tests.conftest import TABLES
 
 ROOT = Path(__file__).resolve().parent.parent
 
 
-ALL = catalogue.SQL | cases.SQL
+ALL = catalogue.SQL | cases.SQL | small_cases.SQL
+QUERIES = catalogue.QUERIES | cases.QUERIES | small_cases.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_query_equals_sql(spark, name):
-    same_rows(spark, (catalogue.QUERIES | cases.QUERIES)[name], ALL[name])
+    same_rows(spark, QUERIES[name], ALL[name])
 
 
 def test_queries_without_sql_are_the_ones_tested_below():
     assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"pii_counts_by_tag", "masked_text_all_rules", "masked_text_pseudonyms", "keyword_masking", "masking_chunks", "matched_occurrences", "routed_segments"}
-    assert set(cases.QUERIES) == set(cases.SQL)
+    assert set(cases.QUERIES) == set(cases.SQL) and set(small_cases.QUERIES) == set(small_cases.SQL)
 
 
 #: The rules that can match a text without Hangul, restated without look-arounds on rewritten text: in order, each on what the
