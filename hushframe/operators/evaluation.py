@@ -24,7 +24,7 @@ def folds(documents: DataFrame, column: str, count: int = 5, seed: str = "public
 
 
 def ratio(part: Column, whole: Column) -> Column:
-    """Null where there is nothing to divide by."""
+    """Null where the divisor is zero."""
     return F.try_divide(part.cast("double"), F.when(whole != 0, whole.cast("double")))
 
 

@@ -108,7 +108,7 @@ def held_out(documents: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
 
 
 def disjoint(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-    """One row: whether two sets share nothing."""
+    """One row: whether two sets have no value in common."""
     return left.select(column).intersect(right.select(column)).agg((F.count(F.lit(1)) == 0).alias("disjoint"))
 
 

@@ -112,7 +112,7 @@ def at_or_before(points: DataFrame, markers: DataFrame, key: str, at: str, value
 
 
 def carried(prior: DataFrame, after: DataFrame, keys: list[str], share: float = 0.1, most: float = 0.5) -> DataFrame:
-    """(prior_id, after_id): occurrences of two revisions that match each other and nothing else.
+    """(prior_id, after_id): occurrences of two revisions that match each other and no others.
 
     Equal keys, and rects alike within a tenth of the shortest side, 0.5 at most."""
     a = prior.select(F.col("id").alias("prior_id"), F.col("rect").alias("_a"), *(F.col(k).alias("_a" + k) for k in keys))

@@ -96,7 +96,7 @@ def page_cells(drawings: DataFrame) -> DataFrame:
 
 
 def split_words(words: list[tuple[str, Box]], drawings: list[Box], characters: list[tuple[str, Box]]) -> list[tuple[str, Box]]:
-    """Words that reach over several cells, taken apart by their characters; all or nothing.
+    """Words that reach over several cells, taken apart by their characters; all or none.
 
     The words that lie in affected cells must follow one another, and hold the cells' characters exactly."""
     grid = cells(drawings)

@@ -205,7 +205,7 @@ def identity_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- geometry: a rect, what lies on it, the share that is covered ---------------------------------------------------------------
 
 COVERED = [
-    ("nothing", [], 0.0),
+    ("none", [], 0.0),
     ("all", [(0.0, 0.0, 10.0, 10.0)], 1.0),
     ("two_halves", [(0.0, 0.0, 5.0, 10.0), (5.0, 0.0, 10.0, 10.0)], 1.0),
     ("overlapping", [(0.0, 0.0, 6.0, 10.0), (4.0, 0.0, 8.0, 10.0)], 0.8),

@@ -207,7 +207,7 @@ def repeated_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l.quality, count(*) AS n, count_if(f.flag)::BIGINT AS flagged, CASE WHEN count(*) > 0 THEN count_if(f.flag) / count(*)::DOUBLE END AS rate, 'ok' AS status
 FROM labels l JOIN (SELECT doc_id, regexp_matches(text, '[#$%&|*]') AS flag FROM documents) f USING (doc_id) GROUP BY l.quality""")
 def flag_rates_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents of each label a simple flag finds; ratios are null where there is nothing to divide by."""
+    """How many documents of each label a simple flag finds; ratios are null where the divisor is zero."""
     flags = docs(spark, sf_dir).select("doc_id", F.col("text").rlike("[#$%&|*]").alias("flag"))
     n = table(spark, sf_dir, "labels").join(flags, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("flagged"))
     return n.withColumns({"rate": evaluation.ratio(F.col("flagged"), F.col("n")), "status": evaluation.status(F.col("n"))})

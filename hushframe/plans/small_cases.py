@@ -75,7 +75,7 @@ def _string_cases() -> list[Column]:
 
 _GEOMETRY = [
     ("X14 valid", "true"), ("X14 empty", "false"), ("X14 not a number", "false"), ("X16 iou", "0.25"), ("X18 faults", '["incomplete_coverage","protected_neighbor_intrusion"]'),
-    ("X18 nothing applied", '["missing_geometry"]'), ("X19 distance", "5.0"), ("X20 gap", "3.0"), ("X20 gap of touching", "0.0"), ("X21 same row", "true"),
+    ("X18 none applied", '["missing_geometry"]'), ("X19 distance", "5.0"), ("X20 gap", "3.0"), ("X20 gap of touching", "0.0"), ("X21 same row", "true"),
     ("X21 other row", "false"), ("F-7 part of a word", '{"x0":4.0,"y0":0.0,"x1":8.0,"y1":10.0}'), ("A7 union", '{"x0":0.0,"y0":0.0,"x1":15.0,"y1":15.0}'), ("J4 contains", "true"),
     ("J5 overlap", "true"), ("J5 touching is none", "false"), ("X15 micro", "1500001"),
 ]

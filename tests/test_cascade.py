@@ -102,7 +102,7 @@ def test_keywords_and_tokens():
     with pytest.raises(ValueError):
         Options(profile="other")
     with pytest.raises(ValueError):
-        Options(off=frozenset({"nothing"}))
+        Options(off=frozenset({"unknown"}))
     assert cascade("a@b.kr", Options(off=frozenset({"email"}))).hits == []
 
 

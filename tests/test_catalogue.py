@@ -167,7 +167,7 @@ TEXTS = {
     4: ("and@there.org for 5", "[EMAIL] for 5"),
     5: ("", ""),
     6: (None, ""),
-    7: ("nothing, 1 @ all", "nothing, 1 @ all"),
+    7: ("plain, 1 @ all", "plain, 1 @ all"),
 }
 
 

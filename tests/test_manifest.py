@@ -56,7 +56,7 @@ def test_located(spark):
 
 
 def test_matching_context(spark):
-    c = spark.createDataFrame([(1, 0, "nothing"), (1, 1, "Hong Gil-dong came"), (1, 2, "hong gildong")], "doc_id int, chunk_index int, text string")
+    c = spark.createDataFrame([(1, 0, "other words"), (1, 1, "Hong Gil-dong came"), (1, 2, "hong gildong")], "doc_id int, chunk_index int, text string")
     v = spark.createDataFrame([(1, "Hong Gil-dong"), (1, "HONG GILDONG"), (1, "absent")], "doc_id int, value string")
     got = {r.value: (r.chunk_index, r.score) for r in chunks.matching_context(v, c).collect()}
     assert got == {"Hong Gil-dong": (1, 100), "HONG GILDONG": (1, 90)}
