@@ -1,9 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each round sends, for every vertex, its larger neighbours and then all its neighbours to the smallest
-one, until nothing changes; the rounds needed grow with the logarithm of the longest chain.  Every
+one, until no edge changes; the rounds needed grow with the logarithm of the longest chain.  Every
 round is a grouped minimum and one join (whose hot partitions adaptive execution may split), written
-to the shared folder, so nothing is collected and a lost executor costs one round.
+to the shared folder, so no edge is collected and a lost executor costs one round.
 """
 
 from __future__ import annotations

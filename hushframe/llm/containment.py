@@ -15,7 +15,7 @@ Scale: the index holds a quarter of the items' shingles; it is broadcast only wh
 are at most ``BROADCAST_ROWS``, else joined by hash.  Only documents with a candidate are verified.
 
 An item is its id and its text: one id with two texts is two items, each found by itself, whose id is then listed twice.
-Edge cases: null or empty items and documents match nothing.  An item of one to four words is found only
+Edge cases: null or empty items and documents have no match.  An item of one to four words is found only
 as a document of exactly these words, never inside a longer one.  Repeated items and rows are each judged
 alike; rows without a doc_id or item_id are judged as well, and an item without an id counts but is not listed.  Columns are never taken from the input
 by a clashing name; ``clean`` returns its input's columns.

@@ -135,7 +135,7 @@ def _drop_named(root: Node) -> None:
 
     That is one that holds the article or main of the most text outside links, or one of half as much, or, if there is
     none elsewhere, over half of the page's text outside links.  One named for comments and the like must also hold an
-    h1 or main, or nine tenths of that text.  Where nothing would be left, fewer or none are dropped.
+    h1 or main, or nine tenths of that text.  Where no text would be left, fewer or none are dropped.
     """
     nodes = _in_order(root)
     if not any(n.named for n in nodes):
@@ -434,7 +434,7 @@ def core(root: Node) -> Node | None:
             continue
         reach = [c.density >= threshold for c in kids]
         if id(node) in holds:
-            # between articles, what reaches the threshold; around their common parent, nothing
+            # between articles, what reaches the threshold; around their common parent, none
             between = id(node) not in common or not any(id(c) in common for c in kids)
             goes = [id(c) in holds or (between and r) for c, r in zip(kids, reach, strict=True)]
         elif top[id(node)] is node:

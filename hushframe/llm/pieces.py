@@ -48,7 +48,7 @@ def processor(path: str):
 
 @cache
 def chunked(path: str) -> bool:
-    """Whether the model marks spaces, changes nothing else, and has no piece that crosses a marker."""
+    """Whether the model marks spaces, makes no other change, and has no piece that crosses a marker."""
     sp = processor(path)
     if any(re.search(f"[^{MARK}]{MARK}", sp.id_to_piece(i)) for i in range(sp.get_piece_size())):
         return False
@@ -91,7 +91,7 @@ class ChunkTable:
 
     @property
     def lone(self) -> list[int]:
-        """Ids of a marker that nothing follows: those of a final space without the ids before it."""
+        """Ids of a marker at the very end: those of a final space without the ids before it."""
         before = self.sp.encode("a")
         return self.sp.encode("a ")[len(before) :]
 

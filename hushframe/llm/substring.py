@@ -24,7 +24,7 @@ The texts are dealt by document, compressed, in one exchange which all steps tha
 is written to the shared folder with the digests that the check compares.
 
 Edge cases: null and empty texts have no words; texts of fewer than ``K`` words lose none.  Rows without a
-doc_id come before and after nothing: they lose no words and remove none.  Rows of equal doc_id do
+doc_id have no place in the order: they lose no words and remove none.  Rows of equal doc_id do
 not remove from each other; repeated rows are treated alike.  ``dedup`` keeps the input's columns.
 """
 

@@ -119,7 +119,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     groups = stash(groups.select("any", F.col("any")[0].alias("first"), "n", "bad", (F.col("bad") >= min_confidence * F.col("n")).alias("alone")), "tokens")
     rules = groups.filter("alone").select(F.array("first").alias("firsts"), (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / n).alias("support"))
 
-    # a token of every URL says nothing beside others
+    # a token of every URL adds no evidence beside others
     rest = groups.filter(~F.col("alone") & (F.col("n") < n)).select("first")
     reduced = seen.join(rest, F.col("token") == F.col("first")).groupBy("b", "bad").agg(F.collect_list("token").alias("_t"))
     items = F.concat("_t", F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")))

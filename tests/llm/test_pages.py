@@ -202,7 +202,7 @@ def test_mined_rules(spark):
     for k in range(800):
         site, part = r.choice(["pills", "news", "shop"]), r.choice(["en", "fr"])
         rows.append((f"http://{site}.x{k % 7}.net/{part}/{k}.html?id={k}", site == "pills" and part == "fr"))
-    rows += [(None, True), ("nothing", False), ("http://a.net/", None)]
+    rows += [(None, True), ("no url", False), ("http://a.net/", None)]
     mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), min_count=10)
     found = {frozenset(t[0] for t in x.tokens) for x in mined.collect()}
     assert frozenset({"host=pills", "path=fr"}) in found and not any(len(x) == 1 for x in found)
