@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
+import math
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How deep nested metadata is kept.
+METADATA_DEPTH = 8
+
 
 def clean(value: Column) -> Column:
     """White space collapsed, outer separators taken off."""
@@ -105,3 +110,49 @@ def hmac_sha256(value: Column, key: bytes) -> Column:
 
 def hmac_reference(value: str, key: bytes) -> str:
     return hmac.new(key, value.encode(), hashlib.sha256).hexdigest()
+
+
+def bounded(value: Column, otherwise: int, least: int) -> Column:
+    """An option that must not be under a least value: what stands in for it if it is, or is null."""
+    return F.when(value >= least, value).otherwise(F.lit(otherwise))
+
+
+def _canonical(value: object, depth: int = 0) -> object:
+    if depth > METADATA_DEPTH:
+        return None
+    if isinstance(value, dict):
+        return {k: _canonical(v, depth + 1) for k, v in sorted(value.items())}
+    if isinstance(value, list):
+        return [_canonical(v, depth + 1) for v in value]
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
+def canonical_metadata(document: Column) -> Column:
+    """Nested metadata, as JSON text, with keys in order, no spaces, nulls for numbers that are not finite and for what lies deeper than
+    ``METADATA_DEPTH``; null for what is no JSON.  In Arrow batches, as the JVM has no type for it."""
+
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            try:
+                out.append(None if v is None else json.dumps(_canonical(json.loads(v)), separators=(",", ":"), ensure_ascii=False, sort_keys=True))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(document)
+
+
+def aligned(text: Column) -> Column:
+    """(text, offsets): white space as single spaces, none at either end, and the place in the source of each character."""
+    letters = F.filter(
+        F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.cast("int").alias("i"))), lambda x: x["c"] != ""
+    )
+    blank = lambda c: c.rlike(r"(?U)^\s$")
+    kept = F.filter(F.transform(letters, lambda x, i: F.struct(x["c"].alias("c"), x["i"].alias("i"), F.get(letters, i - 1)["c"].alias("b"))), lambda x: ~blank(x["c"]) | ~F.coalesce(blank(x["b"]), F.lit(True)))
+    n = F.size(kept)
+    ends = F.coalesce(blank(F.get(kept, n - 1)["c"]), F.lit(False))
+    kept = F.slice(kept, 1, F.when(ends, n - 1).otherwise(n))
+    plain = F.array_join(F.transform(kept, lambda x: F.when(blank(x["c"]), " ").otherwise(x["c"])), "")
+    return F.struct(plain.alias("text"), F.transform(kept, lambda x: x["i"]).alias("offsets"))

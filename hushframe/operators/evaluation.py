@@ -151,3 +151,25 @@ def targets(metrics: DataFrame) -> DataFrame:
         met = {"=": v == goal, ">=": v >= goal, "<=": v <= goal}[how]
         rows.append(F.struct(F.lit(name).alias("name"), v.alias("value"), F.lit(goal).alias("target"), F.lit(how).alias("comparison"), F.coalesce(met, F.lit(False)).alias("met")))
     return metrics.select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
+
+def accuracy(gold: DataFrame, candidates: DataFrame, matched: DataFrame, negatives: DataFrame) -> DataFrame:
+    """One row: fixed-region recall and omissions, body recall and automatic rate, false positives, over all documents.
+
+    gold: doc_id, id, required, fixed (counts towards the zero-omission target); candidates: doc_id, id, page_index, category, rects,
+    action; matched: doc_id, gold_id, cand_id; negatives: doc_id, id, page_index, category, rects."""
+    m = matched.select("doc_id", F.col("gold_id").alias("id"), "cand_id")
+    c = candidates.select("doc_id", F.col("id").cast("string").alias("cand_id"), "action")
+    g = gold.filter("required").withColumn("id", F.col("id").cast("string")).join(m, ["doc_id", "id"], "left").join(c, ["doc_id", "cand_id"], "left")
+    seen, auto = F.col("cand_id").isNotNull(), F.coalesce(F.col("action") == "mask", F.lit(False))
+    sums = g.agg(
+        F.count_if("fixed").alias("fixed"), F.count_if(F.col("fixed") & seen).alias("fixed_found"), F.count_if(~F.col("fixed")).alias("body"),
+        F.count_if(~F.col("fixed") & seen).alias("body_found"), F.count_if(~F.col("fixed") & auto).alias("body_automatic"),
+    )
+    false = hit_negatives(negatives, candidates).select("doc_id", "id").distinct().agg(F.count(F.lit(1)).alias("false"))
+    parts = [sums, false, negatives.agg(F.count(F.lit(1)).alias("negatives"))]
+    names = [n for part in parts for n in part.columns]
+    rows = [part.select(*(F.col(n) if n in part.columns else F.lit(0).cast("long").alias(n) for n in names)) for part in parts]
+    out = rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(*(F.sum(n).alias(n) for n in names))
+    rates = {"omissions": F.col("fixed") - F.col("fixed_found"), "fixed_recall": ratio(F.col("fixed_found"), F.col("fixed")), "body_recall": ratio(F.col("body_found"), F.col("body"))}
+    return out.withColumns(rates | {"automatic_rate": ratio(F.col("body_automatic"), F.col("body")), "false_rate": ratio(F.col("false"), F.col("negatives"))})

@@ -185,3 +185,23 @@ def kept_exclusions(exclusions: DataFrame, masks: DataFrame) -> DataFrame:
 def anonymised(rows: DataFrame, columns: list[str], salt: str) -> DataFrame:
     """Identifiers replaced by salted hashes, equal ones alike."""
     return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.concat(F.lit("id_"), F.left(F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256), F.lit(16)))) for c in columns})
+
+
+def same_queue(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """(doc_id, same): whether two review queues (doc_id, ordinal, columns) have equal rows in equal places."""
+    both = left.select("doc_id", "ordinal", F.struct(*columns).alias("l")).join(right.select("doc_id", "ordinal", F.struct(*columns).alias("r")), ["doc_id", "ordinal"], "full_outer")
+    return both.groupBy("doc_id").agg(F.every(F.col("l").eqNullSafe(F.col("r"))).alias("same"))
+
+
+def page_ordinals(targets: DataFrame, order: list[str]) -> DataFrame:
+    """Review targets (doc_id, page, ...) with their ``nth`` of the page, from 1 on."""
+    return targets.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*order)))
+
+
+def target_rects(reviews: DataFrame, occurrences: DataFrame, regions: DataFrame, segments: DataFrame) -> DataFrame:
+    """Reviews (doc_id, review_id, kind, target) with where their target lies: an occurrence's or region's page and rects, or a segment's first page."""
+    places = occurrences.select("doc_id", F.lit("occurrence").alias("kind"), F.col("occurrence_id").alias("target"), "page", "rects")
+    places = places.unionByName(regions.select("doc_id", F.lit("region").alias("kind"), F.col("region_id").alias("target"), "page", "rects"))
+    none = F.lit(None).cast(places.schema["rects"].dataType)
+    places = places.unionByName(segments.select("doc_id", F.lit("segment").alias("kind"), F.col("segment_id").alias("target"), F.col("page_start").alias("page"), none.alias("rects")))
+    return reviews.join(places, ["doc_id", "kind", "target"], "left")

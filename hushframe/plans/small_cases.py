@@ -4,6 +4,9 @@ A scalar case names the inventory row it shows; its result is given as text (arr
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scoring
 from ..functions import text as X
-from ..operators import chunks, evaluation, layout, protocol, regions, residual, review, routing, spans
+from ..operators import chunks, evaluation, extensions, layout, processor, protocol, regions, residual, review, routing, spans
+from ..sources import archives, files
 from .cases import _RECTS, expected
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +60,7 @@ _STRINGS = [
     ("X1 clean", "a b"), ("X2 compact", "가나12"), ("X7 dashes", "1-2-34"), ("X8 inside token", "true"), ("X8 word of its own", "false"),
     ("X13 hmac", X.hmac_reference("값", b"k")), ("X22 page number", "3"), ("X22 of ten", "3"), ("X22 none", None),
     ("X29 yes", "true"), ("X29 answer line", "false"), ("X29 none", None), ("X28 codes", '["a","c"]'), ("U2 value hidden", "x value: [REDACTED]"),
+    ("X6 aligned", '{"text":"a b c","offsets":[1,2,5,6,7]}'), ("X6 blank", '{"text":"","offsets":[]}'), ("X26 in bounds", "50"), ("X26 under", "1200"), ("X27 metadata", '{"a":[1,{"c":null}],"b":1.5}'), ("X27 no json", None),
     ("F-5 quoted", "true"), ("F-5 closed before", "false"), ("F-9 evidence", "pattern"),
 ]
 
@@ -66,6 +71,7 @@ def _string_cases() -> list[Column]:
         X.clean(lit("  a   b ;:")), X.compact(lit("가 나-1·2")), X.plain_dashes(lit("1–2 － 3​4")), X.inside_token(lit("ab12"), lit(1), lit(3)), X.inside_token(lit("a b c"), lit(2), lit(3)),
         X.hmac_sha256(lit("값"), b"k"), X.page_number(lit("- 3 -")), X.page_number(lit("3/10")), X.page_number(lit("page 3")),
         X.yes_or_no(lit("Yes.")), X.yes_or_no(lit("I think\nAnswer: no, not yes")), X.yes_or_no(lit("maybe")), F.to_json(X.safe_codes(_texts("a", "b", "c", "a"), ["c", "a"])), X.without_values(lit("x value: secret 1")),
+        F.to_json(X.aligned(lit(" a \n\tb c  "))), F.to_json(X.aligned(lit("  "))), X.bounded(lit(50), 1200, 40), X.bounded(lit(39), 1200, 40), X.canonical_metadata(lit('{"b": 1.5, "a": [1, {"c": NaN}]}')), X.canonical_metadata(lit("{")),
         X.quoted(lit("“abc”"), lit(1), lit(4)), X.quoted(lit("“x” abc"), lit(4), lit(7)), X.evidence(lit("regex_x"), {"regex": "pattern", "re": "other"}),
     ]
     return columns
@@ -389,3 +395,154 @@ def reading_text_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = [(0, 0), (10, 3), (20, 1), (0, 20), (8, 22), (0, 60)]
     words = spark.createDataFrame([(1, i, (float(x), float(y), x + 5.0, y + 10.0)) for i, (x, y) in enumerate(places)], f"doc_id int, word_index int, rect {_RECT}")
     return layout.reading_text(layout.lines(words.withColumn("text", F.col("word_index").cast("string")), ["doc_id"]), ["doc_id"]).select("line", "text")
+
+
+# --- what plugs in -------------------------------------------------------------------------------------------------------------------
+
+def _upper(text: str) -> list[tuple[int, int, str, float | None]]:
+    """A detector of words in capitals; it fails on texts with an exclamation mark."""
+    if "!" in text:
+        raise ValueError
+    return [(i, i + len(w), "UPPER", 0.5) for i, w in _words(text) if w.isupper()]
+
+
+def _words(text: str) -> list[tuple[int, str]]:
+    at, out = 0, []
+    for w in text.split():
+        at = text.index(w, at)
+        out.append((at, w))
+        at += len(w)
+    return out
+
+
+@_table("detector_hook_cases", ("doc_id", "found", "failed"), [(1, "2-4 UPPER,7-8 UPPER", False), (2, "", True), (3, "", False)])
+def detector_hook_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.16: a detector of the caller's own; one that fails on a text has found none of its values."""
+    docs = spark.createDataFrame([(1, "a BC d E"), (2, "STOP !"), (3, None)], "doc_id int, text string")
+    shown = F.transform("found", lambda h: F.concat(h["start"], F.lit("-"), h["end"], F.lit(" "), h["tag"]))
+    return extensions.detect_with(docs, _upper).select("doc_id", F.array_join(shown, ",").alias("found"), F.col("detector_failed").alias("failed"))
+
+
+def _shout(chunk: str, options: object) -> tuple[str, dict[str, int]]:
+    if "never" in chunk:
+        raise ValueError
+    return chunk.upper(), {"UP": 1}
+
+
+@_table("chunk_processor_cases", ("doc_id", "masked", "failed_chunks", "fallback_chunks"), [(1, "FIRST LINE\nnever [PHONE]", 1, 1), (2, "A", 0, 0)])
+def chunk_processor_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.15, 2.16: a chunk processor of the caller's own, and the rules where it fails every time."""
+    docs = spark.createDataFrame([(1, "first line\nnever 010-1234-5678"), (2, "a")], "doc_id int, text string")
+    return processor.mask_with(docs, _shout, size=19).select("doc_id", "masked", "failed_chunks", "fallback_chunks")
+
+
+@_table("model_answer_cases", ("value", "confirmed"), [("a", True), ("b", False), ("c", None), ("d", None)])
+def model_answer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.16: a model's answers; a failure, and what is past the limit of calls, has none."""
+    answers = {"a": "YES", "b": "Answer: no"}
+    rows = spark.createDataFrame([("T", "a", 1), ("T", "b", 2), ("T", "c", 3), ("T", "d", 4)], "tag string, value string, rank int")
+    return extensions.asked(rows, lambda tag, value: answers[value], most=3).select("value", "confirmed")
+
+
+@_table("table_function_cases", ("doc_id", "tag", "value", "start_at"), [(1, "EMAIL", "a@b.kr", 4), (1, "PHONE", "010-1234-5678", 11)])
+def table_function_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.16: the rules as a table function in SQL."""
+    extensions.register(spark, "pii_hits")
+    spark.createDataFrame([(1, "to: a@b.kr 010-1234-5678"), (2, None), (3, "none")], "doc_id int, text string").createOrReplaceTempView("table_function_texts")
+    return spark.sql("SELECT doc_id, tag, value, start_at FROM table_function_texts, LATERAL pii_hits(text)")
+
+
+@_table("out_of_fold_cases", ("fold", "trained", "held"), [(0, 3, 2), (1, 4, 1), (2, 3, 2)])
+def out_of_fold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.16, E6: an evaluator that sees each fold once."""
+    documents = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 2), (5, 2)], "doc_id int, fold int")
+    count = lambda t, h: t.agg(F.count(F.lit(1)).alias("trained")).withColumn("k", F.lit(1)).join(h.agg(F.count(F.lit(1)).alias("held")).withColumn("k", F.lit(1)), "k").drop("k")
+    return extensions.out_of_fold(documents, count, 3)
+
+
+@_table("clipped_review_cases", ("target_id", "page_start", "page_end", "kind", "whole"), [("s1", 0, 2, "acknowledge", False), ("s2", 3, 3, "acknowledge", False), ("s2", 4, 5, "boundary", True)])
+def clipped_review_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing reviews clipped to the segments that they reach."""
+    reviews = spark.createDataFrame([("d", "r1", "boundary", 0, 3, True), ("d", "r2", "boundary", 4, 5, False)], "doc_id string, review_id string, kind string, page_start int, page_end int, common_only boolean")
+    found = spark.createDataFrame([("d", "s1", 0, 2), ("d", "s2", 3, 9)], "doc_id string, segment_id string, page_start int, page_end int")
+    out = routing.clipped_reviews(reviews, found)
+    return out.select("target_id", "page_start", "page_end", "kind", F.col("review_id").isin("r1", "r2").alias("whole"))
+
+
+@_table("review_queue_cases", ("doc_id", "same"), [(1, True), (2, False), (3, False)])
+def review_queue_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review queues that are equal place by place."""
+    schema = "doc_id int, ordinal int, target string"
+    left = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "b"), (3, 0, "a")], schema)
+    right = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "b"), (2, 1, "a"), (3, 0, "a"), (3, 1, "c")], schema)
+    return review.same_queue(left, right, ["target"])
+
+
+@_table("review_target_cases", ("review_id", "page", "nth", "has_rects"), [("r1", 2, 1, True), ("r2", 2, 2, True), ("r3", 5, 1, False), ("r4", None, 1, False)])
+def review_target_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the targets of reviews lie, and their number on the page."""
+    box = [(0.0, 0.0, 1.0, 1.0)]
+    reviews = spark.createDataFrame([(1, "r1", "occurrence", "o"), (1, "r2", "region", "g"), (1, "r3", "segment", "s"), (1, "r4", "region", "gone")], "doc_id int, review_id string, kind string, target string")
+    occurrences = spark.createDataFrame([(1, "o", 2, box)], f"doc_id int, occurrence_id string, page int, rects {_RECTS}")
+    known = spark.createDataFrame([(1, "g", 2, box)], f"doc_id int, region_id string, page int, rects {_RECTS}")
+    segments = spark.createDataFrame([(1, "s", 5)], "doc_id int, segment_id string, page_start int")
+    out = review.page_ordinals(review.target_rects(reviews, occurrences, known, segments), ["review_id"])
+    return out.select("review_id", "page", F.col("nth").cast("long").alias("nth"), F.col("rects").isNotNull().alias("has_rects"))
+
+
+@_table("accuracy_cases", ("fixed", "omissions", "body_recall", "automatic_rate", "false_rate"), [(2, 1, 0.5, 0.5, 0.5)])
+def accuracy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed regions, body and negatives over all documents."""
+    gold = spark.createDataFrame([("d", "1", True, True), ("d", "2", True, True), ("d", "3", True, False), ("d", "4", True, False), ("d", "5", False, False)], "doc_id string, id string, required boolean, fixed boolean")
+    schema = f"doc_id string, id string, page_index int, category string, rects {_RECTS}"
+    found = spark.createDataFrame([("d", "a", 0, "n", [(0.0, 0.0, 5.0, 5.0)], "mask"), ("d", "b", 0, "n", [(50.0, 0.0, 55.0, 5.0)], "mask")], schema + ", action string")
+    matched = spark.createDataFrame([("d", "1", "a"), ("d", "3", "b")], "doc_id string, gold_id string, cand_id string")
+    negatives = spark.createDataFrame([("d", "n1", 0, "n", [(4.0, 4.0, 9.0, 9.0)]), ("d", "n2", 0, "n", [(80.0, 4.0, 90.0, 9.0)])], schema)
+    return evaluation.accuracy(gold, found, matched, negatives).select("fixed", "omissions", "body_recall", "automatic_rate", "false_rate")
+
+
+# --- files ---------------------------------------------------------------------------------------------------------------------------
+
+def _pdf(content: bytes, deflate: bool) -> bytes:
+    body = zlib.compress(content) if deflate else content
+    head = b"<< /Length %d%s >>" % (len(body), b" /Filter /FlateDecode" if deflate else b"")
+    return b"%PDF-1.4\n1 0 obj\n" + head + b"\nstream\n" + body + b"\nendstream\nendobj\n%%EOF"
+
+
+_SHOWS = b"BT /F1 12 Tf (Hello \\(you\\)) Tj 0 -14 Td [(Wor) -20 (ld) -250 (again)] TJ ET"
+
+
+@_table(
+    "pdf_engine_cases",
+    ("path", "text", "engine", "failures"),
+    [("deflated", "Hello (you)\nWorld again", "plain", "strict:ValueError"), ("plain", "Hello (you)\nWorld again", "plain", "strict:ValueError"), ("no text", None, None, "strict:ValueError,plain:NoText,EXTRACTION_FAILED")],
+)
+def pdf_engine_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engines in order; the first that reads a file wins, and failures are kept as codes."""
+
+    def strict(content: bytes) -> str:
+        raise ValueError
+
+    files_ = spark.createDataFrame([("deflated", "x", _pdf(_SHOWS, True)), ("plain", "x", _pdf(_SHOWS, False)), ("no text", "x", _pdf(b"0 0 m", False))], "path string, sha256 string, content binary")
+    out = files.with_engines(files_, {"strict": strict, "plain": archives.plain_pdf_text})
+    return out.select("path", "text", "engine", F.array_join("failures", ",").alias("failures"))
+
+
+def _zip(members: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, content in members.items():
+            archive.writestr(name, content)
+    return out.getvalue()
+
+
+@_table(
+    "archive_cases",
+    ("archive", "path", "length", "fault"),
+    [("good", "good!/a.pdf", 3, None), ("good", "good!/d/b.PDF", 2, None), ("climbs", None, None, "ARCHIVE_MEMBER_UNSAFE"), ("bomb", None, None, "ARCHIVE_LIMIT_EXCEEDED"), ("broken", None, None, "ARCHIVE_INVALID")],
+)
+def archive_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of archives, and what forbids to open one."""
+    rows = [("good", _zip({"a.pdf": b"one", "d/b.PDF": b"tw", "c.txt": b"x"})), ("climbs", _zip({"../a.pdf": b"x"})), ("bomb", _zip({"a.pdf": b"0" * 1_000_000})), ("broken", b"PK")]
+    out = archives.members(spark.createDataFrame(rows, "path string, content binary"))
+    return out.select("archive", "path", F.octet_length("content").alias("length"), "fault")

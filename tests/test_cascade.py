@@ -1,13 +1,14 @@
 """The recogniser cascade on literal texts: every rule group, order, offsets, profiles, options."""
 
+import re
 import time
 
 import pytest
 
 from hushframe.functions import policy
 from hushframe.functions import validators as ok
-from hushframe.operators import chunks, processor
-from hushframe.operators.fold import Hit, Options, Tape, _restore, cascade, counts_by_tag, mask, mask_text, matches, parse_terms
+from hushframe.operators import chunks, processor, rules
+from hushframe.operators.fold import OPTION_NAMES, Hit, Options, Tape, _restore, cascade, counts_by_tag, mask, mask_text, matches, parse_terms
 from hushframe.sources import files
 
 HEADER = "사건번호: 2021가합54321\n사건명: 대여금\n원고: 박영희\n피고: 최민수\n대법원 2019. 3. 4. 선고 2018다777 판결\n부산지방법원"
@@ -246,3 +247,30 @@ def test_masked_texts_as_files(spark, tmp_path):
     assert body == {"doc_id=1": "가나\n다\n", "doc_id=2": "\n", "doc_id=3": "끝\n"}
     with pytest.raises(Exception, match="(?i)exist"):
         files.write_texts(rows, f"{tmp_path}/out")
+
+
+CITED = [
+    "대법원 2020. 1. 2. 선고 2019다12345 판결 및 서울중앙지방법원",
+    "서울고등법원 2018. 3. 4.자 2017라55 결정과 사건번호: 2017라55 그리고 부산지방법원",
+    "사건번호: 2023가단12345\n대법원 2019. 3. 4. 선고 2018다777 판결",
+    "대 법 원 2020.1.2. 선고 2019다1 판결, 안양지원",
+    "서울행정법원 2021구합100 판결과 서울행정법원",
+]
+
+
+@pytest.mark.parametrize("text", CITED)
+def test_citations_left_out_are_citations_swapped_and_restored(text):
+    """Courts in citations replaced by marks before the court rules run, and put back after, give the same text."""
+    courts = [r for r in rules.rules() if r.kind == "court"]
+    held = []
+
+    def swap(m):
+        held.append(m["kept"])
+        return m[0].replace(m["kept"], f"\ue000{len(held) - 1}\ue001", 1)
+
+    swapped = rules.CITED_COURT.sub(swap, text)
+    for rule in courts:
+        swapped = rule.pattern.sub(lambda m: "[COURT]" if ok.verdict("court", m["value"], m.string, *m.span("value")) else m[0], swapped)
+    restored = re.sub("\ue000(\\d+)\ue001", lambda m: held[int(m[1])], swapped)
+    only_courts = Options(profile="legal", off=frozenset(OPTION_NAMES) - {"court"})
+    assert cascade(text, only_courts).text == restored
