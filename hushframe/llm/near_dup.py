@@ -10,23 +10,23 @@ bucket of a small set is empty), each storing the minimum as leading-zero count
 threshold shares none of them with probability (1 - 0.75**5)**40 = 2e-5, at 0.8 with 1e-7.
 
 Candidates, without all pairs of a bucket:
-  1. every member of a bucket against the bucket's leader;
+  1. every member of a bucket against the bucket's leader, the member that shares most buckets with others;
   2. in buckets that still hold several components, every member outside the leader's component
      against a leader that each band draws anew;
   3. the members of buckets that are still mixed by prefixes of their sets: in one order of all shingles, rarest first, the
      smallest shingle that a linked pair shares is among the first n - 6n/7 + 1 of the smaller set and the
-     first n - 3n/4 + 1 of the larger.  Pairs that share one, are of different components and not both in the
-     largest component of their bucket have their sketches compared; the texts are fetched for what passes.  Documents of one template
-     have their own shingles first, so they do not meet.
+     first n - 3n/4 + 1 of the larger, and from it on both have what they must share.  Pairs of different components that share
+     such a shingle, not both in the largest component of all their buckets, have their sketches compared; the texts are
+     fetched for what passes.  Documents of one template have their own shingles first, so they do not meet.
 A candidate is dropped if its collision-corrected Jaccard estimate is ``MARGIN`` (five standard deviations)
 below the threshold; all others are verified on the full sets of their texts, where shingles are compared by their words.
-So nothing is capped: a hot bucket costs its size times the number of leaders, and its unsettled members the
+So no list is capped: a hot bucket costs its size times the number of leaders, and its unsettled members the
 shingles they have.
 
 Scale: the sketch (400 bytes) and 40 band keys per class are shuffled; the texts only of classes that
 share a band with another.  All intermediates lie in the shared folder.
 
-Edge cases: null or empty texts have an empty set and are linked with nothing.  Repeated rows, and rows
+Edge cases: null or empty texts have an empty set and are never linked.  Repeated rows, and rows
 of one doc_id with several texts, are each listed.  A component's id is its smallest doc_id; rows without
 a doc_id never name a component unless it has no other (then null, and kept).
 """
@@ -49,6 +49,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 MARGIN = 0.16
+#: How often labels are handed on between rounds.
+LABEL_ROUNDS = 3
 #: Bytes of texts that are compared at a time, besides one pair of any size.
 PAIR_BYTES = 4 << 20
 _U = np.uint64
@@ -156,35 +158,37 @@ def _links(pairs: DataFrame, cand: DataFrame, name: str) -> DataFrame:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, text) to (k, s): the shingle hashes of each text."""
+    """(..., text) to (..., s): the shingle hashes of each text."""
     for batch in batches:
-        for lo, hi, data, at in tokens.chunks(batch.column(1)):
+        for lo, hi, data, at in tokens.chunks(batch.column("text")):
             text, h = tokens.shingles(tokens.words(data, at, lower=True), SHINGLE)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["k", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], lists], [*batch.schema.names[:-1], "s"])
 
 
 def _prefix_pairs(unsettled: DataFrame, cand: DataFrame) -> DataFrame:
     """Pairs (ka, kb) of unsettled members (k, c, rest) of different components, at least one of them ``rest``, that may be linked
     by the prefixes of their sets."""
-    info = unsettled.select(F.col("k").alias("uk"), "c", "rest")
-    texts = cand.join(info, F.col("k") == F.col("uk")).select("k", "text")
-    sets = stash(texts.mapInArrow(_shingle_sets, "k long, s array<long>"), "sets")
-    rows = sets.select("k", F.explode("s").alias("s"))
-    of_whom = sets.join(info, F.col("k") == F.col("uk")).select("c", "rest", F.explode("s").alias("s"))
-    met = of_whom.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("rest").alias("rest"))
+    info = unsettled.withColumnRenamed("k", "uk")
+    texts = cand.join(info, F.col("k") == F.col("uk")).select("k", "c", "rest", "text")
+    sets = stash(texts.mapInArrow(_shingle_sets, "k long, c long, rest boolean, s array<long>"), "sets")
+    met = sets.select("c", "rest", F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("rest").alias("rest"))
     # other shingles are in no pair that is looked for; they come first in the order
     met = met.filter("lo <> hi AND rest").select(F.col("s").bitwiseXOR(F.lit(0)).alias("ms"), "m")
-    order = rows.join(met, F.col("s") == F.col("ms")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("met"))
-    order = order.select(F.col("k").alias("ok"), "met").join(sets.select("k", F.size("s").alias("n")), F.col("ok") == F.col("k")).join(info, F.col("k") == F.col("uk"))
-    first = lambda least: F.col("n") - least - (F.col("n") - F.size("met")) + 1
+    of_each = sets.select("k", "c", "rest", F.size("s").alias("n"), F.explode("s").alias("s")).join(met, F.col("s") == F.col("ms"))
+    order = of_each.groupBy("k", "c", "rest", "n").agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("met"))
+    first = lambda least: F.size("met") - least + 1
     index = first(F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)).cast("int"))
     probe = first(F.ceil(F.col("n") * PERCENT / 100).cast("int"))
-    order = order.filter(probe > 0).select("k", "c", "rest", "n", F.posexplode(F.slice("met", 1, probe)).alias("i", "o"), index.alias("index"))
-    small = order.filter(F.col("i") < F.col("index")).select(F.col("o.s").alias("s"), *(F.col(x).alias(f"{x}a") for x in ("k", "c", "rest", "n")))
-    large = order.select(F.col("o.s").bitwiseXOR(F.lit(0)).alias("t"), *(F.col(x).alias(f"{x}b") for x in ("k", "c", "rest", "n")))
-    pairs = small.join(large, (F.col("s") == F.col("t")) & (F.col("ca") != F.col("cb")) & (F.col("resta") | F.col("restb")))
-    pairs = pairs.filter((F.struct("na", "ka") < F.struct("nb", "kb")) & (F.col("na") * 100 >= F.col("nb") * PERCENT)).select("ka", "kb").distinct()
+    listed = F.posexplode(F.transform(F.slice("met", 1, probe), lambda x: x["s"])).alias("i", "s")
+    prefix = order.filter(probe > 0).select("k", "c", "rest", "n", F.size("met").alias("all"), index.alias("index"), listed)
+    prefix = stash(prefix.select("k", "c", "rest", "n", "s", (F.col("i") < F.col("index")).alias("indexed"), (F.col("all") - F.col("i")).alias("left")), "prefixes")
+    small, large = (prefix.select(*(F.col(x).alias(f"{x}_{side}") for x in prefix.columns)) for side in "ab")
+    meets = (F.col("s_a") == F.col("s_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("rest_a") | F.col("rest_b"))
+    fits = (F.struct("n_a", "k_a") < F.struct("n_b", "k_b")) & (F.col("n_a") * 100 >= F.col("n_b") * PERCENT)
+    # from their first shared shingle on, both have enough left to share
+    fits &= F.least("left_a", "left_b") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
+    pairs = small.filter("indexed_a").join(large, meets & fits).select(F.col("k_a").alias("ka"), F.col("k_b").alias("kb")).distinct()
     a, b = (cand.select(F.col("k").alias(f"k_{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     both = pairs.join(a, F.col("ka") == F.col("k_a")).join(b, F.col("kb") == F.col("k_b")).select("ka", "kb", "n_a", "sig_a", "n_b", "sig_b")
     return stash(both.mapInArrow(_likely, "ka long, kb long"), "likely")
@@ -193,13 +197,17 @@ def _prefix_pairs(unsettled: DataFrame, cand: DataFrame) -> DataFrame:
 def _labels(found: DataFrame, name: str) -> DataFrame:
     """(vk, vc): a label for every linked class, that most classes of a component share.
 
-    The smallest neighbour, followed a few steps; what this leaves apart is only compared once more."""
+    The smallest label around a class, then that label's own label, a few times over; what this leaves apart is only
+    compared once more."""
     both = found.select(F.xxhash64("u").alias("k"), F.xxhash64("v").alias("o"))
-    both = both.unionByName(both.select(F.col("o").alias("k"), F.col("k").alias("o")))
-    least = stash(both.groupBy("k").agg(F.min("o").alias("o")).select(F.col("k").alias("vk"), F.least("k", "o").alias("vc")), name)
-    out, step = least, least.select(F.col("vk").alias("from"), F.col("vc").alias("to"))
-    for _ in range(3):
-        out = out.join(step, F.col("vc") == F.col("from")).select("vk", F.col("to").alias("vc"))
+    both = stash(both.unionByName(both.select(F.col("o").alias("k"), F.col("k").alias("o"))).distinct(), name)
+    out = both.groupBy("k").agg(F.min("o").alias("o")).select(F.col("k").alias("vk"), F.least("k", "o").alias("vc"))
+    for _ in range(LABEL_ROUNDS):
+        out = stash(out, name)
+        around = both.join(out, F.col("o") == F.col("vk")).groupBy("k").agg(F.min("vc").alias("least"))
+        here = out.join(around, F.col("vk") == F.col("k")).select("vk", F.least("vc", "least").alias("vc"))
+        on = here.select(F.col("vk").alias("from"), F.col("vc").alias("to"))
+        out = here.join(on, F.col("vc") == F.col("from")).select("vk", F.col("to").alias("vc"))
     return out
 
 
@@ -216,9 +224,13 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
     classes = rows.groupBy("cls", "k").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)))
     bands = classes.select("k", F.posexplode(keys).alias("b", "band"))
-    shared = bands.groupBy("band").agg(F.min("k").alias("lead"), F.max("k").alias("last")).filter("lead <> last")
-    shared = shared.select(F.col("band").bitwiseXOR(F.lit(0)).alias("sband"), "lead")
-    members = stash(bands.join(shared, F.col("band") == F.col("sband")).select("b", "band", "k", "lead"), "members")
+    shared = bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    shared = shared.select(F.col("band").bitwiseXOR(F.lit(0)).alias("sband"), "size")
+    members = stash(bands.join(shared, F.col("band") == F.col("sband")).select("b", "band", "k", "size"), "members")
+    # a bucket's leader is the member with most company over all its buckets: it is alike to most
+    company = members.groupBy(F.col("k").bitwiseXOR(F.lit(0)).alias("ck")).agg(F.sum("size").alias("company"))
+    leads = members.join(company, F.col("k") == F.col("ck")).groupBy("band").agg(F.max(F.struct("company", "k")).alias("l"))
+    leads = leads.select(F.col("band").bitwiseXOR(F.lit(0)).alias("lband"), F.col("l.k").alias("lead"))
 
     wanted = members.select(F.col("k").alias("wk")).distinct()
     reps = classes.join(wanted, F.col("k") == F.col("wk")).select("k", "cls", "n", "sig", F.col("rep._id").alias("rid"), F.col("rep._h").alias("rh"))
@@ -226,7 +238,8 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
     cand = source.join(reps, F.col("sid").eqNullSafe(F.col("rid")) & (F.col("sh") == F.col("rh")))
     cand = stash(cand.select("k", "cls", "n", "sig", "text").dropDuplicates(["cls"]), "candidates")
 
-    tried = members.filter("k <> lead").select(F.col("k").alias("ka"), F.col("lead").alias("kb")).distinct()
+    led = members.join(leads, F.col("band") == F.col("lband")).filter("k <> lead")
+    tried = led.select(F.col("k").alias("ka"), F.col("lead").alias("kb")).distinct()
     found = _links(tried, cand, "links-1")
 
     members = members.select("b", "band", "k")
@@ -243,7 +256,8 @@ def links(docs: DataFrame, sketched: DataFrame, doc_id: str = "doc_id", text: st
     sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("labels"))
     largest = largest.filter("labels > 1 AND all > 2").select(F.col("band").bitwiseXOR(F.lit(0)).alias("tband"), F.col("top.c").alias("tc"))
-    unsettled = placed.join(largest, F.col("band") == F.col("tband")).groupBy("k").agg(F.min("c").alias("c"), F.max(F.col("c") != F.col("tc")).alias("rest"))
+    mixed = placed.join(largest, F.col("band") == F.col("tband"))
+    unsettled = mixed.groupBy("k").agg(F.min("c").alias("c"), F.max(F.col("c") != F.col("tc")).alias("rest"))
     pairs = _prefix_pairs(stash(unsettled, "unsettled"), cand)
     return found.unionByName(_links(pairs, cand, "links-3"))
 
