@@ -52,7 +52,7 @@ MARGIN = 0.16
 #: How often labels are handed on between rounds.
 LABEL_ROUNDS = 3
 #: Bytes of texts that are compared at a time, besides one pair of any size.
-PAIR_BYTES = 4 << 20
+PAIR_BYTES = 1 << 20
 _U = np.uint64
 _draw = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _draw.integers(0, 2**63, REGISTERS, dtype=_U) * _U(2) + _draw.integers(0, 2, REGISTERS, dtype=_U)
