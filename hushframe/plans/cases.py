@@ -36,6 +36,21 @@ def expected(columns: Sequence[str], rows: Sequence[tuple]) -> str:
     return f"SELECT * FROM (VALUES\n  {values}\n) AS t({', '.join(columns)})"
 
 
+def registry() -> tuple[dict[str, Query], dict[str, str], Callable[[str, tuple[str, ...], list[tuple]], Callable[[Query], Query]]]:
+    """Queries and SQL, both empty, and a decorator that adds a query to them with its expected rows."""
+    queries: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+
+    def table(name: str, columns: tuple[str, ...], rows: list[tuple]) -> Callable[[Query], Query]:
+        def add(query: Query) -> Query:
+            queries[name], sql[name] = query, expected(columns, rows)
+            return query
+
+        return add
+
+    return queries, sql, table
+
+
 # --- the cascade: case, profile, text, masked text, hits (tag:value) ------------------------------------------------------
 
 CASCADE = [

@@ -17,11 +17,9 @@ from ..functions import scoring
 from ..functions import text as X
 from ..operators import chunks, evaluation, extensions, layout, processor, protocol, regions, residual, review, routing, spans
 from ..sources import archives, files
-from .cases import _RECTS, expected
+from .cases import _RECTS, Query, expected, registry
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, _table = registry()
 _RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 
 
@@ -37,15 +35,6 @@ def _scalars(name: str, doc: str, cases: list[tuple[str, str | None]], columns:
     SQL[name] = f"SELECT case_id, result::VARCHAR AS result FROM ({expected(('case_id', 'result'), cases)})"
 
 
-def _table(name: str, columns: tuple[str, ...], rows: list[tuple]) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        SQL[name] = expected(columns, rows)
-        return query
-
-    return add
-
-
 def _box(*v: float) -> Column:
     return G.rect(*(F.lit(float(x)) for x in v))
 

@@ -13,15 +13,15 @@ import pytest
 
 from hushframe.functions import policy
 from hushframe.operators import fold
-from hushframe.plans import cases, catalogue, small_cases
+from hushframe.plans import cases, catalogue, page_cases, small_cases
 from tests.compare import same_rows
 from tests.conftest import TABLES
 
 ROOT = Path(__file__).resolve().parent.parent
 
 
-ALL = catalogue.SQL | cases.SQL | small_cases.SQL
-QUERIES = catalogue.QUERIES | cases.QUERIES | small_cases.QUERIES
+ALL = catalogue.SQL | cases.SQL | small_cases.SQL | page_cases.SQL
+QUERIES = catalogue.QUERIES | cases.QUERIES | small_cases.QUERIES | page_cases.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, name):
 
 def test_queries_without_sql_are_the_ones_tested_below():
     assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"pii_counts_by_tag", "masked_text_all_rules", "masked_text_pseudonyms", "keyword_masking", "masking_chunks", "matched_occurrences", "routed_segments"}
-    assert set(cases.QUERIES) == set(cases.SQL) and set(small_cases.QUERIES) == set(small_cases.SQL)
+    assert set(cases.QUERIES) == set(cases.SQL) and set(small_cases.QUERIES) == set(small_cases.SQL) and set(page_cases.QUERIES) == set(page_cases.SQL)
 
 
 #: The rules that can match a text without Hangul, restated without look-arounds on rewritten text: in order, each on what the
