@@ -62,10 +62,10 @@ def analysed_segment_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_table(
     "analysed_occurrence_cases",
     ("page_index", "tag", "category", "action"),
-    [(0, "APPROVAL_LINE", "approval_staff", "mask"), (0, "APPROVAL_LINE", "approval_staff", "mask"), (0, "INSTITUTION_VALUE", "institution_value", "mask"), (1, "EMAIL", "email", "mask"), (2, "DOC_META", "dispatch_metadata", "mask")],
+    [(0, "APPROVAL_LINE", "approval_staff", "mask"), (0, "INSTITUTION_VALUE", "institution_value", "mask"), (1, "EMAIL", "email", "mask"), (2, "DOC_META", "dispatch_metadata", "mask")],
 )
 def analysed_occurrence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is to be masked in them."""
+    """What is to be masked in them; the second name stands below no role."""
     return _analysed(spark).occurrences.select("page_index", "tag", "category", "action")
 
 
