@@ -7,6 +7,7 @@ result; the query runs the engine on the inputs, the SQL is the table of expecte
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ SQL: dict[str, str] = {}
 def _literal(value: object) -> str:
     if value is None:
         return "NULL"
-    if isinstance(value, bool | int | float):
+    if isinstance(value, float):
+        return f"CAST({value!r} AS DOUBLE)"
+    if isinstance(value, bool | int):
         return str(value).lower()
     quoted = str(value).replace("'", "''")
     # line breaks are told apart from spaces in the SQL's text
@@ -36,6 +39,16 @@ def expected(columns: Sequence[str], rows: Sequence[tuple]) -> str:
     return f"SELECT * FROM (VALUES\n  {values}\n) AS t({', '.join(columns)})"
 
 
+def plain_types(query: Query) -> Query:
+    """The query with whole numbers as int, as literals have them in SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = query(spark, sf_dir)
+        return out.select(*(F.col(c).cast("int").alias(c) if kind == "bigint" else F.col(c) for c, kind in out.dtypes))
+
+    return wraps(query)(run)
+
+
 def registry() -> tuple[dict[str, Query], dict[str, str], Callable[[str, tuple[str, ...], list[tuple]], Callable[[Query], Query]]]:
     """Queries and SQL, both empty, and a decorator that adds a query to them with its expected rows."""
     queries: dict[str, Query] = {}
@@ -43,7 +56,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str], Callable[[str, tuple[s
 
     def table(name: str, columns: tuple[str, ...], rows: list[tuple]) -> Callable[[Query], Query]:
         def add(query: Query) -> Query:
-            queries[name], sql[name] = query, expected(columns, rows)
+            queries[name], sql[name] = plain_types(query), expected(columns, rows)
             return query
 
         return add
@@ -283,7 +296,7 @@ def routing_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _add(query: Query, columns: Sequence[str], rows: Sequence[tuple]) -> None:
-    QUERIES[query.__name__] = query
+    QUERIES[query.__name__] = plain_types(query)
     SQL[query.__name__] = expected(columns, rows)
 
 
