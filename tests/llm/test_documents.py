@@ -245,13 +245,13 @@ def test_documents_of_one_template_are_told_apart(spark):
     r = random.Random(2)
     template = [f"t{i}" for i in range(80)]
     own = lambda n: [str(r.randrange(10**9)) for _ in range(n)]
-    rows = [(k, " ".join(template + own(20))) for k in range(3000)]
+    rows = [(k, " ".join(template + own(20))) for k in range(20_000)]
     for k in range(20):
         copy = rows[100 * k][1].split()
         copy[95] = "changed"
-        rows.append((5000 + k, " ".join(copy)))
+        rows.append((50_000 + k, " ".join(copy)))
     got = {x["_id"]: x["component_id"] for x in near_dup.near_duplicates(frame(spark, rows)).collect()}
-    assert got == {i: 100 * (i - 5000) if i >= 5000 else i for i, _ in rows}
+    assert got == {i: 100 * (i - 50_000) if i >= 50_000 else i for i, _ in rows}
 
 
 def test_links_are_confirmed_on_words(monkeypatch):
