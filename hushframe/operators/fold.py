@@ -1,6 +1,6 @@
 """The recogniser cascade: rules rewrite a text one after another; every hit knows where it came from.
 
-``Tape`` is the working text with, for each position, the source position it stands for.  A rule proposes edits
+``Tape`` is the working text with the stretches of it that are the source's own and those that stand for a place in it.  A rule proposes edits
 on the working text; the tape applies them and keeps the positions, so later rules see earlier tokens while
 hits stay in source coordinates.  ``mask`` runs the cascade per document in Arrow batches: documents are
 independent, so there is no shuffle, and whole documents are processed, so chunk seams cannot cut a value.
@@ -9,7 +9,7 @@ independent, so there is no shuffle, and whole documents are processed, so chunk
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -77,23 +77,83 @@ def parse_terms(raw: str | Iterable[str] | None) -> list[str]:
     return sorted(terms.values(), key=len, reverse=True)
 
 
+class Places:
+    """Where working positions come from: stretches of the text that are the source's own, or stand for a place in it.
+
+    Each stretch is (working start, source start, own); it ends where the next one starts.  A stretch that is not the
+    source's own stands, with every character, for the source position that it starts at."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.end = size, size
+        self.starts, self.sources, self.own = ([0], [0], [True]) if size else ([], [], [])
+
+    def at(self, i: int) -> int:
+        """The source position of the boundary before working position ``i``."""
+        if i >= self.size:
+            return self.end
+        k = bisect_right(self.starts, i) - 1
+        return self.sources[k] + (i - self.starts[k] if self.own[k] else 0)
+
+    def find(self, source: int) -> int | None:
+        """The first boundary that stands for a source position."""
+        k = bisect_left(self.sources, source)
+        if k < len(self.sources) and self.sources[k] == source:
+            return self.starts[k]
+        if source == self.end:
+            return self.size
+        stop = self.starts[k] if k < len(self.starts) else self.size
+        i = self.starts[k - 1] + source - self.sources[k - 1] if k else -1
+        return i if k and self.own[k - 1] and i <= stop and self.at(i) == source else None
+
+    def changed(self, parts: list[tuple[int, int, int, int, bool]], size: int) -> Places:
+        """These places with stretches (start, end, new length, source, own) in place of start to end, in order; ``size``: the new one."""
+        out, done, now = Places(0), 0, 0
+        out.size, out.end = size, self.end
+        for start, end, length, source, own in [*parts, (self.size, self.size, 0, self.end, True)]:
+            now = out._copy(self, done, start, now)
+            if length:
+                out._add(now, source, own)
+            now, done = now + length, end
+        return out
+
+    def _add(self, start: int, source: int, own: bool) -> None:
+        goes_on = own and self.own and self.own[-1] and source - self.sources[-1] == start - self.starts[-1]
+        if not goes_on:
+            self.starts.append(start)
+            self.sources.append(source)
+            self.own.append(own)
+
+    def _copy(self, old: Places, start: int, end: int, now: int) -> int:
+        """Take over the old stretches from start to end; the working position after them."""
+        k = max(bisect_right(old.starts, start) - 1, 0)
+        while start < end:
+            stop = min(end, old.starts[k + 1] if k + 1 < len(old.starts) else old.size)
+            self._add(now, old.at(start), old.own[k])
+            now, start, k = now + stop - start, stop, k + 1
+        return now
+
+
 @dataclass
 class Tape:
-    """A text under rewriting.  ``at[i]`` is the source position of the boundary before working position i."""
+    """A text under rewriting, and where its characters come from."""
 
     source: str
     text: str = ""
-    at: list[int] = field(default_factory=list)
     hits: list[Hit] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.text, self.at = self.source, list(range(len(self.source) + 1))
+        self.text, self.places = self.source, Places(len(self.source))
+
+    @property
+    def at(self) -> list[int]:
+        """The source position of the boundary before each working position, and of the end."""
+        return [self.places.at(i) for i in range(len(self.text) + 1)]
 
     def note(self, tag: str, start: int, end: int) -> None:
         """Count a value at a working span, and keep it as a hit if its source is worth one."""
         self.counts[tag] = self.counts.get(tag, 0) + 1
-        start, end = self.at[start], self.at[end]
+        start, end = self.places.at(start), self.places.at(end)
         value = ok.clean(self.source[start:end])
         if len(value) > 1 and value[0] != "[" and value[-1] != "]":
             self.hits.append(Hit(tag, value, start, end, action_of(tag), source_of(tag)))
@@ -102,7 +162,7 @@ class Tape:
         """Replace working spans (in order, apart) by strings; what old and new share at either end stays put."""
         if not edits:
             return
-        text, at, done = [], [], 0
+        text, parts, done = [], [], 0
         for start, end, new in edits:
             old = self.text[start:end]
             if old == new:
@@ -112,11 +172,10 @@ class Tape:
             tail = next((i for i in range(shared - head) if old[-1 - i] != new[-1 - i]), shared - head)
             start, end, new = start + head, end - tail, new[head : len(new) - tail]
             text += [self.text[done:start], new]
-            at += self.at[done:start]
-            at += [self.at[start]] * len(new)
+            parts.append((start, end, len(new), self.places.at(start), False))
             done = end
         self.text = "".join([*text, self.text[done:]])
-        self.at = at + self.at[done:]
+        self.places = self.places.changed(parts, len(self.text))
 
 
 def _spans(pattern: re.Pattern[str], text: str) -> list[tuple[int, int]]:
@@ -213,27 +272,23 @@ def _terms(tape: Tape, terms: list[str], tag: str, token: str) -> None:
 def _restore(tape: Tape, hits: list[Hit]) -> None:
     """Put source text back for hits that are not masked; hits that overlap are put back together.
 
-    Boundaries are in order, so a source position is found by bisection, and the text is made anew once."""
-    text, at, done, reach = [], [], 0, -1
+    The text is made anew once."""
+    text, parts, done, reach = [], [], 0, -1
     for h in sorted(hits, key=lambda h: (h.start, -h.end)):
-        start, end = bisect_left(tape.at, h.start), bisect_left(tape.at, h.end)
         if h.end <= h.start:
             raise ValueError("source_boundary_invalid")
         if h.end <= reach:
             continue
-        if h.start < reach:  # goes on from the hit before
-            first, start = reach, done
-        elif start == len(tape.at) or tape.at[start] != h.start:
-            raise ValueError("source_boundary_missing")
-        else:
-            first = h.start
-        if end == len(tape.at) or tape.at[end] != h.end:
+        # one that goes on from the hit before begins where that one ended
+        first, start = (reach, done) if h.start < reach else (h.start, tape.places.find(h.start))
+        end = tape.places.find(h.end)
+        if start is None or end is None:
             raise ValueError("source_boundary_missing")
         text += [tape.text[done:start], tape.source[first : h.end]]
-        at += [*tape.at[done:start], *range(first, h.end)]
+        parts.append((start, end, h.end - first, first, True))
         done, reach = end, h.end
     tape.text = "".join([*text, tape.text[done:]])
-    tape.at = at + tape.at[done:]
+    tape.places = tape.places.changed(parts, len(tape.text))
 
 
 def cascade(text: str, options: Options = Options()) -> Tape:
