@@ -17,7 +17,7 @@ from ..functions import scoring
 from ..functions import text as X
 from ..operators import chunks, evaluation, extensions, layout, processor, protocol, regions, residual, review, routing, spans
 from ..sources import archives, files
-from .cases import _RECTS, Query, expected, registry
+from .cases import _RECTS, expected, registry
 
 QUERIES, SQL, _table = registry()
 _RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
