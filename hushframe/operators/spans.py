@@ -55,14 +55,15 @@ def merge(spans: DataFrame, keys: list[str], start: str = "start", end: str = "e
     In the order of start and end, a span joins the one before it if both have the same label and it starts
     before the merged end.  A span of another label in between breaks the chain, as only the last merged span
     is looked at.  Gaps and islands: a break is a change of label, or a start at or after the running end
-    of the current run of equal labels."""
-    order = Window.partitionBy(*keys).orderBy(start, end, label)
-    runs = spans.withColumn("_new", (F.coalesce(F.lag(label).over(order), F.lit("\x00")) != F.col(label)).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(order))
-    within = Window.partitionBy(*keys, "_run").orderBy(start, end, label)
+    of the current run of equal labels.  As in SQL, nulls come last and a null label equals none."""
+    by = [F.col(c).asc_nulls_last() for c in (start, end, label)]
+    order = Window.partitionBy(*keys).orderBy(*by)
+    runs = spans.withColumn("_new", F.when(F.lag(label).over(order) == F.col(label), 0).otherwise(1))
+    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(*keys, "_run").orderBy(*by)
     reach = F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1))
     islands = runs.withColumn("_break", F.coalesce(F.col(start) >= reach, F.lit(False)).cast("int"))
-    islands = islands.withColumn("_island", F.sum("_break").over(within))
+    islands = islands.withColumn("_island", F.sum("_break").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     out = islands.groupBy(*keys, "_run", "_island", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"))
     return out.drop("_run", "_island")
 

@@ -7,12 +7,12 @@ import duckdb
 from .conftest import TABLES
 
 
-def same_rows(spark, query, sql):
+def same_rows(spark, query, sql, tables=TABLES):
     with duckdb.connect() as db:
-        for file in os.listdir(TABLES):
-            db.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{TABLES}/{file}'")
+        for file in os.listdir(tables):
+            db.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{tables}/{file}'")
         expected = db.sql(sql).df()
-    got = query(spark, TABLES).toPandas()
+    got = query(spark, tables).toPandas()
     assert sorted(got.columns) == sorted(expected.columns)
     columns = sorted(got.columns)
 

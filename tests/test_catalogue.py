@@ -29,6 +29,15 @@ def test_query_equals_sql(spark, name):
     same_rows(spark, QUERIES[name], ALL[name])
 
 
+def test_merged_spans_equal_sql_with_nulls_fractions_empty_spans_and_ties(spark, tmp_path):
+    rows = itertools.product((1, 2, None), ("A", None, "A", "R"), (10, 60, 13, None), (2.5, 0.0, 0.0, 3.5, 1.0, 1.0, None))
+    schema = "l_orderkey long, l_returnflag string, l_partkey long, l_quantity double, l_linenumber int"
+    table = spark.createDataFrame([(*row, i) for i, row in enumerate(rows)], schema).toPandas().astype({"l_orderkey": "Int64", "l_partkey": "Int64", "l_linenumber": "int32"})
+    table.to_parquet(tmp_path / "lineitem.parquet")
+    for name in ("merged_spans", "spans_without_overlap"):
+        same_rows(spark, QUERIES[name], ALL[name], str(tmp_path))
+
+
 def test_queries_without_sql_are_the_ones_tested_below():
     assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"pii_counts_by_tag", "masked_text_all_rules", "masked_text_pseudonyms", "keyword_masking", "masking_chunks", "matched_occurrences", "routed_segments"}
     assert set(cases.QUERIES) == set(cases.SQL) and set(small_cases.QUERIES) == set(small_cases.SQL) and set(page_cases.QUERIES) == set(page_cases.SQL)
